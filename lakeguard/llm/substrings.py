@@ -25,10 +25,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeguard.llm.common import only, table
+from lakeguard.llm.common import keep, only, table
 from lakeguard.llm.kernels import SPACE_WORDS, Rolling, Words, mix, signed, slices, strings, window_runs
 
 #: Words in a repeat, at least.
@@ -37,12 +38,36 @@ WINDOW = 35
 GRAM = 10
 #: A run of windows is packed as start * _RUN + length - 1.
 _RUN = 1 << 12
+#: Texts that are unpacked at a time.
+_ROWS = 256
+
+
+#: Stands for a null doc_id in keys.
+_NAMELESS = -(1 << 63)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key that is never null: the doc_id and a hash of the text, for doc_ids that repeat."""
-    none = F.lit(-(1 << 63)).cast("long")
-    return only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), none).alias("d"), F.hash("text").alias("t"), "doc_id", "text")
+    return only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS).cast("long")).alias("d"), F.hash("text").alias("t"), "text")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The keyed rows with their texts compressed, for the one shuffle that carries texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            raw, offsets = strings(batch.column(2))
+            data = raw.tobytes()
+            blobs = [pack(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["d", "t", "packed"])
+
+    return _keyed(docs).mapInArrow(run, "d long, t int, packed binary")
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]
 
 
 def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -68,17 +93,18 @@ def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _open(listed: DataFrame, window: int) -> DataFrame:
-    """The windows of chosen runs: (w1, w2) with the place, ``listed(d, t, text, runs)``; single marks runs whose edge is unique."""
+    """The windows of chosen runs: (w1, w2) with the place, ``listed(d, t, packed, runs)``; single marks runs whose edge is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = strings(batch.column(2))
             d, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             lists = batch.column(3)
             base = np.asarray(lists.offsets, np.int64)
             packed = lists.values.to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets):
-                words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1], SPACE_WORDS)
+            for i in range(0, batch.num_rows, _ROWS):
+                texts = _unpacked(batch.column(2).slice(i, _ROWS))
+                j = i + len(texts)
+                words = Words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, texts))))), SPACE_WORDS)
                 one, two = Rolling(words.hashes), Rolling(words.hashes, 77)
                 mine = packed[base[i] : base[j]]
                 doc = np.repeat(np.arange(j - i), np.diff(base[i : j + 1]))
@@ -90,23 +116,23 @@ def _open(listed: DataFrame, window: int) -> DataFrame:
                 w2 = (two.span(at, at + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(one.span(at, at + window))), pa.array(w2), pa.array(d[i:j][doc]), pa.array(t[i:j][doc]), pa.array(s), pa.array(single)], ["w1", "w2", "d", "t", "s", "single"])
 
-    return listed.select("d", "t", "text", "runs").mapInArrow(run, "w1 long, w2 int, d long, t int, s long, single boolean")
+    return listed.select("d", "t", "packed", "runs").mapInArrow(run, "w1 long, w2 int, d long, t int, s long, single boolean")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Ranges of repeated windows: rows (d, t, at), at = start * 4096 + further starts.
 
-    d and t name the row: its doc_id (the least long for null) and hash of text.
+    d and t name the row: its doc_id (the least long for null) and hash of text;
+    ``packed`` has the texts by these.
     """
     runs = _runs(docs, window, gram)
     nodes = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    shared = runs.join(nodes, "h")
+    shared = keep(runs.join(nodes, "h"), "runs")
     edges = shared.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "at")).alias("rep"))
     whole = shared.join(edges.filter("n > 1").select("h", "c"), ["h", "c"]).select("d", "t", "at")
     chosen = edges.filter("mixed").select("rep.d", "rep.t", (F.col("rep.at") * 2 + (F.col("n") == 1).cast("long")).alias("r")).groupBy("d", "t").agg(F.collect_list("r").alias("runs"))
-    texts = _keyed(docs).select("d", "t", "text")
-    windows = _open(texts.join(chosen, ["d", "t"]), window)
     # rows that repeat as a whole open the same run once for each row
+    windows = _open(packed.join(chosen, ["d", "t"]), window)
     deep = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     single = windows.filter("single").join(deep, ["w1", "w2"]).select("d", "t", (F.col("s") * _RUN).alias("at"))
     return whole.unionAll(single)
@@ -132,16 +158,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     words than a window lose none; an empty table gives no rows; extra columns
     are ignored.
     """
-    lists = repeats(docs, window, gram).groupBy("d", "t").agg(F.collect_list("at").alias("ranges"))
-    joined = _keyed(docs).select("d", "t", "text", F.col("doc_id").isNull().alias("nameless")).join(lists, ["d", "t"], "left")
+    packed = _packed(docs)
+    lists = repeats(docs, packed, window, gram).groupBy("d", "t").agg(F.collect_list("at").alias("ranges"))
+    joined = packed.join(lists, ["d", "t"], "left").select("d", "packed", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw, offsets = strings(batch.column(1))
-            data = raw.tobytes()
             rows: list[list] = [[], [], [], []]
-            for i, found in enumerate(batch.column(2)):
-                words = data[offsets[i] : offsets[i + 1]].split()
+            for blob, found in zip(batch.column(1), batch.column(2), strict=True):
+                words = unpack(blob.as_py()).split()
                 rows[0].append(len(words))
                 if found.values is None or not words:
                     rows[1].append(0)
@@ -153,10 +179,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 rows[1].append(int(gone.sum()))
                 rows[2].append(b" ".join(compress(words, (~gone).tolist())).decode())
                 rows[3].append(flips.reshape(-1, 2).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.list_(pa.list_(pa.int64())))], ["doc_id", "n_words", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.list_(pa.list_(pa.int64())))], ["d", "n_words", "n_removed", "kept", "spans"])
 
-    named: Column = F.when(~F.col("nameless"), F.col("d")).alias("doc_id")
-    return joined.select(named, "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<array<long>>")
+    found = joined.mapInArrow(run, "d long, n_words long, n_removed long, kept string, spans array<array<long>>")
+    return found.select(F.when(F.col("d") != _NAMELESS, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
