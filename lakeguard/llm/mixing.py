@@ -117,10 +117,10 @@ _UNITS = "doc_id long, source string, size long, tie long, copy long, rho double
 
 
 def _fly(units: DataFrame, blocks: str, land: bool) -> DataFrame:
-    """Flies each block of a source's undecided rows in the order of (doc_id, tie, copy)."""
+    """Flies each block of a source's undecided rows, large ones first, so that what is left to land is small."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "tie", "copy"], kind="stable", na_position="first")
+        rows = rows.sort_values(["size", "doc_id", "tie", "copy"], ascending=[False, True, True, True], kind="stable", na_position="first")
         name = "" if key[0] is None else str(key[0])
         rng = np.random.default_rng([SEED, int(land), int(key[1]), *name.encode()])
         x = rows["size"].to_numpy(float)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("simhash", "substrings")
+_MODULES = ("decontaminate", "simhash", "tokens", "mixing", "substrings")
 
 
 def _gather(name: str) -> dict:
