@@ -6,8 +6,9 @@ takes so that in every source the taken tokens and the taken documents stay
 balanced: inclusion probabilities move along the null space of the two balance
 constraints until all but two documents of a block are decided.  Blocks are
 groups of one source's documents by hash, so a hot source spreads over many
-tasks; the few undecided ones of all blocks fly again in fewer, larger blocks, and the
-landing at the end settles at most two documents of a source.
+tasks; the few undecided ones of all blocks fly again in fewer, larger blocks,
+and the landing at the end settles at most two documents of a source, then turns
+over single documents of its block where that brings the tokens nearer.
 """
 
 from __future__ import annotations
@@ -113,6 +114,23 @@ def landing(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return p
 
 
+def settle(start: np.ndarray, p: np.ndarray, x: np.ndarray, flips: int = 64) -> np.ndarray:
+    """A landed draw whose tokens are brought near those of ``start`` by turning over single documents.
+
+    Each turn takes the document whose tokens are nearest to what is missing or
+    too many, and only if that comes nearer; of equal ones the first.
+    """
+    p = p.copy()
+    for _ in range(flips):
+        missing = float((start * x).sum() - (p * x).sum())
+        change = np.where(p == 0, x, -x)
+        k = int(np.abs(missing - change).argmin()) if len(p) else 0
+        if not len(p) or abs(missing - change[k]) >= abs(missing) - _EPS:
+            break
+        p[k] = 1 - p[k]
+    return p
+
+
 _UNITS = "doc_id long, source string, size long, tie long, copy long, rho double, p double"
 
 
@@ -125,7 +143,7 @@ def _fly(units: DataFrame, blocks: str, land: bool) -> DataFrame:
         rng = np.random.default_rng([SEED, int(land), int(key[1]), *name.encode()])
         x = rows["size"].to_numpy(float)
         p = flight(rows["p"].to_numpy(), x, rng)
-        rows["p"] = landing(p, x, rng) if land else p
+        rows["p"] = settle(rows["p"].to_numpy(), landing(p, x, rng), x) if land else p
         return rows.drop(columns="block")
 
     return units.withColumn("block", F.expr(blocks)).groupBy("source", "block").applyInPandas(run, _UNITS)

@@ -126,7 +126,9 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW, gram: int
     ``packed`` has the texts by these.
     """
     runs = _runs(docs, window, gram)
+    # kept, so that the join below has a shuffle on both sides and a hot gram's runs can be split
     nodes = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    nodes = keep(nodes, "nodes")
     shared = keep(runs.join(nodes, "h"), "runs")
     edges = shared.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "at")).alias("rep"))
     whole = shared.join(edges.filter("n > 1").select("h", "c"), ["h", "c"]).select("d", "t", "at")
