@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("decontaminate", "toxicity", "simhash", "tokens", "mixing", "quality", "substrings")
+_MODULES = ("decontaminate", "toxicity", "simhash", "tokens", "ngram_lm", "html_text", "mixing", "quality", "substrings")
 
 
 def _gather(name: str) -> dict:

@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     named = groups.join(reps, F.col("node") == F.col("fp")).select("fp", "root", "rep")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     final = reps.join(named.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return marked.join(final, "fp").select("doc_id", "fp", "component_id")
+    # cut here, so that the join has a shuffle on both sides and a hot fingerprint can be split
+    return marked.join(materialise(final), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
