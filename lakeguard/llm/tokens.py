@@ -13,15 +13,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakeguard.llm.common import partitions, scratch, table
+from lakeguard.llm.kernels import SPACE_WORDS, Words, slices, strings
 
 #: Ids in a block.
 BLOCK = 256
@@ -32,7 +33,7 @@ SHARD_IDS = 1 << 19
 #: Id that ends every document.
 END = 1
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 # ---------------------------------------------------------------- the format
@@ -132,64 +133,80 @@ def decode_block(payload: bytes, index: bytes, block: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- the encoder
+#: Stands between words that are encoded together; white space keeps it apart from them.
+_MARK = "\x01"
+#: Words encoded together.
+_TOGETHER = 64
+
+
 class _Encoder:
-    """Ids of texts by way of their distinct words.
+    """Ids of texts by way of their distinct words, of which it remembers up to CACHE_WORDS.
 
     The vocabulary drops white space and no token spans it, so a text's ids are
-    those of its parts between spaces, tabs and line ends.
+    those of its parts between ASCII white space.  Words are remembered by a
+    64-bit hash with their length and outer bytes.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = cache
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
+        self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.number) + len(words) > self.cache:
-            self._clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        base = len(self.number)
-        self.number |= {w: base + i for i, w in enumerate(words)}
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(lengths)))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))))
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of words without white space."""
+        if self.mark is None or any(_MARK in w for w in words):
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        joined = [f" {_MARK} ".join(words[i : i + _TOGETHER]) + f" {_MARK}" for i in range(0, len(words), _TOGETHER)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        marks = np.flatnonzero(flat == self.mark)
+        return flat[flat != self.mark], np.diff(marks, prepend=-1) - 1
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end; lengths)."""
-        split = [x.split() if x.isascii() else x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        distinct = set().union(*split)
-        distinct.discard("")
-        if len(distinct) > self.cache:  # a text of very many words: no cache for it
-            parts = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        new = [w for w in distinct if w not in self.number]
-        if new:
-            if len(self.number) + len(new) > self.cache:
+        words = Words(raw, offsets, SPACE_WORDS)
+        h, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        starts, ends = words.starts[where], words.ends[where]
+        check = ((ends - starts).astype(np.uint64) << np.uint64(16)) | (raw[starts].astype(np.uint64) << np.uint64(8)) | raw[ends - 1] if len(h) else h
+        at = np.searchsorted(self.known, h)
+        inside = np.minimum(at, max(0, len(self.known) - 1))
+        hit = (self.known[inside] == h) & (self.check[inside] == check) if len(self.known) else np.zeros(len(h), bool)
+        first, length = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        first[hit], length[hit] = self.first[inside[hit]], self.length[inside[hit]]
+        flat, new = self.flat, np.flatnonzero(~hit)
+        if len(new):
+            data = raw.tobytes()
+            ids, lengths = self._encode([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            first[new], length[new] = len(flat) + np.cumsum(lengths) - lengths, lengths
+            flat = np.concatenate((flat, ids))
+            if len(self.known) + len(new) > self.cache:
                 self._clear()
-                new = list(distinct)
-            self._learn(new)
-        number = dict.get if "" in self.number else self.number.get
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter((number(w, -1) for w in chain.from_iterable(split)), np.int64, int(counts.sum()))
-        empty = words < 0
-        length = np.where(empty, 0, self.first[words + 1] - self.first[words])
-        ends = np.cumsum(counts)
-        total = np.concatenate(([0], np.cumsum(length)))
-        lengths = total[ends] - total[ends - counts] + 1
+            else:
+                order = np.argsort(np.concatenate((self.known, h[new])), kind="stable")
+                self.known, self.check, self.first, self.length = (np.concatenate(x)[order] for x in ((self.known, h[new]), (self.check, check[new]), (self.first, first[new]), (self.length, length[new])))
+                self.flat = flat
+        each = length[back]
+        total = np.concatenate(([0], np.cumsum(each)))
+        lengths = total[words.first[1:]] - total[words.first[:-1]] + 1
         out = np.full(int(lengths.sum()), END, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(lengths) - 1] = False
-        src = np.repeat(np.where(empty, 0, self.first[words]) - total[:-1], length) + np.arange(int(total[-1]))
-        out[body] = self.flat[src]
+        out[body] = flat[np.repeat(first[back] - total[:-1], each) + np.arange(int(total[-1]))]
         return out, lengths
 
 
-_SHARD = "shard int, seq long, doc_ids array<long>, n_tokens array<long>, n_ids long, payload binary, index binary"
+#: Kept by a Python worker from task to task.
+_encoders: dict[str, _Encoder] = {}
+
+
+_SHARD = "shard int, seq long, before long, doc_ids array<long>, n_tokens array<long>, n_ids long, payload binary, index binary"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
@@ -204,32 +221,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
-        encoder = _Encoder(tokenizer)
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = _Encoder(tokenizer)
+        encoder = _encoders[tokenizer]
         ids: list[np.ndarray] = []
         names: list = []
         lengths: list[np.ndarray] = []
-        held = 0
+        held = before = 0
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(ids)
             payload, index = encode(flat)
             kept = np.concatenate(lengths)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([payload], pa.binary()), pa.array([index], pa.binary())],
-                ["shard", "seq", "doc_ids", "n_tokens", "n_ids", "payload", "index"],
+                [pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([payload], pa.binary()), pa.array([index], pa.binary())],
+                ["shard", "seq", "before", "doc_ids", "n_tokens", "n_ids", "payload", "index"],
             )
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                flat, k = encoder.ids(part.column(1).to_pylist())
+            raw, offsets = strings(batch.column(1))
+            of = batch.column(0).to_pylist()
+            for i, j in slices(offsets, 1 << 20):
+                flat, k = encoder.ids(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids.append(flat)
                 lengths.append(k)
-                names += part.column(0).to_pylist()
+                names += of[i:j]
                 held += len(flat)
                 if held >= SHARD_IDS:
                     yield flush()
-                    seq, held = seq + 1, 0
+                    seq, before, held = seq + 1, before + held, 0
                     ids, names, lengths = [], [], []
         if names:
             yield flush()
@@ -237,26 +257,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     ordered.mapInArrow(run, _SHARD).write.mode("overwrite").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the shards: doc_id, start (ids of all documents before it), n_tokens, ids."""
+def _shards(spark: SparkSession, path: str) -> tuple[DataFrame, Broadcast]:
+    """The shards, and the number of ids before each task's first one.
+
+    The sums are one row for each task that wrote, whatever it wrote.
+    """
     shards = spark.read.schema(_SHARD).parquet(path)
-    # one number for each partition that was written, and each shard in it
-    sums = sorted((r[0], r[1], r[2]) for r in shards.select("shard", "seq", "n_ids").collect())
     before, base = 0, {}
-    for shard, seq, k in sums:
-        base[shard, seq] = before
+    for shard, k in sorted((r[0], r[1]) for r in shards.groupBy("shard").agg(F.sum("n_ids")).collect()):
+        base[shard] = before
         before += k
-    sent = spark.sparkContext.broadcast(base)
+    return shards, spark.sparkContext.broadcast(base)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of the shards: doc_id, start (ids of all documents before it), n_tokens, ids."""
+    shards, sent = _shards(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, seq, n_ids, payload, index = (batch.column(i)[row].as_py() for i in (0, 1, 4, 5, 6))
-                names = batch.column(2)[row].values
-                counts = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                shard, before, n_ids, payload, index = (batch.column(i)[row].as_py() for i in (0, 2, 5, 6, 7))
+                names = batch.column(3)[row].values
+                counts = batch.column(4)[row].values.to_numpy(zero_copy_only=False)
                 ids = decode(payload, index, n_ids).astype("<u4")
                 ends = np.cumsum(counts)
-                base = sent.value[shard, seq]
+                base = sent.value[shard] + before
                 for i in range(0, len(counts), 256):
                     k = counts[i : i + 256]
                     first = int(ends[i] - counts[i])
@@ -270,24 +296,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of the shards' documents; the ids stay in the task."""
-    shards = spark.read.schema(_SHARD).parquet(path)
-    sums = sorted((r[0], r[1], r[2]) for r in shards.select("shard", "seq", "n_ids").collect())
-    before, base = 0, {}
-    for shard, seq, k in sums:
-        base[shard, seq] = before
-        before += k
-    sent = spark.sparkContext.broadcast(base)
+    shards, sent = _shards(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, seq, n_ids, payload, index = (batch.column(i)[row].as_py() for i in (0, 1, 4, 5, 6))
-                counts = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                shard, before, n_ids, payload, index = (batch.column(i)[row].as_py() for i in (0, 2, 5, 6, 7))
+                counts = batch.column(4)[row].values.to_numpy(zero_copy_only=False)
                 data = memoryview(decode(payload, index, n_ids).astype("<u4").tobytes())
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 crc = np.fromiter((zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(counts))
-                yield pa.RecordBatch.from_arrays([batch.column(2)[row].values, pa.array(sent.value[shard, seq] + starts), pa.array(counts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(3)[row].values, pa.array(sent.value[shard] + before + starts), pa.array(counts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
