@@ -11,6 +11,7 @@ whose commit makes lost executors and repeated tasks harmless.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -136,7 +137,7 @@ def decode_block(payload: bytes, index: bytes, block: int) -> np.ndarray:
 #: Stands between words that are encoded together; white space keeps it apart from them.
 _MARK = "\x01"
 #: Words encoded together.
-_TOGETHER = 64
+_TOGETHER = 512
 
 
 class _Encoder:
@@ -148,6 +149,8 @@ class _Encoder:
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS) -> None:
+        # Spark runs the tasks; threads of the library's own would only cost memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = cache
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
@@ -164,8 +167,11 @@ class _Encoder:
         if self.mark is None or any(_MARK in w for w in words):
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
-        joined = [f" {_MARK} ".join(words[i : i + _TOGETHER]) + f" {_MARK}" for i in range(0, len(words), _TOGETHER)]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        parts = []
+        for i in range(0, len(words), _TOGETHER):
+            # one text at a time: what the library makes of it is many times larger than the ids
+            parts.append(np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(words[i : i + _TOGETHER]) + f" {_MARK}"], add_special_tokens=False)[0].ids, np.uint32))
+        flat = np.concatenate(parts)
         marks = np.flatnonzero(flat == self.mark)
         return flat[flat != self.mark], np.diff(marks, prepend=-1) - 1
 
