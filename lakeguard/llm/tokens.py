@@ -34,7 +34,7 @@ SHARD_IDS = 1 << 19
 #: Id that ends every document.
 END = 1
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 3_000_000
 
 
 # ---------------------------------------------------------------- the format
@@ -247,7 +247,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
         for batch in batches:
             raw, offsets = strings(batch.column(1))
             of = batch.column(0).to_pylist()
-            for i, j in slices(offsets, 1 << 20):
+            for i, j in slices(offsets):
                 flat, k = encoder.ids(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids.append(flat)
                 lengths.append(k)
