@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = ("steps", "audit", "streams")
 
 
 def _gather(name: str) -> dict:
