@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("steps", "audit", "streams")
+_MODULES: tuple[str, ...] = ("steps", "profile", "audit", "streams", "causal", "operations")
 
 
 def _gather(name: str) -> dict:
