@@ -293,8 +293,8 @@ def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, e
     """Share of the links of every fiftieth vector, counted against all rows in blocks, that ``found`` has."""
     rows = _valid(only(vectors, "vec_id", "embedding")).filter("valid")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").cast("long").alias("block"), "vec_id", "embedding")
-    dealt = rows.select(block.cast("long").alias("block"), "vec_id", "embedding")
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").cast("long").alias("block"), F.size("embedding").alias("d"), "vec_id", "embedding")
+    dealt = rows.select(block.cast("long").alias("block"), F.size("embedding").alias("d"), "vec_id", "embedding")
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -303,7 +303,7 @@ def audit_recall(vectors: DataFrame, found: DataFrame, cosine: float = COSINE, e
         k = sum(((a @ b[i : i + 1024].T) >= cosine).sum(1) for i in range(0, len(b), 1024))
         return pa.table({"vec_id": left["vec_id"], "links": pa.array(np.asarray(k, np.int64))})
 
-    true = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(compare, "vec_id long, links long").groupBy("vec_id").agg((F.sum("links") - 1).alias("links"))
+    true = asked.groupBy("block", "d").cogroup(dealt.groupBy("block", "d")).applyInArrow(compare, "vec_id long, links long").groupBy("vec_id").agg((F.sum("links") - 1).alias("links"))
     row = true.join(found, "vec_id").agg(F.sum("links"), F.sum(F.least("links", "n_links"))).first()
     return float(row[1]) / row[0] if row[0] else 1.0
 
