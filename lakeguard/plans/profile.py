@@ -81,12 +81,12 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ag14_batch_distribution",
-    f"""SELECT month, 'quantity' AS "column", round(avg(quantity), 6) AS mean, round(stddev_pop(quantity), 6) AS std, round(1 - count(quantity) / count(*), 6) AS null_rate, count(DISTINCT quantity) AS "distinct", count(*) AS n FROM {GAPS} GROUP BY month
-    UNION ALL SELECT month, 'tax', round(avg(tax), 6), round(stddev_pop(tax), 6), round(1 - count(tax) / count(*), 6), count(DISTINCT tax), count(*) FROM {GAPS} GROUP BY month""",
+    f"""SELECT month, 'quantity' AS "column", round(avg(quantity), 4) AS mean, round(stddev_pop(quantity), 4) AS std, round(1 - count(quantity) / count(*), 4) AS null_rate, count(DISTINCT quantity) AS "distinct", count(*) AS n FROM {GAPS} GROUP BY month
+    UNION ALL SELECT month, 'tax', round(avg(tax), 4), round(stddev_pop(tax), 4), round(1 - count(tax) / count(*), 4), count(DISTINCT tax), count(*) FROM {GAPS} GROUP BY month""",
 )
 def batch(spark: SparkSession, sf: str) -> DataFrame:
     df = P.batch_stats(gaps(spark, sf), ["month"], ["quantity", "tax"])
-    return df.withColumns({c: F.round(c, 6) for c in ("mean", "std", "null_rate")})
+    return df.withColumns({c: F.round(c, 4) for c in ("mean", "std", "null_rate")})
 
 
 @query("ag15_correlation_matrix", "SELECT 'l_quantity' AS a, 'net' AS b, round(corr(l_quantity, l_quantity * (1 - l_discount)), 6) AS r, 'strong' AS strength FROM lineitem")
