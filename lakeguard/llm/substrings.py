@@ -212,14 +212,14 @@ def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
 
 
 ORACLE = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w),
 k AS (SELECT s.doc_id, s.i, md5(array_to_string(ws[s.i : s.i + 34], ' ')) AS h FROM s JOIN w USING (doc_id)),
 r AS (SELECT doc_id, i FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
 g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), p -> NOT list_contains(gone, p)), p -> ws[p]) END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(gone, p)), lambda p: ws[p]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN g ON g.doc_id = w.doc_id
 """
 
