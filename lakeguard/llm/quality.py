@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeguard.llm.common import only, table
+from lakeguard.llm.common import materialise, only, table
 from lakeguard.llm.kernels import SPACE_WORDS, Words, slices, strings
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their doc_id.
@@ -231,6 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     """
     known = only(labels, "doc_id", "quality").filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = F.broadcast(materialise(chosen))  # at most train_rows pairs of numbers, so the texts stay where they are
     picked = only(docs, "doc_id", "text").join(chosen, "doc_id")
     labelled = _measured(picked.select("doc_id", "text")).join(chosen, "doc_id").select("doc_id", "x", "quality")
     rows = sorted((r[0], tuple(r[1]), r[2]) for r in labelled.limit(2 * train_rows).collect())

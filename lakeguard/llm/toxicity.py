@@ -12,15 +12,18 @@ than using it.  A logistic model of a few counts gives the score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeguard.llm.common import only, table
+from lakeguard.llm.common import materialise, only, table
 
 #: Labelled rows that the lexicon is learnt from, at most: those with the least hash of their doc_id.
 TRAIN_ROWS = 100_000
@@ -38,7 +41,7 @@ CONTEXT = 6
 CACHE_WORDS = 500_000
 
 #: A word: letters, with digits and signs that stand in for letters.
-WORD = re.compile(r"[^\W_](?:[^\W_]|[@$!*'](?=[^\W_]))*")
+WORD = re.compile(r"[^\W_]+(?:[@$!*'][^\W_]+)*")
 #: Signs that are read as letters.  Fixed values.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 #: Words that report or discuss another word.  Fixed values.
@@ -115,6 +118,11 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     intercept: float = -2.0
 
+    @cached_property
+    def matcher(self) -> Matcher:
+        """Made once a worker, so that the words that it has met stay known from task to task."""
+        return Matcher(self)
+
 
 class Matcher:
     """Hits of a lexicon in texts."""
@@ -155,12 +163,16 @@ class Matcher:
         self.seen[word] = got
         return got
 
+    def kinds(self, words: set[str]) -> dict[str, int]:
+        """The words that are terms, with their kinds."""
+        seen = self.seen
+        return {w: k for w in words if (k := seen[w] if w in seen else self.kind(w))}
+
     def features(self, text: str) -> list[float]:
         """FEATURES of a text."""
         low = text.lower()
         words = WORD.findall(low)
-        seen = self.seen
-        kinds = {w: k for w in set(words) if (k := seen[w] if w in seen else self.kind(w))}
+        kinds = self.kinds(set(words))
         if not kinds:
             return [0.0] * len(FEATURES)
         exact = fuzzy = quoted = 0.0
@@ -194,19 +206,30 @@ def lexicon(labelled: DataFrame) -> Model:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, tuple[str, ...]] = {}
+
+        def prefixes(word: str) -> tuple[str, ...]:
+            got = stems.get(word)
+            if got is None:
+                got = tuple(word[:k] for k in range(STEM_LETTERS[0], min(len(word) - 1, STEM_LETTERS[1]) + 1))
+                if len(stems) < CACHE_WORDS:
+                    stems[word] = got
+            return got
+
         for batch in batches:
-            counts: dict[tuple[str, bool], list[int]] = {}
+            counts = {(stem, toxic): Counter() for stem in (False, True) for toxic in (False, True)}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in WORD.findall((text or "").lower()) if len(w) > 2}
-                keys = {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(STEM_LETTERS[0], min(len(w) - 1, STEM_LETTERS[1]) + 1)}
-                for key in keys:
-                    counts.setdefault(key, [0, 0])[int(toxic)] += 1
-            got = list(counts.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in got], pa.string()), pa.array([k[1] for k, _ in got], pa.bool_()), pa.array([c[1] for _, c in got], pa.int64()), pa.array([c[0] for _, c in got], pa.int64())], ["word", "stem", "yes", "no"])
+                words = {w for w in set(WORD.findall((text or "").lower())) if len(w) > 2}
+                counts[False, bool(toxic)].update(words)
+                counts[True, bool(toxic)].update(set(chain.from_iterable(map(prefixes, words))))
+            for (stem, toxic), found in counts.items():
+                n, zero = pa.array(found.values(), pa.int64()), pa.array(np.zeros(len(found), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([stem] * len(found), pa.bool_()), n if toxic else zero, zero if toxic else n], ["word", "stem", "yes", "no"])
 
     counts = labelled.select("text", "toxic").mapInArrow(run, "word string, stem boolean, yes long, no long").groupBy("word", "stem").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     enough = F.when(F.col("stem"), F.lit(STEM_SUPPORT)).otherwise(F.lit(SUPPORT))
-    strong = counts.filter((F.col("yes") >= enough) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no") + 1)))
+    # written once, read for the terms and for the stems
+    strong = materialise(counts.filter((F.col("yes") >= enough) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no") + 1))))
     terms = [r[0] for r in strong.filter("not stem").orderBy(F.desc("yes"), "word").limit(TERMS).select("word").collect()]
     stems = [r[0] for r in strong.filter("stem").orderBy(F.desc("yes"), "word").limit(TERMS).select("word").collect()]
     # a stem stands for the longer ones that begin with it
@@ -218,9 +241,10 @@ def lexicon(labelled: DataFrame) -> Model:
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value)
+        matcher = sent.value.matcher
         for batch in batches:
-            found = {w for text in batch.column(0).to_pylist() for w in set(WORD.findall((text or "").lower())) if (matcher.seen[w] if w in matcher.seen else matcher.kind(w)) == 1}
+            words = set().union(*(WORD.findall((text or "").lower()) for text in batch.column(0).to_pylist()))
+            found = {w for w, k in matcher.kinds(words).items() if k == 1}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     clean = labelled.filter("toxic = 0").select("text").mapInArrow(near, "word string").distinct().orderBy("word").limit(TERMS)
@@ -246,7 +270,7 @@ def _measured(docs: DataFrame, model: Model, keep: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value)
+        matcher = sent.value.matcher
         for batch in batches:
             x = [matcher.features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [keep, "x"])
@@ -258,7 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     """The model of ``labels(doc_id, toxic)``, learnt from at most train_rows labelled rows outside the held-out ones."""
     known = only(labels, "doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    labelled = only(docs, "doc_id", "text").join(chosen, "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text")
+    # at most train_rows pairs of numbers, so the texts stay where they are
+    labelled = only(docs, "doc_id", "text").join(F.broadcast(materialise(chosen)), "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text")
     model = lexicon(labelled)
     # a few distinct rows of features, with their numbers
     seen = _measured(labelled, model, "toxic").groupBy("toxic", F.transform("x", lambda v: F.round(v, 2)).alias("x")).count()
