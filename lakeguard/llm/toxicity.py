@@ -81,29 +81,41 @@ class Trie:
                 return True
         return self.ends[node]
 
-    def near(self, word: str, edits: int = 1) -> bool:
-        """Whether a term is within ``edits`` of the word, a swap of neighbours counting as one.
+    def near(self, word: str) -> bool:
+        """Whether a term is within one edit of the word, a swap of neighbours counting as one.
 
-        The automaton's states are the rows of the edit table that the walk has
-        reached; a branch is left once no entry is within the edits allowed.
+        The automaton's states are a place in the word with no or one edit made.
+        Those without an edit follow the word itself; from each of them one edit
+        leads on, and what is left of the word must then be the rest of a term.
         """
-        n = len(word)
-        start = list(range(n + 1))
-        stack = [(0, start, None, "")]
-        while stack:
-            node, row, before, letter = stack.pop()
-            for c, child in self.children[node].items():
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    cost = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c))
-                    if before is not None and i > 1 and word[i - 1] == letter and word[i - 2] == c:
-                        cost = min(cost, before[i - 2] + 1)
-                    new.append(cost)
-                if self.ends[child] and new[n] <= edits:
+        children, n = self.children, len(word)
+
+        def rest(node: int, i: int) -> bool:
+            while i < n:
+                node = children[node].get(word[i], 0)
+                if not node:
+                    return False
+                i += 1
+            return self.ends[node]
+
+        node = 0
+        for i in range(n):
+            here, c = children[node], word[i]
+            after = word[i + 1] if i + 1 < n else ""
+            if rest(node, i + 1):  # one letter too many
+                return True
+            for child in here.values():
+                below = children[child]
+                if (after in below or not after and self.ends[child]) and rest(child, i + 1):  # a wrong letter
                     return True
-                if min(new) <= edits:
-                    stack.append((child, new, row, c))
-        return False
+                if c in below and rest(child, i):  # a missing letter
+                    return True
+            if after and (swapped := here.get(after, 0)) and (both := children[swapped].get(c, 0)) and rest(both, i + 2):
+                return True
+            node = here.get(c, 0)
+            if not node:
+                return False
+        return self.ends[node] or any(self.ends[child] for child in children[node].values())
 
 
 FEATURES = ("exact", "fuzzy", "quoted", "density", "any_exact")
@@ -133,31 +145,21 @@ class Matcher:
             self.trie.add(s, stem=True)
         #: terms that may be misspelt
         self.loose = Trie()
-        #: an edit leaves the first or the last half of a term as it is
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
         for t in model.terms:
             if len(t) >= FUZZY_LETTERS and not self.trie.exact(t):
                 self.loose.add(t)
-                k = len(t) // 2
-                self.heads.setdefault(k, set()).add(t[:k])
-                self.tails.setdefault(k, set()).add(t[-k:])
         for t in model.terms:
             self.trie.add(t)
         self.seen: dict[str, int] = {w: 0 for w in model.clean}
         self.clean = dict(self.seen)
 
-    def near(self, word: str) -> bool:
-        """Whether the word is a term with one edit."""
-        return (any(word[:k] in x for k, x in self.heads.items()) or any(word[-k:] in x for k, x in self.tails.items())) and self.loose.near(word)
-
     def kind(self, word: str) -> int:
         """2 for a term, 1 for a misspelt one, else 0."""
         got = 2 if self.trie.exact(word) else 0
         if not got and not word.isalpha():
             got = 1 if self.trie.exact(word.translate(STAND_INS).replace("*", "").replace("'", "")) else 0
         if not got and len(word) >= FUZZY_LETTERS:
-            got = int(self.near(word))
+            got = int(self.loose.near(word))
         if len(self.seen) >= CACHE_WORDS:
             self.seen = dict(self.clean)
         self.seen[word] = got
