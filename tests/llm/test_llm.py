@@ -219,6 +219,26 @@ def test_automaton_finds_one_edit():
     assert not any(trie.near(w) for w in ("scound", "soundtrack", ""))
 
 
+def test_automaton_against_every_edit():
+    letters = "abc"
+    rng = np.random.default_rng(3)
+    terms = {"".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(25)}
+    trie = toxicity.Trie()
+    for t in terms:
+        trie.add(t)
+
+    def edits(w):
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        yield w
+        for x, y in cuts:
+            yield x + y[1:]
+            yield from (x + y[1:2] + y[:1] + y[2:], *(x + c + y for c in letters), *(x + c + y[1:] for c in letters))
+
+    for _ in range(500):
+        word = "".join(rng.choice(list(letters), rng.integers(0, 8)))
+        assert trie.near(word) == bool(terms & set(edits(word))), word
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
