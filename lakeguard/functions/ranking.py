@@ -49,6 +49,23 @@ def prefix_max(df: DataFrame, order: Sequence[Column], value: str, name: str) ->
     return placed.withColumn("_own", F.max(value).over(rows)).join(F.broadcast(before), "_part").withColumn(name, F.greatest("_own", "_prior")).drop("_part", "_own", "_prior")
 
 
+def nearest_known(df: DataFrame, order: str, value: str) -> DataFrame:
+    """Adds ``value_before`` and ``value_after``: the nearest value that is not null at or before and at or after a row.
+
+    Rows are range-partitioned by ``order``; what a partition hands to the others
+    is its first and last known value.
+    """
+    placed = _placed(df, [F.col(order)])
+    rows = Window.partitionBy("_part").orderBy(order)
+    known = F.when(F.col(value).isNotNull(), F.col(order))
+    edges = placed.groupBy("_part").agg(F.max_by(value, known).alias("_last"), F.min_by(value, known).alias("_first"))
+    parts = Window.orderBy("_part")  # a row for each partition
+    edges = edges.select("_part", F.last("_last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.first("_first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    own = placed.withColumn("_b", F.last(value, True).over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(value, True).over(rows.rowsBetween(0, Window.unboundedFollowing)))
+    met = own.join(F.broadcast(edges), "_part")
+    return met.withColumn(f"{value}_before", F.coalesce("_b", "_prior")).withColumn(f"{value}_after", F.coalesce("_a", "_next")).drop("_part", "_b", "_a", "_prior", "_next")
+
+
 def order_statistics(df: DataFrame, value: str, picks: dict[str, Column], order: Sequence[Column] = ()) -> DataFrame:
     """One row with exact order statistics: ``picks`` maps a name to a 0-based position, an expression over ``n``."""
     clean = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])

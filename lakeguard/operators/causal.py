@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeguard.functions.ranking import global_rank, moments
+from lakeguard.functions.ranking import global_rank, moments, nearest_known
 
 RESULT = "method string, point double, ci_lower double, ci_upper double, n long"
 
@@ -87,32 +88,79 @@ def propensity(df: DataFrame, treatment: str, confounders: Sequence[str], clip:
     return model.transform(ready).withColumn("propensity", e).drop("_x", "_p", "rawPrediction", "prediction")
 
 
-def doubly_robust(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2) -> DataFrame:
-    """Cross-fitted AIPW: folds by a hash of the row's id, logistic propensity, linear outcome models by arm."""
-    named = df.withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds)))
+def cross_fitted(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2, clip: float = 0.025) -> DataFrame:
+    """(t, y, e, m0, m1): clipped logistic propensity and linear outcomes by arm of each row, fitted on the other folds.
+
+    Folds follow a hash of the row's id.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    make = VectorAssembler(inputCols=list(confounders), outputCol="_x", handleInvalid="skip")
+    ready = make.transform(df.withColumn(treatment, F.col(treatment).cast("double")).withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds))))
+    columns = [*confounders, outcome]
     parts = []
     for k in range(folds):
-        train, test = named.filter(F.col("_fold") != k), named.filter(F.col("_fold") == k)
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        make = VectorAssembler(inputCols=list(confounders), outputCol="_x", handleInvalid="skip")
-        model = LogisticRegression(featuresCol="_x", labelCol=treatment, probabilityCol="_p").fit(make.transform(train.withColumn(treatment, F.col(treatment).cast("double"))))
-        scored = model.transform(make.transform(test.withColumn(treatment, F.col(treatment).cast("double")))).withColumn("_e", F.greatest(F.least(vector_to_array("_p")[1], F.lit(0.975)), F.lit(0.025)))
-        fits = {}
+        train, test = ready.filter(F.col("_fold") != k), ready.filter(F.col("_fold") == k)
+        model = LogisticRegression(featuresCol="_x", labelCol=treatment, probabilityCol="_p").fit(train)
+        means = {}
         for arm in (0, 1):
-            columns = [*confounders, outcome]
             m, _ = _matrix(moments(train.filter(F.col(treatment) == arm), columns).first().asDict(), columns)
-            fits[arm] = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
-        mu = {a: sum((F.col(c) * float(b) for c, b in zip(confounders, beta[1:], strict=True)), F.lit(float(beta[0]))) for a, beta in fits.items()}
-        t, y, e = F.col(treatment), F.col(outcome), F.col("_e")
-        parts.append(scored.select((mu[1] - mu[0] + t * (y - mu[1]) / e - (1 - t) * (y - mu[0]) / (1 - e)).alias("psi")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    one = every.agg(F.avg("psi").alias("point"), (1.96 * F.stddev("psi") / F.sqrt(F.count("*"))).alias("h"), F.count("*").alias("n"))
-    return one.select(F.lit("aipw").alias("method"), "point", (F.col("point") - F.col("h")).alias("ci_lower"), (F.col("point") + F.col("h")).alias("ci_upper"), "n")
+            beta = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
+            means[arm] = sum((F.col(c) * float(b) for c, b in zip(confounders, beta[1:], strict=True)), F.lit(float(beta[0])))
+        e = F.greatest(F.least(vector_to_array("_p")[1], F.lit(1 - clip)), F.lit(clip))
+        parts.append(model.transform(test).select(F.col(treatment).alias("t"), F.col(outcome).cast("double").alias("y"), e.alias("e"), means[0].alias("m0"), means[1].alias("m1")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _interval(rows: DataFrame, influence: str, method: str) -> DataFrame:
+    """The mean of a column with its normal interval."""
+    one = rows.agg(F.avg(influence).alias("point"), (1.96 * F.stddev(influence) / F.sqrt(F.count("*"))).alias("h"), F.count("*").alias("n"))
+    return one.select(F.lit(method).alias("method"), "point", (F.col("point") - F.col("h")).alias("ci_lower"), (F.col("point") + F.col("h")).alias("ci_upper"), "n")
+
+
+def doubly_robust(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2) -> DataFrame:
+    """Cross-fitted AIPW."""
+    rows = cross_fitted(df, treatment, outcome, confounders, row_id, folds)
+    return _interval(rows.withColumn("psi", F.expr("m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e)")), "psi", "aipw")
+
+
+def tmle(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2) -> DataFrame:
+    """Targeted maximum likelihood: outcomes moved by one step along the clever covariate, interval from the influence curve."""
+    rows = cross_fitted(df, treatment, outcome, confounders, row_id, folds).withColumn("h", F.expr("t / e - (1 - t) / (1 - e)")).withColumn("r", F.expr("y - if(t = 1, m1, m0)"))
+    step = rows.agg(F.coalesce(F.try_divide(F.sum(F.col("h") * F.col("r")), F.sum(F.col("h") * F.col("h"))), F.lit(0.0)).alias("eps"))
+    moved = rows.join(F.broadcast(step)).withColumn("gap", F.expr("m1 - m0 + eps / e + eps / (1 - e)"))
+    # the targeted residuals weigh to zero, so the mean of the influence curve is the estimate
+    return _interval(moved.withColumn("ic", F.expr("gap + h * (r - eps * h)")), "ic", "tmle")
+
+
+def match_on_score(df: DataFrame, treatment: str, outcome: str, score: str) -> DataFrame:
+    """(att, ate, n): each row against the nearest score of the other arm, with replacement.
+
+    Rows of one score and arm are one candidate with their mean outcome, so ties
+    need no choice and a frequent score is one row; of two equally near scores
+    the lower counts.  Null scores and outcomes take no part.
+    """
+    rows = df.filter(F.col(score).isNotNull() & F.col(outcome).isNotNull() & F.col(treatment).isNotNull())
+    t, y = F.col(treatment).cast("double"), F.col(outcome).cast("double")
+    cells = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(t).alias("n1"), F.sum(1 - t).alias("n0"), F.sum(t * y).alias("y1"), F.sum((1 - t) * y).alias("y0"))
+    for arm in "01":
+        n, total = F.col(f"n{arm}"), F.col(f"y{arm}")
+        cells = nearest_known(cells.withColumn(f"c{arm}", F.when(n > 0, F.struct(F.col("s").alias("at"), (total / n).alias("mean")))), "s", f"c{arm}")
+
+    def other(arm: str) -> Column:
+        low, high = F.col(f"c{arm}_before"), F.col(f"c{arm}_after")
+        return F.when(low.isNull() | (high["at"] - F.col("s") < F.col("s") - low["at"]), high["mean"]).otherwise(low["mean"])
+
+    treated, control = F.sum(F.col("y1") - F.col("n1") * other("0")), F.sum(F.col("n0") * other("1") - F.col("y0"))
+    n1, n0 = F.sum("n1"), F.sum("n0")
+    return cells.agg(F.try_divide(treated, n1).alias("att"), F.try_divide(treated + control, n1 + n0).alias("ate"), (n1 + n0).cast("long").alias("n"))
+
+
+def propensity_matching(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str]) -> DataFrame:
+    """Matching on the logistic propensity."""
+    return match_on_score(propensity(df, treatment, confounders), treatment, outcome, "propensity").select(F.lit("psm").alias("method"), F.col("ate").alias("point"), "n")
 
 
 # ------------------------------------------------------------ checks

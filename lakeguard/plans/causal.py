@@ -39,6 +39,32 @@ def ipw(spark: SparkSession, sf: str) -> DataFrame:
     return C.stratified_ipw(study(spark, sf), "t", "y", ["l_returnflag"]).select(F.round("point", 5).alias("point"), "n")
 
 
+@query("ca3_psm")
+def psm(spark: SparkSession, sf: str) -> DataFrame:
+    return C.propensity_matching(study(spark, sf), "t", "y", ["x", "z"])
+
+
+@query("ca6_tmle")
+def tmle(spark: SparkSession, sf: str) -> DataFrame:
+    return C.tmle(study(spark, sf), "t", "y", ["x", "z"], ["l_orderkey", "l_linenumber"])
+
+
+def _nearest(arm: str) -> str:
+    return f"CASE WHEN b{arm}.spot IS NULL OR a{arm}.spot - s < s - b{arm}.spot THEN a{arm}.m ELSE b{arm}.m END"
+
+
+@query(
+    "jn8_propensity_match",
+    f"""WITH cells AS (SELECT y AS s, sum(t) AS n1, sum(1 - t) AS n0, sum(t * x) AS y1, sum((1 - t) * x) AS y0 FROM {STUDY} GROUP BY 1),
+ c0 AS (SELECT s AS spot, y0 / n0 AS m FROM cells WHERE n0 > 0), c1 AS (SELECT s AS spot, y1 / n1 AS m FROM cells WHERE n1 > 0)
+ SELECT round(sum(y1 - n1 * {_nearest("0")}) / sum(n1), 5) AS att, round((sum(y1 - n1 * {_nearest("0")}) + sum(n0 * {_nearest("1")} - y0)) / sum(n1 + n0), 5) AS ate, CAST(sum(n1 + n0) AS BIGINT) AS n
+ FROM cells ASOF LEFT JOIN c0 b0 ON s >= b0.spot ASOF LEFT JOIN c0 a0 ON s <= a0.spot ASOF LEFT JOIN c1 b1 ON s >= b1.spot ASOF LEFT JOIN c1 a1 ON s <= a1.spot""",
+)
+def matched(spark: SparkSession, sf: str) -> DataFrame:
+    found = C.match_on_score(study(spark, sf), "t", "x", "y")
+    return found.select(F.round("att", 5).alias("att"), F.round("ate", 5).alias("ate"), "n")
+
+
 @query("ca4_aipw")
 def aipw(spark: SparkSession, sf: str) -> DataFrame:
     return C.doubly_robust(study(spark, sf), "t", "y", ["x", "z"], ["l_orderkey", "l_linenumber"])
