@@ -57,11 +57,12 @@ def nearest_known(df: DataFrame, order: str, value: str) -> DataFrame:
     """
     placed = _placed(df, [F.col(order)])
     rows = Window.partitionBy("_part").orderBy(order)
+    back = Window.partitionBy("_part").orderBy(F.desc(order))  # a growing frame; one that shrinks is built anew for every row
     known = F.when(F.col(value).isNotNull(), F.col(order))
     edges = placed.groupBy("_part").agg(F.max_by(value, known).alias("_last"), F.min_by(value, known).alias("_first"))
     parts = Window.orderBy("_part")  # a row for each partition
-    edges = edges.select("_part", F.last("_last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.first("_first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
-    own = placed.withColumn("_b", F.last(value, True).over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(value, True).over(rows.rowsBetween(0, Window.unboundedFollowing)))
+    edges = edges.select("_part", F.last("_last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.last("_first", True).over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
+    own = placed.withColumn("_b", F.last(value, True).over(rows.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.last(value, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     met = own.join(F.broadcast(edges), "_part")
     return met.withColumn(f"{value}_before", F.coalesce("_b", "_prior")).withColumn(f"{value}_after", F.coalesce("_a", "_next")).drop("_part", "_b", "_a", "_prior", "_next")
 
