@@ -77,7 +77,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.filter("u <> v").distinct()
 
     def mark(links: DataFrame) -> tuple:
-        row = links.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        # links are distinct, so nothing cancels out; a sum of hashes would leave the range of a long
+        row = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "u", "v"))).first()
         return tuple(row)
 
     links = materialise(edges.select("u", "v").filter("u <> v").distinct())
