@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeguard.llm import decontaminate, mixing, quality, simhash, tokens
@@ -21,20 +21,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def row_key(docs: DataFrame, *columns: str) -> Column:
+    """Hash of columns (all of them if none is named) that tells a null from a value; equal rows have equal ones."""
+    named = [F.col(f"`{c}`") for c in columns or docs.columns]
+    return F.xxhash64(*named, *[c.isNull() for c in named])
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that of the least doc_id, and of its rows the first by a hash of the text."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang"))
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """Keeps one document of each group: that of the least doc_id, and of its rows the first by a hash of the text.
+
+    Rows are told apart by their doc_id and text, as doc_ids may be null or repeat; a null one comes after all others.
+    """
+    keyed = docs.withColumn("_t", F.xxhash64("text")).withColumn("_r", row_key(docs))
+    kept = simhash.first_rows(keyed, ("_t", "_r")).select(F.col("_t").alias("_kt"), F.col("_r").alias("_kr"))
+    # rows that are equal in every column share a key
+    return keyed.join(kept, (F.col("_t") == F.col("_kt")) & (F.col("_r") == F.col("_kr")), "left_semi").drop("_t", "_r").distinct()
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents with a window of a benchmark item; a key of doc_id and text stands for the row."""
+    keyed = docs.withColumn("_r", row_key(docs, "doc_id", "text"))
+    found = decontaminate.contamination(keyed.select(F.col("_r").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return keyed.join(hit, F.col("_r") == F.col("_hit"), "left_anti").drop("_r")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

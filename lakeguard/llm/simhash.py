@@ -52,17 +52,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row; a null or empty text has fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) and the longs ``carried`` for every row; a null or empty text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = strings(batch.column(1))
             data = raw.tobytes()
             fp = np.fromiter((fingerprint(data[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carried])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return only(docs, "doc_id", "text", *carried).mapInArrow(run, ", ".join(f"`{c}` long" for c in ("doc_id", "fp", *carried)))
 
 
 def trie_links(keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +173,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def first_rows(docs: DataFrame, order: tuple[str, ...], max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """The longs ``order`` of one row of each component of ``docs(doc_id, text, *order)``.
+
+    It is the row of the least doc_id, null after all others, and of its rows the
+    first by ``order``.  Minima are taken by fingerprint, then by component.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *order)
+    reps = materialise(fingerprints(docs, shingle, order).groupBy("fp").agg(F.min(own).alias("first")))
+    groups = connected(links(reps.select("fp"), max_bits))
+    found = reps.join(groups, F.col("node") == F.col("fp"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return found.select(*[F.col("first")[c].alias(c) for c in order])
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs(doc_id, text)``.
 

@@ -1,7 +1,9 @@
 """Cases that small or well-kept tables do not meet."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lakeguard.llm.common import connected
 
 
@@ -9,3 +11,28 @@ def test_connected_on_a_million_links(spark):
     n = 1_000_000
     got = connected(spark.range(n).select((2 * F.col("id") + 1).alias("u"), (2 * F.col("id")).alias("v")))
     assert got.agg(F.count("*"), F.sum((F.col("root") == F.col("node") - F.col("node") % 2).cast("int"))).first() == (2 * n, 2 * n)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=60):
+    return " ".join(np.random.default_rng(seed).choice([f"w{i}" for i in range(500)], n))
+
+
+def listed(frame):
+    return sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
+    a, b, c, d, e = map(prose, range(5))
+    bench = prose(9, 15)
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (None, a), (7, e), (7, e), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS).repartition(3)
+    got = listed(corpus_pipeline.near_dedup_stage(spark, docs, ""))
+    assert got == sorted([(3, a), (5, b), (None, c), (None, d), (7, e), (None, None)], key=str)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dirty = [(None, f"{a} {bench}"), (None, b), (None, None), (5, f"{c} {bench}"), (5, d), (6, e)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in dirty], DOCS)
+    got = listed(corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)))
+    assert got == sorted([(None, b), (None, None), (5, d), (6, e)], key=str)
