@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from lakeguard.llm.common import keep, only, table
 
-#: Pages of a host that a branch needs before its importance is judged, and the share of the host's pages.
-MIN_PAGES, MIN_SHARE = 10, 0.3
-#: Importance below which a branch is removed.
-LOW = 0.3
+#: Different pages of a host that a branch needs before its importance is judged.
+MIN_PAGES = 10
+#: Importance below which a branch is removed, and what one under a main element gets on top.
+LOW, RAISE = 0.3, 0.15
 
 #: Elements whose contents are no page text.  Fixed values.
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "math", "xmp", "noembed", "noframes"))
@@ -135,50 +135,46 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, path, importance) of ``pages(host, html)``: the style trees' nodes that stand on enough pages.
 
     Importance of a content node is the entropy of its contents over the pages,
     divided by the most that so many pages can have; that of a presentation
-    node the mean of the contents below it.  Contents under the main elements
-    take no part: they are the pages' own.
+    node the mean of the contents below it.  Nodes under the main elements get
+    RAISE more.  Pages with the same blocks count once, as copies of a page say
+    nothing about its template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, digests = [], [], []
+            hosts, paths, digests, copies = [], [], [], []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen: dict[tuple[str, ...], list[str]] = {}
-                for b in blocks(page or ""):
-                    if not b.main and not b.chrome:
-                        for k in range(1, len(b.path) + 1):
-                            seen.setdefault(b.path[:k], []).append(b.text)
+                found = [b for b in blocks(page or "") if not b.chrome]
+                whole = _digest("\n".join(b.text for b in found))
+                for b in found:
+                    for k in range(1, len(b.path) + 1):
+                        seen.setdefault(b.path[:k], []).append(b.text)
                 for path, texts in seen.items():
                     hosts.append(name)
                     paths.append("/".join(path))
                     digests.append(_digest("\n".join(texts)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(digests, pa.int64())], ["host", "path", "digest"])
+                    copies.append(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(digests, pa.int64()), pa.array(copies, pa.int64())], ["host", "path", "digest", "page"])
 
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, path string, digest long")
+    nodes = pages.select("host", "html").mapInArrow(run, "host string, path string, digest long, page long").distinct()
     spread = nodes.groupBy("host", "path", "digest").agg(F.count("*").alias("k")).groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("kk"))
-    count = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    judged = spread.join(count, "host").filter((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages")))
-    return judged.select("host", "path", ((F.log2("n") - F.col("kk") / F.col("n")) / F.log2("n")).alias("importance"))
+    judged = spread.filter((F.col("n") >= min_pages) & (F.col("n") > 1))
+    raised = F.when(F.col("path").rlike("(^|/)(article|main)([./]|$)"), RAISE).otherwise(0.0)
+    return judged.select("host", "path", ((F.log2("n") - F.col("kk") / F.col("n")) / F.log2("n") + raised).alias("importance"))
 
 
 def main_text(page: str, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """Main text of one page: blocks outside chrome and unimportant branches, joined by one space.
-
-    A page with an article or a main element gives that; any other gives what is left.
-    """
-    found = [b for b in blocks(page) if not b.chrome]
-    own = [b for b in found if b.main]
-    if own:
-        return " ".join(b.text for b in own)
-    return " ".join(b.text for b in found if not any("/".join(b.path[:k]) in low for k in range(1, len(b.path) + 1)))
+    """Main text of one page: blocks outside chrome and unimportant branches, joined by one space."""
+    return " ".join(b.text for b in blocks(page) if not b.chrome and not any("/".join(b.path[:k]) in low for k in range(1, len(b.path) + 1)))
 
 
-def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """Main text of every row of ``pages(page_id, url, html)``: page_id, url, text, n_chars.
 
     White space inside a block becomes one space, character references are
@@ -187,10 +183,19 @@ def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES, min_
     table gives no rows; extra columns are ignored.
     """
     named = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    tree = style_tree(named, min_pages, min_share).filter(F.col("importance") < low)
-    # the judged nodes of one host: a handful, as each stands on many of its pages
+    tree = style_tree(named, min_pages).filter(F.col("importance") < low)
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for paths in batch.column(1).to_pylist():
+                all_ = set(paths)
+                lists.append([p for p in paths if not any(p[:i] in all_ for i, c in enumerate(p) if c == "/")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["host", "low"])
+
+    # the judged nodes of one host without those below others, as they stand on many pages each
     # kept, so that the join has plain rows on both sides and a hot host's pages can be split
-    lists = keep(tree.groupBy("host").agg(F.collect_list("path").alias("low")), "low")
+    lists = keep(tree.groupBy("host").agg(F.collect_list("path").alias("low")).mapInArrow(highest, "host string, low array<string>"), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

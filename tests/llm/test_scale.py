@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lakeguard.llm import html_text
 from lakeguard.llm.common import connected
 
 
@@ -36,3 +37,14 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in dirty], DOCS)
     got = listed(corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)))
     assert got == sorted([(None, b), (None, None), (5, d), (6, e)], key=str)
+
+
+def test_style_tree_judges_branches_inside_articles(spark):
+    own = [f"Own text {i} " + prose(i, 5) for i in range(40)]
+    pages = [(i, f"http://h.example/{i}", f"<body><article><p>{t}</p><div class=blk><p>Read on every day</p></div></article><div class=more>More {t}</div></body>") for i, t in enumerate(own)]
+    # a template on few pages of the host, and one page in many copies
+    pages += [(100 + i, f"http://h.example/x{i}", f"<body><main><p>Rare {i}</p><div class=rare>Same line</div></main></body>") for i in range(12)]
+    pages += [(200 + i, f"http://copies.example/{i}", "<body><article><p>One page</p></article></body>") for i in range(15)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{t} More {t}" for i, t in enumerate(own))
+    assert all(got[100 + i] == f"Rare {i}" and got[200 + i] == "One page" for i in range(12))
