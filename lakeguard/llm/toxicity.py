@@ -3,8 +3,8 @@
 A lexicon is learnt from labelled rows: words, and stems (prefixes of words),
 that toxic documents have and others hardly do.  It is stored as a trie.  Each
 distinct word of a batch walks the trie in step with the Levenshtein automaton
-for its spelling, so misspelt terms within one edit are found without comparing
-words to the whole lexicon.  Every hit is weighed by the words around it: marks
+for its spelling, so misspelt terms, and words of a misspelt stem, within one edit
+are found without comparing words to the whole lexicon.  Every hit is weighed by the words around it: marks
 of quotation or report before and after it speak for talking about a word rather
 than using it.  A logistic model of a few counts gives the score.
 """
@@ -81,20 +81,35 @@ class Trie:
                 return True
         return self.ends[node]
 
+    def kind(self, word: str) -> int:
+        """2 for a term, 3 for another word of a stem, else 0."""
+        node, stem = 0, 0
+        for c in word:
+            node = self.children[node].get(c, 0)
+            if not node:
+                return stem
+            if self.stems[node]:
+                stem = 3
+        return 2 if self.ends[node] else stem
+
     def near(self, word: str) -> bool:
-        """Whether a term is within one edit of the word, a swap of neighbours counting as one.
+        """Whether a term is within one edit of the word, or a stem of its beginning, a swap of neighbours counting as one.
 
         The automaton's states are a place in the word with no or one edit made.
         Those without an edit follow the word itself; from each of them one edit
-        leads on, and what is left of the word must then be the rest of a term.
+        leads on, and what is left of the word must then be the rest of a term, or
+        begin with that of a stem.  A stem's last letter must agree: without it, or
+        with another, the word would only share a shorter beginning.
         """
-        children, n = self.children, len(word)
+        children, stems, n = self.children, self.stems, len(word)
 
         def rest(node: int, i: int) -> bool:
             while i < n:
                 node = children[node].get(word[i], 0)
                 if not node:
                     return False
+                if stems[node]:
+                    return True
                 i += 1
             return self.ends[node]
 
@@ -110,15 +125,17 @@ class Trie:
                     return True
                 if c in below and rest(child, i):  # a missing letter
                     return True
-            if after and (swapped := here.get(after, 0)) and (both := children[swapped].get(c, 0)) and rest(both, i + 2):
+            if after and (swapped := here.get(after, 0)) and (both := children[swapped].get(c, 0)) and (stems[both] or rest(both, i + 2)):
                 return True
             node = here.get(c, 0)
             if not node:
                 return False
+            if stems[node]:
+                return True
         return self.ends[node] or any(self.ends[child] for child in children[node].values())
 
 
-FEATURES = ("exact", "fuzzy", "quoted", "density", "any_exact")
+FEATURES = ("exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "density", "any_exact")
 
 
 @dataclass
@@ -127,6 +144,8 @@ class Model:
     stems: list[str]
     #: words near a term that clean documents have
     clean: list[str] = field(default_factory=list)
+    #: the shortest stems of FUZZY_LETTERS or more, which may be misspelt
+    loose_stems: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     intercept: float = -2.0
 
@@ -143,23 +162,25 @@ class Matcher:
         self.trie = Trie()
         for s in model.stems:
             self.trie.add(s, stem=True)
-        #: terms that may be misspelt
-        self.loose = Trie()
+        #: terms that may be misspelt, and stems
+        self.loose, self.loose_stems = Trie(), Trie()
         for t in model.terms:
-            if len(t) >= FUZZY_LETTERS and not self.trie.exact(t):
+            if len(t) >= FUZZY_LETTERS:
                 self.loose.add(t)
+        for s in model.loose_stems:
+            self.loose_stems.add(s, stem=True)
         for t in model.terms:
             self.trie.add(t)
         self.seen: dict[str, int] = {w: 0 for w in model.clean}
         self.clean = dict(self.seen)
 
     def kind(self, word: str) -> int:
-        """2 for a term, 1 for a misspelt one, else 0."""
-        got = 2 if self.trie.exact(word) else 0
+        """2 for a term, 3 for another word of a stem, 1 for a misspelt term, 4 for a word of a misspelt stem, else 0."""
+        got = self.trie.kind(word)
         if not got and not word.isalpha():
             got = 1 if self.trie.exact(word.translate(STAND_INS).replace("*", "").replace("'", "")) else 0
         if not got and len(word) >= FUZZY_LETTERS:
-            got = int(self.loose.near(word))
+            got = 1 if self.loose.near(word) else 4 if self.loose_stems.near(word) else 0
         if len(self.seen) >= CACHE_WORDS:
             self.seen = dict(self.clean)
         self.seen[word] = got
@@ -177,7 +198,7 @@ class Matcher:
         kinds = self.kinds(set(words))
         if not kinds:
             return [0.0] * len(FEATURES)
-        exact = fuzzy = quoted = 0.0
+        exact = stem = fuzzy = fuzzy_stem = quoted = 0.0
         places = list(WORD.finditer(low))
         for i, m in enumerate(places):
             k = kinds.get(m.group())
@@ -190,9 +211,13 @@ class Matcher:
             quoted += about
             if k == 2:
                 exact += 1 - about
+            elif k == 3:
+                stem += 1 - about
+            elif k == 4:
+                fuzzy_stem += 1 - about
             else:
                 fuzzy += 1 - about
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), (exact + fuzzy) / len(words) * 10, float(exact > 0)]
+        return [np.log1p(exact), np.log1p(stem), np.log1p(fuzzy), np.log1p(fuzzy_stem), np.log1p(quoted), (exact + stem + fuzzy) / len(words) * 10, float(exact > 0)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -234,19 +259,22 @@ def lexicon(labelled: DataFrame) -> Model:
     strong = materialise(counts.filter((F.col("yes") >= enough) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no") + 1))))
     terms = [r[0] for r in strong.filter("not stem").orderBy(F.desc("yes"), "word").limit(TERMS).select("word").collect()]
     stems = [r[0] for r in strong.filter("stem").orderBy(F.desc("yes"), "word").limit(TERMS).select("word").collect()]
-    # a stem stands for the longer ones that begin with it
-    short: list[str] = []
-    for s in sorted(stems):
-        if not short or not s.startswith(short[-1]):
-            short.append(s)
-    model = Model(sorted(terms), short)
+    def shortest(stems: list[str]) -> list[str]:
+        """A stem stands for the longer ones that begin with it."""
+        short: list[str] = []
+        for s in sorted(stems):
+            if not short or not s.startswith(short[-1]):
+                short.append(s)
+        return short
+
+    model = Model(sorted(terms), shortest(stems), loose_stems=shortest([s for s in stems if len(s) >= FUZZY_LETTERS]))
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = sent.value.matcher
         for batch in batches:
             words = set().union(*(WORD.findall((text or "").lower()) for text in batch.column(0).to_pylist()))
-            found = {w for w, k in matcher.kinds(words).items() if k == 1}
+            found = {w for w, k in matcher.kinds(words).items() if k in (1, 4)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
     clean = labelled.filter("toxic = 0").select("text").mapInArrow(near, "word string").distinct().orderBy("word").limit(TERMS)

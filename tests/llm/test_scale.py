@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeguard.llm import html_text
+from lakeguard.llm import html_text, toxicity
 from lakeguard.llm.common import connected
 
 
@@ -48,3 +48,15 @@ def test_style_tree_judges_branches_inside_articles(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{t} More {t}" for i, t in enumerate(own))
     assert all(got[100 + i] == f"Rare {i}" and got[200 + i] == "One page" for i in range(12))
+
+
+def test_misspelt_terms_that_stems_cover(spark):
+    said = ["you trash", "such trashy things", "trashing it", "a worthless one", "worthlessness of it", "what a moron", "moronic", "total moronism"]
+    rows = [(f"{t} {prose(i, 5)}", 1) for i, t in enumerate(said * 12)] + [(f"the clash of mornings {prose(i, 8)}", 0) for i in range(40)]
+    matcher = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic long")).matcher
+    assert {"trash", "worthless", "moron"} <= set(matcher.kinds({"trash", "worthless", "moron"}))
+    assert any("trash".startswith(s) for s in toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic long")).stems)
+    assert {w: matcher.kind(w) for w in ("trash", "tarsh", "trsah", "thrash", "wrothless", "worhtless", "mroon", "maron")} == {"trash": 2, "tarsh": 1, "trsah": 1, "thrash": 1, "wrothless": 1, "worhtless": 1, "mroon": 1, "maron": 1}
+    # another word of a stem, and one of a misspelt stem
+    assert matcher.kind("trashcan") == 3 and matcher.kind("worhtlessly") == 4
+    assert not matcher.kinds({"clash", "mornings", "window"})
