@@ -3,9 +3,12 @@
 Distinct vectors are dealt to the shards of their nearest centroids, so shards
 overlap.  In every shard each vector keeps a robust-pruned list of neighbours; a
 vector's lists of all its shards are united.  The search starts at a shard's
-medoid and at the vector itself, walks greedily towards it and then expands as
-long as neighbours are within range or near it, so a dense group is followed to
-its end.  Links found are verified by the cosine in double precision.
+medoid, which is always expanded first, and at the vector itself, walks greedily
+towards it and then expands as long as neighbours are within range or near it, so
+a dense group is followed to its end.  Links found are verified by the cosine in
+double precision.  While the graph is built, all vectors of a shard within range
+of each are counted; a vector whose walk finds fewer is compared to the whole
+shard, so that no link inside a shard is lost.
 
 A pair is counted in one shard only, the first that both vectors are in.  Each
 shard passes on counts and one link to a representative per vector, never its
@@ -35,6 +38,8 @@ SHARD_ROWS = 1500
 CHUNK_ROWS = 1500
 #: Neighbours of the graph, candidates they are pruned from, and the pruning factor.
 DEGREE, POOL, ALPHA = 24, 48, 1.2
+#: Further neighbours, spread over those within range that are no candidates.
+SPREAD = 16
 #: Places and steps of the greedy walk; how far below the range the expansion goes on.
 BEAM, STEPS, SLACK = 12, 10, 0.1
 SEED = 7
@@ -65,21 +70,31 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
-    """Neighbour lists (rows of indexes, -1 where fewer) of unit vectors.
+def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA, cosine: float = COSINE, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour lists (rows of indexes, -1 where fewer) of unit vectors, and how many are within range of each.
 
     Of a vector's nearest candidates the nearest is kept and those drop out that
     it is alpha times nearer to than the vector is; then the next one left, and so on.
+    Where more are within range than the pool takes, ``spread`` of the others, from
+    the nearest to the farthest, are neighbours as well: a tight bunch would else
+    have edges to itself alone.
     """
     n = len(x)
     pool = min(pool, n - 1)
-    out = np.full((n, degree), -1, np.int64)
+    out = np.full((n, degree + spread), -1, np.int64)
+    within = np.zeros(n, np.int64)
     if pool < 1:
-        return out
+        return out, within
     for i in range(0, n, 256):
         own = np.arange(i, min(i + 256, n))
         sim = x[own] @ x.T
         sim[np.arange(len(own)), own] = -2
+        within[own] = (sim >= cosine).sum(1)
+        for r in np.flatnonzero(within[own] > pool):
+            inside = np.flatnonzero(sim[r] >= cosine)
+            inside = inside[np.argsort(-sim[r, inside], kind="stable")][pool:]
+            far_ones = inside[np.unique(np.linspace(0, len(inside) - 1, spread).astype(int))]
+            out[own[r], degree : degree + len(far_ones)] = far_ones
         near = np.argpartition(-sim, pool - 1, axis=1)[:, :pool]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
         far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sim, near, 1)))
@@ -92,11 +107,14 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: f
             out[own[take], held[take]] = near[take, t]
             held[take] += 1
             alive[take, t + 1 :] &= alpha * between[take, t, t + 1 :] > far[take, t + 1 :]
-    return out
+    return out, within
+
 
+def range_search(x: np.ndarray, graph: np.ndarray, cosine: float = COSINE, slack: float = SLACK, beam: int = BEAM, steps: int = STEPS, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of unit vectors within range that the walk over ``graph`` reaches from every vector.
 
-def range_search(x: np.ndarray, graph: np.ndarray, cosine: float = COSINE, slack: float = SLACK, beam: int = BEAM, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of unit vectors within range that the walk over ``graph`` reaches from every vector."""
+    With ``within``, the number in range of each, vectors of which it reaches fewer are compared to all.
+    """
     n, width = graph.shape
     centre = x.mean(0)
     medoid = int((x @ centre).argmax())
@@ -113,8 +131,9 @@ def range_search(x: np.ndarray, graph: np.ndarray, cosine: float = COSINE, slack
         seen[:, medoid] = True
         seen[rows, own] = True
         near_q, near_v = [rows], [own]
-        for _ in range(steps):
-            pick = np.where(done, -3, score).argmax(1)
+        for step in range(steps):
+            # the medoid first, or the vector's own neighbours push it out of the beam
+            pick = np.where(done, -3, score).argmax(1) if step else np.zeros(len(own), np.int64)
             go = ~done[rows, pick]
             if not go.any():
                 break
@@ -159,6 +178,14 @@ def range_search(x: np.ndarray, graph: np.ndarray, cosine: float = COSINE, slack
                 next_v.append(vv)
             fq, fv = (np.concatenate(next_q), np.concatenate(next_v)) if next_q else (fq[:0], fv[:0])
     key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    if within is not None:
+        short = np.flatnonzero(np.bincount(key // n, minlength=n) + np.bincount(key % n, minlength=n) < within)
+        more = [key]
+        for i in range(0, len(short), 128):
+            a, b = np.nonzero(x[short[i : i + 128]] @ x.T >= cosine)
+            a = short[i : i + 128][a]
+            more.append((np.minimum(a, b) * n + np.maximum(a, b))[a != b])
+        key = np.unique(np.concatenate(more))
     return key // n, key % n
 
 
@@ -224,15 +251,16 @@ def links(nodes: DataFrame, cosine: float = COSINE, sample_rows: int = SAMPLE_RO
     )
     n = partitions(nodes.sparkSession)
 
-    def build(rows: pa.Table) -> pa.Table:
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
         rid = rows["rid"].to_numpy()
-        graph = robust_prune(unit(_matrix(rows["embedding"])))
+        graph, within = robust_prune(unit(_matrix(rows["embedding"])), cosine=cosine)
         counts = (graph >= 0).sum(1)
         listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(rid[graph[graph >= 0]]))
-        return pa.table({"rid": rows["rid"], "nb": listed})
+        where = {c: pa.array(np.full(len(rid), k.as_py()), pa.int64()) for c, k in zip("sij", key, strict=True)}
+        return pa.table({"rid": rows["rid"], "nb": listed, **where, "k": pa.array(within)})
 
-    # lists of one vector: one for each of its shards and chunk pairs
-    united = members.repartition(n, "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(build, "rid long, nb array<long>").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("nb"))).alias("nb"))
+    # lists and numbers of one vector: one for each of its shards and chunk pairs
+    united = members.repartition(n, "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(build, "rid long, nb array<long>, s long, i long, j long, k long").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("nb"))).alias("nb"), F.collect_list(F.struct("s", "i", "j", "k")).alias("within"))
 
     def search(key: tuple, rows: pa.Table) -> pa.Table:
         shard, i, j = (k.as_py() for k in key)
@@ -247,7 +275,7 @@ def links(nodes: DataFrame, cosine: float = COSINE, sample_rows: int = SAMPLE_RO
         per = np.bincount(owner, minlength=len(rid))
         graph = np.full((len(rid), max(1, int(per.max(initial=0)))), -1, np.int64)
         graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)] = at[here]
-        a, b = range_search(x, graph, cosine)
+        a, b = range_search(x, graph, cosine, within=rows["k"].to_numpy())
         fine = np.ones(len(a), bool)
         if i != j:
             fine &= chunk[a] != chunk[b]
@@ -262,7 +290,11 @@ def links(nodes: DataFrame, cosine: float = COSINE, sample_rows: int = SAMPLE_RO
         out = np.flatnonzero(total > 0)
         return pa.table({"rid": rid[out], "n": total[out].astype(np.int64), "root": rid[label[out]]})
 
-    return members.join(united, "rid").groupBy("shard", "i", "j").applyInArrow(search, "rid long, n long, root long")
+    def own(w):
+        return (w["s"] == F.col("shard")) & (w["i"] == F.col("i")) & (w["j"] == F.col("j"))
+
+    joined = members.join(united, "rid").withColumn("k", F.filter("within", own)[0]["k"]).drop("within")
+    return joined.groupBy("shard", "i", "j").applyInArrow(search, "rid long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **index: int) -> DataFrame:

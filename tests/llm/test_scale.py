@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeguard.llm import html_text, toxicity
+from lakeguard.llm import embeddings, html_text, toxicity
 from lakeguard.llm.common import connected
 
 
@@ -60,3 +60,20 @@ def test_misspelt_terms_that_stems_cover(spark):
     # another word of a stem, and one of a misspelt stem
     assert matcher.kind("trashcan") == 3 and matcher.kind("worhtlessly") == 4
     assert not matcher.kinds({"clash", "mornings", "window"})
+
+
+def test_two_bunches_within_range_are_one_component(spark):
+    rng = np.random.default_rng(4)
+    one, other, far = np.zeros((3, 32))
+    one[0], other[:2], far[9] = 1, (0.96, np.sqrt(1 - 0.96**2)), 1
+    # the third holds the medoid
+    x = np.concatenate([c + 1e-4 * rng.normal(size=(n, 32)) for c, n in ((one, 100), (other, 100), (far, 400))])
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()}
+    assert all(got[i] == (199, 0, i == 0) for i in range(200))
+
+
+def test_walk_that_finds_too_few_is_mended():
+    x = embeddings.unit(np.random.default_rng(6).normal(size=(1, 16)) + 0.02 * np.random.default_rng(7).normal(size=(70, 16)))
+    a, b = embeddings.range_search(x, np.full((70, 1), -1), within=embeddings.robust_prune(x)[1])
+    assert len(a) == 70 * 69 // 2 and (a < b).all()
