@@ -3,18 +3,20 @@
 Every window of ten words keeps the hash of its least 5-gram, so any span of ten
 or more shared words has a fingerprint in common on both sides.  Test
 fingerprints are joined to the training fingerprints; hits are extended to their
-windows, and windows are compared by their words (small benchmarks) or by
-128-bit digests (large ones).
+windows, and windows are compared by 128 bits, two hashes that are independent
+from the words' bytes up.
 
-Two plans give the same rows.  A benchmark of at most ``BROADCAST_BYTES`` of text,
-which is measured first, is sent to every task.  A larger one is joined by
-shuffles: fingerprints first, then the windows of the documents that were hit.
+The benchmark becomes one table of windows, which both plans use, so they give
+the same rows.  If it is small, which is measured first, it is sent to every
+task as sorted arrays.  A larger one is joined by shuffles: fingerprints first,
+then the windows of the documents that were hit.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,10 @@ from lakeguard.llm.kernels import ALNUM_WORDS, Rolling, Words, mix, signed, slic
 WINDOW = 10
 #: Words in a gram: a window of ten words has six.
 GRAM = 5
-#: Most bytes of benchmark text that are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Most bytes of benchmark text that are broadcast; its windows take some seven times as much in a worker.
+BROADCAST_BYTES = 8 << 20
+#: Seed of a window's second hash.
+_SECOND = 77
 #: A run is packed as (start * _RUN + length - 1) * _SIZE + words in a window.
 _RUN, _SIZE = 1 << 8, 1 << 6
 
@@ -53,49 +57,59 @@ def _spans(words: Words, rolling: Rolling, size: int, window: int, gram: int) ->
     return start, start, mix(rolling.span(start, start + size) + np.uint64(size))
 
 
-def _bytes(words: Words, s: int, size: int) -> bytes:
-    return b" ".join(words.raw[a:b].tobytes() for a, b in zip(words.starts[s : s + size], words.ends[s : s + size], strict=True))
+_KNOWN = "f long, size int, w1 long, w2 long, item_id long"
 
 
-class _Items:
-    """A small benchmark's windows: fingerprints, digests, words, and the items of each."""
+def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(f, size, w1, w2, item_id): the windows of ``items(item_id, text)`` with their fingerprints and 128 bits."""
 
-    def __init__(self, rows: list[tuple[int, str]], window: int, gram: int) -> None:
-        self.window, self.gram = window, gram
-        of: dict[int, dict[bytes, set[int]]] = {}
-        prints: dict[int, list[np.ndarray]] = {}
-        digests: dict[int, list[np.ndarray]] = {}
-        for item, text in rows:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = Words(raw, np.array([0, len(raw)]), ALNUM_WORDS, lower=True)
-            size = min(window, len(words))
-            if not size:
-                continue
-            rolling = Rolling(words.hashes)
-            starts = np.arange(len(words) - size + 1)
-            prints.setdefault(size, []).append(_spans(words, rolling, size, window, gram)[2])
-            digests.setdefault(size, []).append(rolling.span(starts, starts + size))
-            for s in starts.tolist():
-                of.setdefault(size, {}).setdefault(_bytes(words, s, size), set()).add(item)
-        self.of = of
-        self.prints = {k: np.unique(np.concatenate(v)) for k, v in prints.items()}
-        self.digests = {k: np.unique(np.concatenate(v)) for k, v in digests.items()}
-
-    def hits(self, words: Words) -> list[tuple[int, int, bytes]]:
-        """(start, size, words) of each window in ``words`` that an item has."""
-        out = []
-        rolling = Rolling(words.hashes)
-        for size in self.of:
-            lo, hi, prints = _spans(words, rolling, size, self.window, self.gram)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = strings(batch.column(1))
+            for i in range(batch.num_rows):
+                words = Words(raw[offsets[i] : offsets[i + 1]], offsets[i : i + 2], ALNUM_WORDS, lower=True)
+                size = min(window, len(words))
+                if not size:
+                    continue
+                one, two = Rolling(words), Rolling(words, _SECOND)
+                lo, hi, prints = _spans(words, one, size, window, gram)
+                s, f = np.arange(len(words) - size + 1), np.repeat(prints, hi - lo + 1)
+                item = batch.column(0).take(pa.array(np.full(len(s), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(np.full(len(s), size, np.int32)), pa.array(signed(one.span(s, s + size))), pa.array(signed(two.span(s, s + size))), item], ["f", "size", "w1", "w2", "item_id"])
+
+    return items.mapInArrow(run, _KNOWN)
+
+
+class _Windows:
+    """A small benchmark's windows as sorted arrays."""
+
+    def __init__(self, known: pa.Table) -> None:
+        size = known["size"].to_numpy()
+        f, w1, w2 = (known[c].to_numpy().view(np.uint64) for c in ("f", "w1", "w2"))
+        self.prints = {int(k): np.unique(f[size == k]) for k in np.unique(size)}
+        order = np.lexsort((w2, w1, size))
+        self.size, self.w1, self.w2 = size[order], w1[order], w2[order]
+        #: of the window in each place: its item, null as None
+        self.item = known["item_id"].take(pa.array(order)).to_pylist()
+        self.range = {int(k): (int(np.searchsorted(self.size, k, "left")), int(np.searchsorted(self.size, k, "right"))) for k in np.unique(size)}
+
+    def hits(self, words: Words, window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, starts, places of known windows) of the windows in ``words`` that items have; a start comes once for each item."""
+        one, two = Rolling(words), None
+        for size, (low, high) in self.range.items():
+            lo, hi, prints = _spans(words, one, size, window, gram)
             known = _among(prints, self.prints[size])
             lo, k = lo[known], hi[known] - lo[known] + 1
             s = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            s = s[_among(rolling.span(s, s + size), self.digests[size])]
-            for x in s.tolist():
-                w = _bytes(words, x, size)
-                if w in self.of[size]:
-                    out.append((x, size, w))
-        return out
+            if not len(s):
+                continue
+            w1 = one.span(s, s + size)
+            left, right = (low + np.searchsorted(self.w1[low:high], w1, side) for side in ("left", "right"))
+            k = right - left
+            s, place = np.repeat(s, k), np.repeat(left - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            two = two or Rolling(words, _SECOND)
+            same = self.w2[place] == two.span(s, s + size)
+            yield size, s[same], place[same]
 
 
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -120,53 +134,53 @@ def _batch(ids: list, n_words: np.ndarray, n_hit: np.ndarray, items: list[list[i
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
-def _small(docs: DataFrame, rows: list[tuple[int, str]], window: int, gram: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+#: The windows that a Python worker has made of a broadcast, kept from task to task.
+_made: dict[str, _Windows] = {}
+
+
+def _ordered(items: set) -> list:
+    """Ids in order, null last."""
+    return sorted(items, key=lambda x: (x is None, x or 0))
+
+
+def _small(docs: DataFrame, known: pa.Table, window: int, gram: int) -> DataFrame:
+    sent, name = docs.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Items(sent.value, window, gram)
+        if name not in _made:
+            _made.clear()
+            _made[name] = _Windows(sent.value)
+        own = _made[name]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw, offsets = strings(batch.column(1))
             for i, j in slices(offsets):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1], ALNUM_WORDS, lower=True)
-                found: dict[int, list[tuple[int, int, bytes]]] = {}
-                for s, size, w in known.hits(words):
-                    found.setdefault(int(np.searchsorted(words.first, s, "right")) - 1, []).append((s, size, w))
+                found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+                for size, s, place in own.hits(words, window, gram):
+                    doc = np.searchsorted(words.first, s, "right") - 1
+                    for d in np.unique(doc).tolist():
+                        mine = doc == d
+                        found.setdefault(d, []).append((s[mine] - words.first[d], np.full(int(mine.sum()), size), place[mine]))
                 n_words, n_hit = np.diff(words.first), np.zeros(j - i, np.int64)
                 items, spans = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
-                for doc, hits in found.items():
-                    starts, sizes = (np.array([h[k] for h in hits]) for k in (0, 1))
-                    n_hit[doc], spans[doc] = _merged(starts - words.first[doc], sizes, int(n_words[doc]))
-                    items[doc] = sorted(set().union(*(known.of[size][w] for _, size, w in hits)))
+                for d, parts in found.items():
+                    starts, sizes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    n_hit[d], spans[d] = _merged(starts, sizes, int(n_words[d]))
+                    items[d] = _ordered({own.item[p] for p in np.unique(places).tolist()})
                 yield _batch(ids[i:j], n_words, n_hit, items, spans)
 
     return docs.mapInArrow(run, _RESULT)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with keys that are never null."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), F.hash("text").alias("t"), F.col("doc_id").isNull().alias("nameless"), "text")
+    """Rows with keys that are never null: two hashes of doc_id and text."""
+    named = ["doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()]
+    return docs.select(F.xxhash64(*named).alias("d"), F.xxhash64(F.lit(1), *named).alias("t"), "doc_id", "text")
 
 
 def _large(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    sizes_column = "f long, size int, w1 long, w2 long, item_id long"
-
-    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = strings(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                words = Words(raw[offsets[i] : offsets[i + 1]], offsets[i : i + 2], ALNUM_WORDS, lower=True)
-                size = min(window, len(words))
-                if not size:
-                    continue
-                one, two = Rolling(words.hashes), Rolling(words.hashes, 77)
-                lo, hi, prints = _spans(words, one, size, window, gram)
-                s, f = np.arange(len(words) - size + 1), np.repeat(prints, hi - lo + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(np.full(len(s), size, np.int32)), pa.array(signed(one.span(s, s + size))), pa.array(signed(two.span(s, s + size))), pa.array([ids[i]] * len(s), pa.int64())], ["f", "size", "w1", "w2", "item_id"])
-
-    known = items.mapInArrow(item_windows, sizes_column)
+    known = item_windows(items, window, gram)
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most ``window`` numbers
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +189,7 @@ def _large(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFra
             d, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i, j in slices(offsets):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1], ALNUM_WORDS, lower=True)
-                rolling = Rolling(words.hashes)
+                rolling = Rolling(words)
                 for size in sizes:
                     lo, hi, f = _spans(words, rolling, size, window, gram)
                     doc = np.searchsorted(words.first, lo, "right") - 1
@@ -184,7 +198,7 @@ def _large(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFra
 
     keyed = _keyed(docs)
     texts = keyed.select("d", "t", "text")
-    chosen = texts.mapInArrow(runs, "f long, d long, t int, at long").join(known.select("f").distinct(), "f", "left_semi").groupBy("d", "t").agg(F.collect_set("at").alias("runs"))
+    chosen = texts.mapInArrow(runs, "f long, d long, t long, at long").join(known.select("f").distinct(), "f", "left_semi").groupBy("d", "t").agg(F.collect_set("at").alias("runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,27 +210,27 @@ def _large(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFra
                 size, at = at % _SIZE, at // _SIZE
                 lo, k = at // _RUN, at % _RUN + 1
                 s, size = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum())), np.repeat(size, k)
-                one, two = Rolling(words.hashes), Rolling(words.hashes, 77)
+                one, two = Rolling(words), Rolling(words, _SECOND)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(one.span(s, s + size))), pa.array(signed(two.span(s, s + size))), pa.array(np.full(len(s), d[i])), pa.array(np.full(len(s), t[i])), pa.array(s * _SIZE + size)], ["w1", "w2", "d", "t", "place"])
 
-    opened = texts.join(chosen, ["d", "t"]).mapInArrow(windows, "w1 long, w2 long, d long, t int, place long")
-    hits = opened.join(known.select("w1", "w2", "item_id").distinct(), ["w1", "w2"]).groupBy("d", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.collect_set("place").alias("places"))
+    opened = texts.join(chosen, ["d", "t"]).mapInArrow(windows, "w1 long, w2 long, d long, t long, place long")
+    hits = opened.join(known.select("w1", "w2", "item_id").distinct(), ["w1", "w2"]).groupBy("d", "t").agg(F.transform(F.array_sort(F.collect_set(F.struct(F.col("item_id").isNull().alias("none"), "item_id"))), lambda x: x["item_id"]).alias("items"), F.collect_set("place").alias("places"))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [None if none else d for d, none in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            raw, offsets = strings(batch.column(2))
+            ids = batch.column(0).to_pylist()
+            raw, offsets = strings(batch.column(1))
             n_words, n_hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             spans: list[list[list[int]]] = [[] for _ in ids]
             for i, j in slices(offsets):
                 n_words[i:j] = np.diff(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1], ALNUM_WORDS, lower=True).first)
-            for i, places in enumerate(batch.column(4)):
+            for i, places in enumerate(batch.column(3)):
                 if places.values is not None:
                     at = places.values.to_numpy(zero_copy_only=False)
                     n_hit[i], spans[i] = _merged(at // _SIZE, at % _SIZE, int(n_words[i]))
-            yield _batch(ids, n_words, n_hit, [x or [] for x in batch.column(3).to_pylist()], spans)
+            yield _batch(ids, n_words, n_hit, [x or [] for x in batch.column(2).to_pylist()], spans)
 
-    return keyed.join(hits, ["d", "t"], "left").select("d", "nameless", "text", "items", "places").mapInArrow(result, _RESULT)
+    return keyed.join(hits, ["d", "t"], "left").select("doc_id", "text", "items", "places").mapInArrow(result, _RESULT)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -226,15 +240,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     of the items with windows in the document, sorted) and spans (array of
     [first word, end)).  Words are runs of ASCII digits, letters and anything
     beyond ASCII, in lower case; an item of fewer than ``window`` words is one
-    window.  Null and empty texts have no words, and items of none hit nothing;
-    an empty benchmark gives zeros; an empty table gives no rows; repeated rows
-    stay; extra columns are ignored.
+    window; items without an id count as one, which comes last.  Null and empty
+    texts have no words, and items of none hit nothing; an empty benchmark gives
+    zeros; an empty table gives no rows; repeated rows stay; extra columns are
+    ignored.
     """
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    items = only(items, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = only(items, "item_id", "text").withColumn("item_id", F.col("item_id").cast("long")).filter("text IS NOT NULL")
     size, rows = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     if size + 64 * rows <= broadcast_bytes:
-        return _small(docs, [tuple(r) for r in items.collect()], window, gram)
+        return _small(docs, item_windows(items, window, gram).toArrow(), window, gram)
     return _large(docs, items, window, gram)
 
 
@@ -272,7 +287,7 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
                 if got := of.get(tuple(w[s : s + size])):
                     hit.update(range(s, s + size))
                     found |= got
-        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit)))
     return out
 
 

@@ -1,10 +1,12 @@
 """Array kernels shared by the text operators.
 
 They run inside Spark tasks on the Arrow batches that ``mapInArrow`` hands
-over and work on UTF-8 bytes: words are found with a byte table, hashed with a
-64-bit polynomial hash, and n-grams get rolling hashes from prefix sums, so no
-Python loop runs over words.  Memory is bounded by ``SLICE`` bytes of text (or
-one document, if that is longer).
+over and work on UTF-8 bytes: words are found with a byte table and hashed eight
+bytes at a time, each step mixed in full, and a span of words gets its hash from
+two overlapping spans of half the length or more, so no Python loop runs over
+words.  Nothing is a sum of powers, whose value for regular texts is known
+beforehand.  Hashes of two seeds are independent of each other from the bytes up.
+Memory is bounded by ``SLICE`` bytes of text (or one document, if that is longer).
 """
 
 from __future__ import annotations
@@ -13,30 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one pass holds as arrays.
 SLICE = 1 << 21
-#: Bytes that share one table of powers.
-_STEP = 1 << 17
+#: Longest words, in bytes, that are hashed eight bytes at a time; xxh3 takes longer ones.
+_LONG = 64
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2^64, at least n of each."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 2 * _STEP)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, _U)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=_U))
-        have = _powers[base] = (out[0], out[1])
-    return have
+_ODD = _U(0x9E3779B97F4A7C15)
+#: The low 0 … 8 bytes of eight.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,28 +102,32 @@ class Words:
         self.starts, self.ends = begins, ends
         #: words of document i are first[i] … first[i + 1]
         self.first = np.searchsorted(begins, offsets)
-        self._hashes: np.ndarray | None = None
+        self._hashes: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    @property
-    def hashes(self) -> np.ndarray:
-        if self._hashes is None:
-            out = np.empty(len(self.starts), _U)
-            i = 0
-            while i < len(out):
-                base = int(self.starts[i])
-                j = max(i + 1, int(np.searchsorted(self.ends, base + _STEP, "right")))
-                part = self.raw[base : self.ends[j - 1]].astype(_U)
-                up, down = _table(_BASE, len(part) + 1)
-                acc = np.zeros(len(part) + 1, _U)
-                np.cumsum((part + _U(1)) * up[: len(part)], out=acc[1:])
-                s, e = self.starts[i:j] - base, self.ends[i:j] - base
-                out[i:j] = mix((acc[e] - acc[s]) * down[s] + (e - s).astype(_U) * _U(0xA24BAED4963EE407))
-                i = j
-            self._hashes = out
-        return self._hashes
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes and their number."""
+        if seed not in self._hashes:
+            length = self.ends - self.starts
+            out = mix(length.astype(_U) * _ODD + _U(seed))
+            n = len(self.raw)
+            padded = np.zeros(n + 8, np.uint8)
+            padded[:n] = self.raw
+            eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+            short = np.flatnonzero(length <= _LONG)
+            for at in range(0, _LONG, 8):
+                if at:
+                    short = short[length[short] > at]
+                if not len(short):
+                    break
+                part = eight[self.starts[short] + at] & _MASKS[np.minimum(length[short] - at, 8)]
+                out[short] = mix((out[short] ^ part) * _ODD)
+            for i in np.flatnonzero(length > _LONG).tolist():
+                out[i] = xxhash.xxh3_64_intdigest(self.raw[self.starts[i] : self.ends[i]].tobytes(), seed)
+            self._hashes[seed] = out
+        return self._hashes[seed]
 
     def document(self) -> np.ndarray:
         """The document of each word."""
@@ -142,26 +135,38 @@ class Words:
 
 
 class Rolling:
-    """Hashes of any span of words, from prefix sums."""
+    """Hashes of any span of words."""
+
+    def __init__(self, words: Words, seed: int = 0) -> None:
+        self.n = len(words)
+        #: hashes of the 1, 2, 4, … words that start at each word
+        self.levels = [words.hashes(seed)]
 
-    def __init__(self, hashes: np.ndarray, seed: int = 0) -> None:
-        if seed:
-            hashes = mix(hashes ^ _U(seed))
-        self.n = len(hashes)
-        up, self.down = _table(_WORD_BASE, self.n + 1)
-        self.acc = np.zeros(self.n + 1, _U)
-        np.cumsum(hashes * up[: self.n], out=self.acc[1:])
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(mix(last[:-half] * _ODD + (last[half:] ^ _U(half))) if len(last) > half else last[:0])
+        return self.levels[k]
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the words start … end - 1; spans of other lengths get other hashes."""
-        return mix((self.acc[end] - self.acc[start]) * self.down[start] + (end - start).astype(_U) * _U(0x9FB21C651E98DF25))
+        """Hash of the words start … end - 1, at least one; spans of other lengths get other hashes."""
+        size = end - start
+        out = np.empty(len(size), _U)
+        for length in np.unique(size).tolist():
+            own = np.flatnonzero(size == length)
+            k = length.bit_length() - 1
+            level = self._level(k)
+            out[own] = mix((level[start[own]] + _U(length)) * _ODD + level[end[own] - (1 << k)])
+        return out
 
     def grams(self, k: int) -> np.ndarray:
         """Hashes of all runs of k words, those across documents included."""
         if self.n < k:
             return np.zeros(0, _U)
-        start = np.arange(self.n - k + 1)
-        return self.span(start, start + k)
+        half = k.bit_length() - 1
+        level = self._level(half)
+        m = self.n - k + 1
+        return mix((level[:m] + _U(k)) * _ODD + level[k - (1 << half) :][:m])
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:

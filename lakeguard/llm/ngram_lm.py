@@ -40,12 +40,17 @@ def pack(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted hashes as differences and counts, both by byte planes, compressed."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     steps = np.diff(hashes, prepend=_U(0)).astype("<u8")
-    return tuple(squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()) for x in (steps, counts.astype("<u4")))  # type: ignore[return-value]
+    return squeeze(_planes(steps)), squeeze(_planes(counts.astype("<u8")))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, all first bytes before all second ones and so on."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
 
 
 def unpack_hashes(blob: bytes) -> np.ndarray:
@@ -59,7 +64,7 @@ class Grams:
     def __init__(self, texts: list[bytes], order: int) -> None:
         offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
         words = Words(np.frombuffer(b"".join(texts), np.uint8), offsets, SPACE_WORDS, lower=True)
-        rolling = Rolling(words.hashes)
+        rolling = Rolling(words)
         self.n_words = np.diff(words.first)
         self.doc = words.document()
         place = np.arange(len(words)) - words.first[self.doc]
@@ -149,7 +154,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
         totals = np.bincount(back, counts).astype(np.int64)[back]
         ends = np.cumsum([len(x) for x in listed])
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        blobs = [squeeze(np.ascontiguousarray(np.minimum(x, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()) for x in np.split(totals, ends[:-1])]
+        blobs = [squeeze(_planes(x)) for x in np.split(totals, ends[:-1])]
         return pa.table({"block": rows["block"], "part": rows["part"], "totals": pa.array(blobs, pa.binary())})
 
     totals = grams.repartition(max(n, min(1 << bits, 4 * n)), "part").groupBy("part").applyInArrow(add_up, "block int, part int, totals binary")

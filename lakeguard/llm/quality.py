@@ -64,7 +64,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         new = np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1]))) if len(v) else np.zeros(0, bool)
         return np.bincount(o[new], minlength=n_docs) / np.maximum(count, 1)
 
-    h, length = words.hashes, ends - starts
+    h, length = words.hashes(), ends - starts
     symbols = np.concatenate(([0], np.cumsum(_CLASSES[_SYMBOL][raw], dtype=np.int64)))
     in_word = symbols[ends] - symbols[starts]
     inside = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)

@@ -12,18 +12,21 @@ whose commit makes lost executors and repeated tasks harmless.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from lakeguard.llm.common import partitions, scratch, table
-from lakeguard.llm.kernels import SPACE_WORDS, Words, slices, strings
+from lakeguard.llm.kernels import slices, strings
 
 #: Ids in a block.
 BLOCK = 256
@@ -34,7 +37,7 @@ SHARD_IDS = 1 << 19
 #: Id that ends every document.
 END = 1
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
 
 
 # ---------------------------------------------------------------- the format
@@ -136,16 +139,21 @@ def decode_block(payload: bytes, index: bytes, block: int) -> np.ndarray:
 # ---------------------------------------------------------------- the encoder
 #: Stands between words that are encoded together; white space keeps it apart from them.
 _MARK = "\x01"
-#: Words encoded together.
+#: Words or parts encoded together.
 _TOGETHER = 512
+#: Letters, then signs: words that the vocabulary splits into these two parts, whose letters have one lower
+#: case each and join with no neighbour.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class _Encoder:
-    """Ids of texts by way of their distinct words, of which it remembers up to CACHE_WORDS.
+    """Ids of texts by way of their distinct words, of which it remembers up to ``cache``.
 
     The vocabulary drops white space and no token spans it, so a text's ids are
-    those of its parts between ASCII white space.  Words are remembered by a
-    64-bit hash with their length and outer bytes.
+    those of its parts between ASCII white space.  Words are numbered by a
+    dictionary of their bytes, so two words never pass for each other.  Plain
+    words are looked up by their letters in lower case and their signs, so that
+    "Word," and "word" need one encoding.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS) -> None:
@@ -155,12 +163,35 @@ class _Encoder:
         self.cache = cache
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        # the same vocabulary for parts that are in lower case and split already; each ends in a token that says so
+        self.parts = Tokenizer.from_file(path)
+        self.parts.normalizer = normalizers.Sequence([])
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for token, i in names.items() if token.endswith("</w>")]] = True
+        tried = ["plain", "a", "\u00e9t\u00e9", "$$$", "."]
+        self.plain = self._parts(tried) == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in tried]
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        #: numbers of words, and of parts of plain words; an unknown one gets the next
+        self.known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.known_parts: defaultdict[str, int] = defaultdict(count().__next__)
+        #: the ids of words and parts by number
+        self.words, self.pieces = _Lists(), _Lists()
+
+    def _parts(self, tried: list[str]) -> list[list[int]]:
+        """Ids of parts one by one."""
+        return [self.parts.encode(w, add_special_tokens=False).ids for w in tried]
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of parts of plain words."""
+        flat = np.concatenate([np.array(self.parts.encode_batch_fast([" ".join(parts[i : i + _TOGETHER])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(parts), _TOGETHER)])
+        ends = np.flatnonzero(self.closes[flat])
+        if len(ends) != len(parts):
+            raise RuntimeError("the vocabulary does not end every part with a token of its own")
+        return flat, np.diff(ends, prepend=-1)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of words without white space."""
@@ -175,39 +206,96 @@ class _Encoder:
         marks = np.flatnonzero(flat == self.mark)
         return flat[flat != self.mark], np.diff(marks, prepend=-1) - 1
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of new words in their order: as one or two parts, or whole."""
+        pieces, numbers, before = self.pieces, self.known_parts, len(self.known_parts)
+        one, two = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        odd: list[int] = []
+        match = _PLAIN.fullmatch
+        for i, w in enumerate(words):
+            m = match(w) if self.plain else None
+            if m is None:
+                odd.append(i)
+                continue
+            letters, signs = m.groups()
+            one[i] = numbers[letters.lower()]
+            if signs:
+                two[i] = numbers[signs]
+        if fresh := list(islice(reversed(numbers), len(numbers) - before))[::-1]:
+            pieces.add(*self._encode_parts(fresh))
+        if odd:
+            # odd words are pieces without a name
+            at = pieces.size
+            pieces.add(*self._encode([words[i] for i in odd]))
+            one[odd] = np.arange(at, pieces.size)
+            for k in range(at, pieces.size):
+                numbers[f" {k}"]
+        both = np.column_stack((one, two)).ravel()
+        lengths = np.where(two >= 0, pieces.lengths()[two], 0) + pieces.lengths()[one]
+        self.words.add(pieces.gather(both[both >= 0]), lengths)
+
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end; lengths)."""
-        words = Words(raw, offsets, SPACE_WORDS)
-        h, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        starts, ends = words.starts[where], words.ends[where]
-        check = ((ends - starts).astype(np.uint64) << np.uint64(16)) | (raw[starts].astype(np.uint64) << np.uint64(8)) | raw[ends - 1] if len(h) else h
-        at = np.searchsorted(self.known, h)
-        inside = np.minimum(at, max(0, len(self.known) - 1))
-        hit = (self.known[inside] == h) & (self.check[inside] == check) if len(self.known) else np.zeros(len(h), bool)
-        first, length = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        first[hit], length[hit] = self.first[inside[hit]], self.length[inside[hit]]
-        flat, new = self.flat, np.flatnonzero(~hit)
-        if len(new):
-            data = raw.tobytes()
-            ids, lengths = self._encode([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            first[new], length[new] = len(flat) + np.cumsum(lengths) - lengths, lengths
-            flat = np.concatenate((flat, ids))
-            if len(self.known) + len(new) > self.cache:
-                self._clear()
-            else:
-                order = np.argsort(np.concatenate((self.known, h[new])), kind="stable")
-                self.known, self.check, self.first, self.length = (np.concatenate(x)[order] for x in ((self.known, h[new]), (self.check, check[new]), (self.first, first[new]), (self.length, length[new])))
-                self.flat = flat
-        each = length[back]
-        total = np.concatenate(([0], np.cumsum(each)))
-        lengths = total[words.first[1:]] - total[words.first[:-1]] + 1
+        if len(self.known) > self.cache:
+            self._clear()
+        data, before = raw.tobytes(), len(self.known)
+        split = [data[a:b].split() for a, b in pairwise(offsets.tolist())]  # on bytes this is ASCII white space
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        new = [w.decode() for w in islice(reversed(self.known), len(self.known) - before)]
+        if new:
+            self._learn(new[::-1])
+        total = np.concatenate(([0], np.cumsum(self.words.lengths()[number])))
+        ends = np.cumsum(n_words)
+        lengths = total[ends] - total[ends - n_words] + 1
         out = np.full(int(lengths.sum()), END, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(lengths) - 1] = False
-        out[body] = flat[np.repeat(first[back] - total[:-1], each) + np.arange(int(total[-1]))]
+        out[body] = self.words.gather(number)
         return out, lengths
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.n = np.zeros(1 << 12, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            self.room = np.concatenate((self.room[: self.n], np.zeros(max(self.n, 2 * len(x)), self.room.dtype)))
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class _Lists:
+    """Lists of ids by number."""
+
+    def __init__(self) -> None:
+        self.flat, self.first, self.length = _Growing(np.uint32), _Growing(np.int64), _Growing(np.int64)
+
+    @property
+    def size(self) -> int:
+        return self.first.n
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.first.add(self.flat.n + np.cumsum(lengths) - lengths)
+        self.length.add(lengths)
+        self.flat.add(flat)
+
+    def lengths(self) -> np.ndarray:
+        return self.length.all()
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The lists of these numbers, one after another."""
+        each = self.lengths()[numbers]
+        total = np.cumsum(each)
+        return self.flat.all()[np.repeat(self.first.all()[numbers] - total + each, each) + np.arange(int(total[-1]) if len(total) else 0)]
+
+
 #: Kept by a Python worker from task to task.
 _encoders: dict[str, _Encoder] = {}
 

@@ -48,8 +48,9 @@ def key(r):
 
 
 def test_substrings(docs, rows, empty):
-    got = [tuple(r) for r in substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()]
-    assert sorted(got, key=key) == sorted(substrings.brute_force(rows), key=key)
+    for group_runs in (4000, 1):
+        got = [tuple(r) for r in substrings.dedup_substrings(docs, group_runs=group_runs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()]
+        assert sorted(got, key=key) == sorted(substrings.brute_force(rows), key=key)
     assert substrings.dedup_substrings(empty).count() == 0
 
 
