@@ -103,27 +103,32 @@ class Words:
         #: words of document i are first[i] … first[i + 1]
         self.first = np.searchsorted(begins, offsets)
         self._hashes: dict[int, np.ndarray] = {}
+        self._eight: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def eight(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The bytes from each place on as a number, at most eight, or ``length`` if that is less; the others are 0."""
+        if self._eight is None:
+            n = len(self.raw)
+            padded = np.zeros(n + 8, np.uint8)
+            padded[:n] = self.raw
+            self._eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+        return self._eight[at] & _MASKS[np.minimum(length, 8)]
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes and their number."""
         if seed not in self._hashes:
             length = self.ends - self.starts
             out = mix(length.astype(_U) * _ODD + _U(seed))
-            n = len(self.raw)
-            padded = np.zeros(n + 8, np.uint8)
-            padded[:n] = self.raw
-            eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
             short = np.flatnonzero(length <= _LONG)
             for at in range(0, _LONG, 8):
                 if at:
                     short = short[length[short] > at]
                 if not len(short):
                     break
-                part = eight[self.starts[short] + at] & _MASKS[np.minimum(length[short] - at, 8)]
-                out[short] = mix((out[short] ^ part) * _ODD)
+                out[short] = mix((out[short] ^ self.eight(self.starts[short] + at, length[short] - at)) * _ODD)
             for i in np.flatnonzero(length > _LONG).tolist():
                 out[i] = xxhash.xxh3_64_intdigest(self.raw[self.starts[i] : self.ends[i]].tobytes(), seed)
             self._hashes[seed] = out

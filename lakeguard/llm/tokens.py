@@ -16,7 +16,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice, pairwise
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from lakeguard.llm.common import partitions, scratch, table
-from lakeguard.llm.kernels import slices, strings
+from lakeguard.llm.kernels import SPACE_WORDS, Words, mix, slices, strings
 
 #: Ids in a block.
 BLOCK = 256
@@ -36,8 +36,8 @@ PERCENTILE = 0.9
 SHARD_IDS = 1 << 19
 #: Id that ends every document.
 END = 1
-#: Distinct words whose ids a task keeps.
-CACHE_WORDS = 1_000_000
+#: Distinct words, and parts of words, whose ids a worker keeps, about.
+CACHE_WORDS = 800_000
 
 
 # ---------------------------------------------------------------- the format
@@ -141,13 +141,15 @@ def decode_block(payload: bytes, index: bytes, block: int) -> np.ndarray:
 _MARK = "\x01"
 #: Words or parts encoded together.
 _TOGETHER = 512
+#: Bytes of a short word, at most, and bits of its place in the table of these.
+_SHORT, _PLACES = 15, 21
 #: Letters, then signs: words that the vocabulary splits into these two parts, whose letters have one lower
 #: case each and join with no neighbour.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class _Encoder:
-    """Ids of texts by way of their distinct words, of which it remembers up to ``cache``.
+    """Ids of texts by way of their distinct words, of which it remembers about ``cache``, and as many parts.
 
     The vocabulary drops white space and no token spans it, so a text's ids are
     those of its parts between ASCII white space.  Words are numbered by a
@@ -172,14 +174,21 @@ class _Encoder:
         self.closes[[i for token, i in names.items() if token.endswith("</w>")]] = True
         tried = ["plain", "a", "\u00e9t\u00e9", "$$$", "."]
         self.plain = self._parts(tried) == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in tried]
-        self._clear()
+        self._clear_words()
+        self._clear_parts()
 
-    def _clear(self) -> None:
-        #: numbers of words, and of parts of plain words; an unknown one gets the next
+    def _clear_words(self) -> None:
+        #: the number of each word; an unknown one gets the next
         self.known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        #: bytes and number of the short word in each place
+        self.keys, self.there = np.zeros((1 << _PLACES, 2), np.uint64), np.zeros(1 << _PLACES, np.int64)
+        #: the ids of words by number
+        self.words = _Lists()
+
+    def _clear_parts(self) -> None:
+        #: the same of parts of plain words
         self.known_parts: defaultdict[str, int] = defaultdict(count().__next__)
-        #: the ids of words and parts by number
-        self.words, self.pieces = _Lists(), _Lists()
+        self.pieces = _Lists()
 
     def _parts(self, tried: list[str]) -> list[list[int]]:
         """Ids of parts one by one."""
@@ -234,20 +243,45 @@ class _Encoder:
         lengths = np.where(two >= 0, pieces.lengths()[two], 0) + pieces.lengths()[one]
         self.words.add(pieces.gather(both[both >= 0]), lengths)
 
+    def _numbers(self, words: Words) -> np.ndarray:
+        """The number of each word.
+
+        Words of up to 15 bytes are looked up by these bytes and their length in a
+        table with one place for each hash first; the dictionary has the others,
+        and those whose place another word has taken.
+        """
+        start, length = words.starts, words.ends - words.starts
+        keys = np.empty((len(start), 2), np.uint64)
+        keys[:, 0] = words.eight(start, length)
+        keys[:, 1] = length.astype(np.uint64) << np.uint64(56)
+        more = np.flatnonzero((length > 8) & (length <= _SHORT))
+        keys[more, 1] |= words.eight(start[more] + 8, length[more] - 8)
+        place = (mix(keys[:, 0] ^ mix(keys[:, 1])) >> np.uint64(64 - _PLACES)).astype(np.int64)
+        number = self.there[place]
+        left = np.flatnonzero(~((self.keys[place] == keys).all(1) & (length <= _SHORT)))
+        if len(left):
+            data, before = words.raw.tobytes(), len(self.known)
+            number[left] = np.fromiter(map(self.known.__getitem__, (data[a:b] for a, b in zip(start[left].tolist(), words.ends[left].tolist(), strict=True))), np.int64, len(left))
+            new = [w.decode() for w in islice(reversed(self.known), len(self.known) - before)]
+            if new:
+                self._learn(new[::-1])
+            left = left[length[left] <= _SHORT]
+            # of several words for one place the last one gets it
+            last = np.unique(place[left][::-1], return_index=True)[1]
+            left = left[::-1][last]
+            self.keys[place[left]], self.there[place[left]] = keys[left], number[left]
+        return number
+
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end; lengths)."""
         if len(self.known) > self.cache:
-            self._clear()
-        data, before = raw.tobytes(), len(self.known)
-        split = [data[a:b].split() for a, b in pairwise(offsets.tolist())]  # on bytes this is ASCII white space
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
-        new = [w.decode() for w in islice(reversed(self.known), len(self.known) - before)]
-        if new:
-            self._learn(new[::-1])
+            self._clear_words()
+        if len(self.known_parts) > self.cache:
+            self._clear_parts()
+        words = Words(raw, offsets, SPACE_WORDS)
+        number = self._numbers(words)
         total = np.concatenate(([0], np.cumsum(self.words.lengths()[number])))
-        ends = np.cumsum(n_words)
-        lengths = total[ends] - total[ends - n_words] + 1
+        lengths = np.diff(total[words.first]) + 1
         out = np.full(int(lengths.sum()), END, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(lengths) - 1] = False
