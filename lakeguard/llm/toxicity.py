@@ -1,10 +1,11 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
 A lexicon is learnt from labelled rows: words, and stems (prefixes of words),
-that toxic documents have and others hardly do.  It is stored as a trie.  Each
-distinct word of a batch walks the trie in step with the Levenshtein automaton
-for its spelling, so misspelt terms, and words of a misspelt stem, within one edit
-are found without comparing words to the whole lexicon.  Every hit is weighed by the words around it: marks
+that toxic documents have and others hardly do.  It is stored as a trie.  The
+automaton of k edits is intersected with the trie: a state is the set of trie
+nodes that a word's letters so far lead to with so many edits.  Its states are
+made when a word first needs them and kept, so most words take one look-up a
+letter and end after a few.  Every hit is weighed by the words around it: marks
 of quotation or report before and after it speak for talking about a word rather
 than using it.  A logistic model of a few counts gives the score.
 """
@@ -31,14 +32,12 @@ TRAIN_ROWS = 100_000
 SUPPORT, PRECISION = 6, 0.85
 #: The same for stems, and the letters of one.
 STEM_SUPPORT, STEM_LETTERS = 10, (4, 8)
-#: Terms in the lexicon, at most; those in most toxic documents stay.
-TERMS = 20_000
-#: Letters from which a word may have one wrong, missing, extra or swapped one.
-FUZZY_LETTERS = 5
+#: Letters from which a term may have one wrong, missing, extra or swapped one, and from which two.
+FUZZY_LETTERS, FUZZIER_LETTERS = 4, 9
 #: Words on each side of a hit that its context score looks at.
 CONTEXT = 6
-#: Distinct words whose matches a task keeps.
-CACHE_WORDS = 500_000
+#: Distinct words whose matches a worker keeps, and states of an automaton.
+CACHE_WORDS, CACHE_STATES = 500_000, 100_000
 
 #: A word: letters, with digits and signs that stand in for letters.
 WORD = re.compile(r"[^\W_]+(?:[@$!*'][^\W_]+)*")
@@ -92,47 +91,83 @@ class Trie:
                 stem = 3
         return 2 if self.ends[node] else stem
 
-    def near(self, word: str) -> bool:
-        """Whether a term is within one edit of the word, or a stem of its beginning, a swap of neighbours counting as one.
-
-        The automaton's states are a place in the word with no or one edit made.
-        Those without an edit follow the word itself; from each of them one edit
-        leads on, and what is left of the word must then be the rest of a term, or
-        begin with that of a stem.  A stem's last letter must agree: without it, or
-        with another, the word would only share a shorter beginning.
-        """
-        children, stems, n = self.children, self.stems, len(word)
-
-        def rest(node: int, i: int) -> bool:
-            while i < n:
-                node = children[node].get(word[i], 0)
-                if not node:
-                    return False
-                if stems[node]:
-                    return True
-                i += 1
-            return self.ends[node]
 
-        node = 0
-        for i in range(n):
-            here, c = children[node], word[i]
-            after = word[i + 1] if i + 1 < n else ""
-            if rest(node, i + 1):  # one letter too many
-                return True
-            for child in here.values():
-                below = children[child]
-                if (after in below or not after and self.ends[child]) and rest(child, i + 1):  # a wrong letter
-                    return True
-                if c in below and rest(child, i):  # a missing letter
-                    return True
-            if after and (swapped := here.get(after, 0)) and (both := children[swapped].get(c, 0)) and (stems[both] or rest(both, i + 2)):
-                return True
-            node = here.get(c, 0)
-            if not node:
-                return False
-            if stems[node]:
-                return True
-        return self.ends[node] or any(self.ends[child] for child in children[node].values())
+class Automaton:
+    """Words within k edits of a trie's terms, or that begin with a stem within k edits.
+
+    An edit is a wrong, missing or extra letter or a swap of neighbours.  The
+    automaton of k edits runs in step with the trie: a state is a set of (node,
+    edits so far, letter that must follow after a swap).  A stem's last letter
+    must agree: without it, or with another, a word only shares a shorter beginning.
+    """
+
+    def __init__(self, trie: Trie, k: int) -> None:
+        self.trie, self.k = trie, k
+        self._clear()
+
+    def _clear(self) -> None:
+        #: transitions of each state, and whether a word may end there; state 0 is the dead one, 1 that of a stem found
+        self.moves: list[dict[str, int]] = [{}, {}]
+        self.accepts = [False, True]
+        self.sets: list[frozenset] = [frozenset(), frozenset()]
+        self.numbers: dict[frozenset, int] = {}
+        self.start = self._number({(0, 0, "")}) if len(self.trie.children) > 1 else 0
+
+    def _number(self, items: set) -> int:
+        """The state of these items and of what missing letters lead to."""
+        children, k = self.trie.children, self.k
+        every, open_ = set(items), list(items)
+        while open_:
+            node, e, swap = open_.pop()
+            if e < k and not swap:
+                for child in children[node].values():
+                    if (child, e + 1, "") not in every:
+                        every.add((child, e + 1, ""))
+                        open_.append((child, e + 1, ""))
+        if not every:
+            return 0
+        key = frozenset(every)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.sets)
+            self.sets.append(key)
+            self.moves.append({})
+            self.accepts.append(any(self.trie.ends[node] and not swap for node, _, swap in key))
+        return self.numbers[key]
+
+    def _move(self, state: int, c: str) -> int:
+        children, stems, k = self.trie.children, self.trie.stems, self.k
+        to = set()
+        for node, e, swap in self.sets[state]:
+            here = children[node]
+            if swap:
+                # the letters come as ``swap`` and c, the term has c and ``swap``
+                if (first := here.get(c, 0)) and (both := children[first].get(swap, 0)):
+                    if stems[both]:
+                        return 1
+                    to.add((both, e, ""))
+                continue
+            if child := here.get(c, 0):
+                if stems[child]:
+                    return 1
+                to.add((child, e, ""))
+            if e < k:
+                to.add((node, e + 1, ""))
+                to.update((child, e + 1, "") for child in here.values())
+                to.add((node, e + 1, c))
+        return self._number(to)
+
+    def near(self, word: str) -> bool:
+        if len(self.sets) > CACHE_STATES:
+            self._clear()
+        state, moves = self.start, self.moves
+        for c in word:
+            got = moves[state].get(c)
+            if got is None:
+                got = moves[state][c] = self._move(state, c)
+            if got < 2:
+                return got == 1
+            state = got
+        return self.accepts[state]
 
 
 FEATURES = ("exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "density", "any_exact")
@@ -162,13 +197,14 @@ class Matcher:
         self.trie = Trie()
         for s in model.stems:
             self.trie.add(s, stem=True)
-        #: terms that may be misspelt, and stems
-        self.loose, self.loose_stems = Trie(), Trie()
+        terms, longer, stems = Trie(), Trie(), Trie()
         for t in model.terms:
             if len(t) >= FUZZY_LETTERS:
-                self.loose.add(t)
-        for s in model.loose_stems:
-            self.loose_stems.add(s, stem=True)
+                (longer if len(t) >= FUZZIER_LETTERS else terms).add(t)
+        for t in model.loose_stems:
+            stems.add(t, stem=True)
+        #: terms that may be misspelt, and stems
+        self.loose, self.looser, self.loose_stems = Automaton(terms, 1), Automaton(longer, 2), Automaton(stems, 1)
         for t in model.terms:
             self.trie.add(t)
         self.seen: dict[str, int] = {w: 0 for w in model.clean}
@@ -180,7 +216,7 @@ class Matcher:
         if not got and not word.isalpha():
             got = 1 if self.trie.exact(word.translate(STAND_INS).replace("*", "").replace("'", "")) else 0
         if not got and len(word) >= FUZZY_LETTERS:
-            got = 1 if self.loose.near(word) else 4 if self.loose_stems.near(word) else 0
+            got = 1 if self.loose.near(word) or self.looser.near(word) else 4 if self.loose_stems.near(word) else 0
         if len(self.seen) >= CACHE_WORDS:
             self.seen = dict(self.clean)
         self.seen[word] = got
@@ -228,8 +264,9 @@ def held_out(doc_id: Column) -> Column:
 def lexicon(labelled: DataFrame) -> Model:
     """Terms, stems and clean words near a term, of ``labelled(text, toxic)``.
 
-    Document counts of words and prefixes are aggregated by Spark; at most TERMS
-    of each come back.
+    Document counts of words and prefixes are aggregated by Spark.  All terms,
+    stems and clean words near a term come back: their number grows with the
+    labelled rows only, which ``train`` bounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +294,8 @@ def lexicon(labelled: DataFrame) -> Model:
     enough = F.when(F.col("stem"), F.lit(STEM_SUPPORT)).otherwise(F.lit(SUPPORT))
     # written once, read for the terms and for the stems
     strong = materialise(counts.filter((F.col("yes") >= enough) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no") + 1))))
-    terms = [r[0] for r in strong.filter("not stem").orderBy(F.desc("yes"), "word").limit(TERMS).select("word").collect()]
-    stems = [r[0] for r in strong.filter("stem").orderBy(F.desc("yes"), "word").limit(TERMS).select("word").collect()]
+    terms = [r[0] for r in strong.filter("not stem").select("word").collect()]
+    stems = [r[0] for r in strong.filter("stem").select("word").collect()]
     def shortest(stems: list[str]) -> list[str]:
         """A stem stands for the longer ones that begin with it."""
         short: list[str] = []
@@ -277,19 +314,19 @@ def lexicon(labelled: DataFrame) -> Model:
             found = {w for w, k in matcher.kinds(words).items() if k in (1, 4)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
-    clean = labelled.filter("toxic = 0").select("text").mapInArrow(near, "word string").distinct().orderBy("word").limit(TERMS)
-    model.clean = [r[0] for r in clean.collect()]
+    clean = labelled.filter("toxic = 0").select("text").mapInArrow(near, "word string").distinct()
+    model.clean = sorted(r[0] for r in clean.collect())
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Newton steps; row i stands for n[i] rows."""
     design = np.column_stack([x, np.ones(len(x))])
     penalty = np.diag([ridge] * x.shape[1] + [1e-3])
     w = np.zeros(design.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + penalty, design.T @ (n * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -297,7 +334,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 
 
 def _measured(docs: DataFrame, model: Model, keep: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # terms of the bounded labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = sent.value.matcher
@@ -309,24 +346,34 @@ def _measured(docs: DataFrame, model: Model, keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """The model of ``labels(doc_id, toxic)``, learnt from at most train_rows labelled rows outside the held-out ones."""
+    """The model of ``labels(doc_id, toxic)``, learnt from at most train_rows labelled ids outside the held-out ones.
+
+    Null ids and labels teach nothing; an id with two labels has the greater; all
+    rows of ``docs`` with a chosen id count, whole texts of any length; extra
+    columns are ignored.  Without labels of both kinds, or on an empty table, the
+    weights stay 0.
+    """
     known = only(labels, "doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows pairs of numbers, so the texts stay where they are
     labelled = only(docs, "doc_id", "text").join(F.broadcast(materialise(chosen)), "doc_id").select(F.col("toxic").cast("long").alias("toxic"), "text")
     model = lexicon(labelled)
-    # a few distinct rows of features, with their numbers
+    # a few distinct rows of features, rounded, with their numbers
     seen = _measured(labelled, model, "toxic").groupBy("toxic", F.transform("x", lambda v: F.round(v, 2)).alias("x")).count()
-    rows = seen.orderBy(F.desc("count"), "toxic", "x").limit(train_rows).collect()
+    rows = sorted(seen.collect())
     if {r[0] for r in rows} != {0, 1}:
         return model
     x, y, n = np.array([r[1] for r in rows]), np.array([r[0] for r in rows], float), np.array([r[2] for r in rows])
-    model.weights, model.intercept = _logistic(np.repeat(x, n, 0), np.repeat(y, n))
+    model.weights, model.intercept = _logistic(x, y, n)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, x) of every row of ``docs(doc_id, text)``; x are its FEATURES."""
+    """(doc_id, score, x) of every row of ``docs(doc_id, text)``; x are its FEATURES.
+
+    Null and empty texts have no hits; whole texts of any length are read;
+    repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+    """
     named = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     z = F.lit(float(model.intercept))
     for i, w in enumerate(model.weights.tolist()):

@@ -216,28 +216,49 @@ def test_classifiers_on_odd_tables(spark, docs, empty):
 def test_automaton_finds_one_edit():
     trie = toxicity.Trie()
     trie.add("scoundrel")
-    assert all(trie.near(w) for w in ("scoundrel", "scoundre", "scuondrel", "scoundrrel", "scaundrel"))
-    assert not any(trie.near(w) for w in ("scound", "soundtrack", ""))
+    near = toxicity.Automaton(trie, 1).near
+    assert all(near(w) for w in ("scoundrel", "scoundre", "scuondrel", "scoundrrel", "scaundrel"))
+    assert not any(near(w) for w in ("scound", "soundtrack", "", "scuodnrel"))
+    assert toxicity.Automaton(trie, 2).near("scuodnrel") and not toxicity.Automaton(toxicity.Trie(), 2).near("")
 
 
-def test_automaton_against_every_edit():
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_automaton_against_every_edit(k):
+    """Distances by the table of optimal alignments, of words to terms and to beginnings that a stem stands for."""
     letters = "abc"
     rng = np.random.default_rng(3)
-    terms = {"".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(25)}
-    trie = toxicity.Trie()
+    terms = sorted({"".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(12)})
+    plain, stems = toxicity.Trie(), toxicity.Trie()
     for t in terms:
-        trie.add(t)
-
-    def edits(w):
-        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
-        yield w
-        for x, y in cuts:
-            yield x + y[1:]
-            yield from (x + y[1:2] + y[:1] + y[2:], *(x + c + y for c in letters), *(x + c + y[1:] for c in letters))
-
-    for _ in range(500):
-        word = "".join(rng.choice(list(letters), rng.integers(0, 8)))
-        assert trie.near(word) == bool(terms & set(edits(word))), word
+        plain.add(t)
+    for t in (t for t in terms if not any(t != s and t.startswith(s) for s in terms)):
+        stems.add(t, stem=True)
+    shortest = [t for t in terms if not any(t != s and t.startswith(s) for s in terms)]
+
+    def distance(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    def begins(word, stem):
+        """Whether a beginning of the word is the stem within k edits, its last letter by agreement or a swap."""
+        for i in range(1, len(word) + 1):
+            head = word[:i]
+            if head[-1] == stem[-1] and distance(head[:-1], stem[:-1]) <= k:
+                return True
+            if i > 1 and len(stem) > 1 and head[-2:] == stem[-1] + stem[-2] and distance(head[:-2], stem[:-2]) <= k - 1:
+                return True
+        return False
+
+    one, other = toxicity.Automaton(plain, k), toxicity.Automaton(stems, k)
+    for _ in range(400):
+        word = "".join(rng.choice(list(letters), rng.integers(0, 9)))
+        assert one.near(word) == any(distance(word, t) <= k for t in terms), word
+        assert other.near(word) == any(begins(word, t) for t in shortest), word
 
 
 def test_pipeline(spark, docs):
