@@ -54,6 +54,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; they are scaled by their greatest component first, so that no square leaves a double's range."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -189,6 +191,11 @@ def range_search(x: np.ndarray, graph: np.ndarray, cosine: float = COSINE, slack
     return key // n, key % n
 
 
+def _component(vectors: DataFrame) -> str:
+    """float if the components are floats, else double."""
+    return "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     size = F.coalesce(F.size(e), F.lit(0))
@@ -207,7 +214,7 @@ def _fit(nodes: DataFrame, sample_rows: int, shard_rows: int, overlap: int) -> d
     return out
 
 
-_MEMBER = "shard long, shards array<long>, rid long, w long, embedding array<float>"
+_MEMBER = "shard long, shards array<long>, rid long, w long, embedding array<{}>"
 
 
 def _deal(nodes: DataFrame, fitted: dict[int, np.ndarray], overlap: int) -> DataFrame:
@@ -233,7 +240,7 @@ def _deal(nodes: DataFrame, fitted: dict[int, np.ndarray], overlap: int) -> Data
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(shards) + 1, dtype=np.int32) * k), pa.array(shards.ravel())).take(pa.array(back))
                     yield pa.RecordBatch.from_arrays([pa.array(shards.ravel()), listed, rows.column(0).take(pa.array(back)), rows.column(1).take(pa.array(back)), rows.column(2).take(pa.array(back))], ["shard", "shards", "rid", "w", "embedding"])
 
-    return nodes.select("rid", "w", "embedding").mapInArrow(run, _MEMBER)
+    return nodes.select("rid", "w", "embedding").mapInArrow(run, _MEMBER.format(_component(nodes)))
 
 
 def links(nodes: DataFrame, cosine: float = COSINE, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -306,7 +313,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **index: int) ->
     that links reach; a row with a null vec_id is kept only if its component has
     no other.  An empty table gives no rows; extra columns are ignored.
     """
-    marked = _valid(only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
+    marked = _valid(only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{_component(vectors)}>").alias("embedding")))
     nodes = materialise(marked.filter("valid").groupBy("embedding").agg(F.count("*").alias("w"), F.min("vec_id").alias("least")).withColumn("rid", F.monotonically_increasing_id()))
     found = materialise(links(nodes, cosine, **index))
     counts = found.groupBy("rid").agg(F.sum("n").alias("n"))

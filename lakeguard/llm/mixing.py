@@ -114,14 +114,14 @@ def landing(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return p
 
 
-def settle(start: np.ndarray, p: np.ndarray, x: np.ndarray, flips: int = 64) -> np.ndarray:
+def settle(start: np.ndarray, p: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A landed draw whose tokens are brought near those of ``start`` by turning over single documents.
 
     Each turn takes the document whose tokens are nearest to what is missing or
-    too many, and only if that comes nearer; of equal ones the first.
+    too many, and only if that comes nearer, so it ends; of equal ones the first.
     """
     p = p.copy()
-    for _ in range(flips):
+    while True:
         missing = float((start * x).sum() - (p * x).sum())
         change = np.where(p == 0, x, -x)
         k = int(np.abs(missing - change).argmin()) if len(p) else 0
@@ -192,13 +192,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as it is taken."""
+    """The rows of docs, each as often as it is taken, with the columns of docs, whatever their names."""
     # rows of one (doc_id, text, source) are taken in the order of their number, which is the same for equal rows
-    same = Window.partitionBy("doc_id", "tie", "source").orderBy("doc_id")
-    numbered = docs.withColumn("tie", F.xxhash64("text")).withColumn("copy", F.row_number().over(same).cast("long"))
-    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("source").alias("_s"), F.col("copy").alias("_c"), "copies")
-    met = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("copy") == F.col("_c"))
-    return numbered.join(taken, met).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    doc, source, tie = F.col("row.doc_id"), F.col("row.source"), F.xxhash64("row.text")
+    keyed = held.select("row", doc.alias("doc_id"), source.alias("source"), tie.alias("tie"))
+    same = Window.partitionBy("doc_id", "tie", "source").orderBy(F.xxhash64("row"))
+    numbered = keyed.withColumn("copy", F.row_number().over(same).cast("long")).alias("a")
+    taken = mixed.filter("copies > 0").select("doc_id", "tie", "source", "copy", "copies").alias("b")
+    met = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tie") == F.col("b.tie")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.copy") == F.col("b.copy"))
+    return numbered.join(taken, met).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,21 +226,31 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """The model of ``labels(doc_id, quality)``, fitted on at most train_rows labelled rows.
 
-    The bound is the number of labelled rows that come to the driver as feature
-    vectors; which ones is decided by a hash of doc_id.
+    The bound is the number of labelled ids that come to the driver as feature
+    vectors; which ones is decided by a hash of doc_id.  Null ids and labels teach
+    nothing; an id with two labels has the greater; of several rows of one id the
+    one of least features counts; texts are read whole, whatever their length;
+    extra columns are ignored; an empty table gives a model of equal scores.
     """
     known = only(labels, "doc_id", "quality").filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = F.broadcast(materialise(chosen))  # at most train_rows pairs of numbers, so the texts stay where they are
     picked = only(docs, "doc_id", "text").join(chosen, "doc_id")
     labelled = _measured(picked.select("doc_id", "text")).join(chosen, "doc_id").select("doc_id", "x", "quality")
-    rows = sorted((r[0], tuple(r[1]), r[2]) for r in labelled.limit(2 * train_rows).collect())
+    # of several rows of one id the one of least features, so at most train_rows come back and always the same
+    one = labelled.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
+    rows = sorted((r[0], tuple(r[1]), r[2]) for r in one.collect())
     x = np.array([r[1] for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[2] for r in rows], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row of ``docs(doc_id, text)``."""
+    """(doc_id, score) of every row of ``docs(doc_id, text)``.
+
+    Null and empty texts score as a text of no words; whole texts of any length
+    are read; repeated rows score alike; an empty table gives no rows; extra
+    columns are ignored.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

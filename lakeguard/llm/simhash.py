@@ -1,23 +1,26 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are computed per document.  Distinct ones are then dealt into
-groups that agree on one of five blocks of bits: two fingerprints with at most
-four differing bits agree on at least one block, so no link is lost.  In every
-group the fingerprints form a binary trie over their other bits; the trie is
-joined with itself by walking pairs of nodes together, adding up the bits in
-which their paths differ, and leaving a pair as soon as the budget is spent.
-Groups pass on links to their local representative only, never all pairs, and a
-hot group is cut into chunks whose pairs are separate groups.
+groups that agree on some of their blocks of bits: of five blocks two
+fingerprints with at most four differing bits agree on one at least, of six on
+two, so no link is lost.  The more fingerprints there are the more blocks are
+used, so that groups stay small.  In every group the fingerprints form a binary
+trie over their other bits; the trie is joined with itself by walking pairs of
+nodes together, adding up the bits in which their paths differ, and leaving a
+pair as soon as the budget is spent.  Groups pass on links to their local
+representative only, never all pairs; a hot group is cut into chunks whose pairs
+are separate groups, and a task reads its groups one after another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeguard.llm.common import connected, materialise, only, partitions, table
@@ -30,6 +33,8 @@ SHINGLE = 4
 SEED = 42
 #: Most fingerprints of one group before it is cut into chunks.
 GROUP_ROWS = 200_000
+#: Rows that a task holds at a time, or one group, if that has more.
+HELD_ROWS = 500_000
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -114,61 +119,95 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, la
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def _blocks(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of max_bits + 1 blocks of 64 bits."""
-    k = max_bits + 1
-    edges = [64 * i // k for i in range(k + 1)]
-    return [(edges[i], edges[i + 1] - edges[i]) for i in range(k)]
-
-
-def links(fps: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _deals(max_bits: int, blocks: int) -> list[list[tuple[int, int]]]:
+    """For each set of blocks that two fingerprints may agree on: all (first bit from the top, width), the agreeing ones first."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    cuts = [(edges[i], edges[i + 1] - edges[i]) for i in range(blocks)]
+    return [[cuts[i] for i in agreed] + [c for i, c in enumerate(cuts) if i not in agreed] for agreed in combinations(range(blocks), blocks - max_bits)]
+
+
+def _turned(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their blocks in another order."""
+    out = np.zeros(len(fp), np.uint64)
+    for first, width in order:
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(64 - first - width)) & np.uint64((1 << width) - 1))
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The sorted columns of the batches, some whole groups (equal in all but the first column) at a time."""
+    parts: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= held:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[1:]]))
+            if len(change):
+                cut = int(change[-1]) + 1
+                yield tuple(c[:cut] for c in columns)
+                columns = [c[cut:] for c in columns]
+            parts, rows = [columns], len(columns[0])
+    if rows:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS, blocks: int | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
     """Links (u, v) that join the same distinct fingerprints ``fps(fp)`` as all pairs within max_bits do.
 
     One link to the representative is kept for each fingerprint and group.
     """
     spark = fps.sparkSession
-    blocks = _blocks(max_bits)
-    keys = F.array(*[F.shiftrightunsigned("fp", 64 - a - w).bitwiseAND(F.lit((1 << w) - 1)) for a, w in blocks])
-    dealt = fps.select("fp", F.posexplode(keys).alias("r", "b"))
-    # at most 5 * 2^13 rows, whatever the input
-    counts = dealt.groupBy("r", "b").count()
     total = fps.count()
+    if blocks is None:
+        # the fewest blocks whose groups, if even, hold no more than group_rows
+        blocks = next(m for m in range(max_bits + 1, max_bits + 5) if total >> (m - max_bits) * (64 // m) <= group_rows or m == max_bits + 4)
+    deals = _deals(max_bits, blocks)
+    agreed = blocks - max_bits
+
+    def part(order: list[tuple[int, int]]) -> Column:
+        key = F.lit(0).cast("long")
+        for first, width in order[:agreed]:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", 64 - first - width).bitwiseAND(F.lit((1 << width) - 1)))
+        return key
+
+    dealt = fps.select("fp", F.posexplode(F.array(*[part(order) for order in deals])).alias("r", "b"))
     n = partitions(spark)
-    target = min(group_rows, max(1000, 2 * total * len(blocks) // n))
-    hot = counts.filter(F.col("count") > target).select("r", "b", F.ceil(F.col("count") / target).cast("int").alias("chunks"))
+    target = min(group_rows, max(1000, 2 * total * len(deals) // n))
+    # groups beyond the target: few, but as many as the data has, so joined by what Spark finds best
+    hot = dealt.groupBy("r", "b").count().filter(F.col("count") > target).select("r", "b", F.ceil(F.col("count") / target).cast("int").alias("chunks"))
     dealt = (
-        dealt.join(F.broadcast(hot), ["r", "b"], "left")
+        dealt.join(hot, ["r", "b"], "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("fp", "r", "b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         .repartition(n, "r", "b", "i", "j")
+        .sortWithinPartitions("r", "b", "i", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches if b.num_rows]
-        if not parts:
-            return
-        fp, r, b, i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
-        fp = fp.view(np.uint64)
-        for rotation, (first, width) in enumerate(blocks):
-            own = np.flatnonzero(r == rotation)
-            if not len(own):
-                continue
-            turned = fp[own]
-            if first:
-                turned = (turned << np.uint64(first)) | (turned >> np.uint64(64 - first))
-            order = np.lexsort((turned, j[own], i[own], b[own]))
-            own, turned = own[order], turned[order]
-            change = (b[own][1:] != b[own][:-1]) | (i[own][1:] != i[own][:-1]) | (j[own][1:] != j[own][:-1])
-            group = np.concatenate(([0], np.cumsum(change)))
-            label = np.arange(len(own))
-            for budget in sorted({1, max_bits}):  # close ones first: they settle most of a dense group
-                x, y = trie_links(turned, group, width, budget, label)
-                label = components(len(own), x, y, label)
-            moved = np.flatnonzero(label != np.arange(len(own)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[own[moved]].view(np.int64)), pa.array(fp[own[label[moved]]].view(np.int64))], ["u", "v"])
+        for fp, r, b, i, j in _groups(batches, held_rows):
+            fp = fp.view(np.uint64)
+            for deal in np.unique(r).tolist():
+                own = np.flatnonzero(r == deal)
+                order = deals[deal]
+                width = sum(w for _, w in order[:agreed])
+                turned = _turned(fp[own], order)
+                sort = np.lexsort((turned, j[own], i[own], b[own]))
+                own, turned = own[sort], turned[sort]
+                change = (b[own][1:] != b[own][:-1]) | (i[own][1:] != i[own][:-1]) | (j[own][1:] != j[own][:-1])
+                group = np.concatenate(([0], np.cumsum(change)))
+                label = np.arange(len(own))
+                for budget in sorted({1, max_bits}):  # close ones first: they settle most of a dense group
+                    x, y = trie_links(turned, group, width, budget, label)
+                    label = components(len(own), x, y, label)
+                moved = np.flatnonzero(label != np.arange(len(own)))
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[own[moved]].view(np.int64)), pa.array(fp[own[label[moved]]].view(np.int64))], ["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
 

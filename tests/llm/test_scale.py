@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeguard.llm import embeddings, html_text, toxicity
+from lakeguard.llm import embeddings, html_text, mixing, quality, simhash, toxicity
 from lakeguard.llm.common import connected
+from lakeguard.llm.kernels import components
 
 
 def test_connected_on_a_million_links(spark):
@@ -77,3 +78,42 @@ def test_walk_that_finds_too_few_is_mended():
     x = embeddings.unit(np.random.default_rng(6).normal(size=(1, 16)) + 0.02 * np.random.default_rng(7).normal(size=(70, 16)))
     a, b = embeddings.range_search(x, np.full((70, 1), -1), within=embeddings.robust_prune(x)[1])
     assert len(a) == 70 * 69 // 2 and (a < b).all()
+
+
+def test_finer_blocks_and_held_groups_give_the_same_links(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    keys = [base]
+    for _ in range(30):
+        flips = np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64) for _ in range(3)])
+        keys.append(keys[rng.integers(0, len(keys))] ^ flips)
+    fp = np.unique(np.concatenate(keys))
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 4)
+    want = components(len(fp), a, b)
+    frame = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    for kw in ({}, {"blocks": 6}, {"blocks": 7, "held_rows": 50}, {"group_rows": 100, "held_rows": 64}):
+        found = simhash.links(frame, **kw).collect()
+        u, v = (np.searchsorted(fp, np.array([r[c] for r in found], np.int64).view(np.uint64)) for c in (0, 1))
+        assert (components(len(fp), u, v) == want).all(), kw
+
+
+def test_doubles_beyond_the_range_of_floats(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 8))
+    data = [(i, (v * k).tolist()) for i, (v, k) in enumerate(zip(np.repeat(x[:2], 3, 0), (1e300, 1e300, 1.0, 1e-200, 1e-60, 1.0), strict=True))]
+    data += [(9, [1e-300] + [0.0] * 7), (10, [5.0] + [0.0] * 7), (11, [1.0] * 8)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (2, 0) and got[3 + i] == (2, 3) for i in range(3)) and got[9] == (1, 9) and got[10] == (1, 9) and got[11] == (0, 11)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}", f"s{i % 2}", 1, 2, 3, 4, "x") for i in range(40)], "doc_id long, text string, source string, tie int, copy int, copies int, _n int, row string")
+    got = mixing.apply_mix(docs, mixing.mix(docs))
+    assert got.columns == docs.columns and got.filter("tie = 1 and copy = 2 and copies = 3 and _n = 4 and row = 'x'").count() == got.count() > 0
+
+
+def test_one_row_of_a_repeated_label_id(spark):
+    docs = spark.createDataFrame([(7, f"text number {i} {prose(i, 30)}") for i in range(50)] + [(i, prose(i, 40)) for i in range(100, 140)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 140)], "doc_id long, quality int")
+    one, two = (quality.train(docs.repartition(n), labels) for n in (1, 5))
+    assert all((a == b).all() for a, b in zip(one.tables, two.tables, strict=True))
