@@ -1,13 +1,14 @@
 """Main text of web pages by site style trees.
 
 Every page is read into blocks of text, each under a path of elements (tag with
-its class or id).  The pages of a host are merged into one style tree: for every
-path it keeps on how many pages it stands and how their contents spread.  A
-content node whose entropy over the pages is low repeats the same words on many
-pages; a presentation node that its host uses in one way only, around such
-contents, is unimportant as well.  Branches of low importance are removed from
-each page, next to those whose element or name says what they are (menus,
-headers, footers, sidebars, notices, adverts, forms, comments).
+its class or id).  The pages of a host are merged into one style tree.  A node of
+it has two importances, both entropies over the host's different pages, from 0
+(all pages alike) to 1 (all pages different): that of its contents, the texts
+below it, and that of its presentation, the elements in it and their order.
+Their weighted mean is the node's importance.  Branches of low importance are
+removed from each page, inside article and main elements too, next to those
+whose element or name says what they are (menus, headers, footers, sidebars,
+notices, adverts, forms, comments), which may differ from page to page.
 """
 
 from __future__ import annotations
@@ -28,29 +29,47 @@ from lakeguard.llm.common import keep, only, table
 MIN_PAGES = 10
 #: Importance below which a branch is removed, and what one under a main element gets on top.
 LOW, RAISE = 0.3, 0.15
+#: Share of the contents in a node's importance; the rest is that of the presentation.
+CONTENTS = 0.9
 
 #: Elements whose contents are no page text.  Fixed values.
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "math", "xmp", "noembed", "noframes"))
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"))
 #: Elements around the main text.  Fixed values.
-CHROME = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "label", "fieldset", "input", "head", "figcaption"))
-#: Elements that hold the main text.  Fixed values.
+CHROME = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "input", "head"))
+#: Elements that hold the main text, in which a header is the text's own.  Fixed values.
 MAIN = frozenset(("article", "main"))
 #: Elements without contents.  Fixed values.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements inside a block.  Fixed values.
-INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
-#: Names of classes, ids and roles around the main text.  Fixed values.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|foot|sidebar\w*|side|aside|widget\w*|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|share|sharing|social\w*|comment\w*|disqus|replies|respond|related|recommend\w*|pagination|pager|toolbar|skip\w*|legal|copyright|contentinfo|complementary)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
+#: Words for what stands in or beside a text: adverts, comments, links to share or to read on.  Fixed values.
+BESIDE = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus replies respond related recommended recommendations pagination pager breadcrumb breadcrumbs".split())
+#: Words for what stands around a text.  Fixed values.
+AROUND = BESIDE | frozenset("nav navbar navigation menu menus header masthead footer foot sidebar side aside widget widgets notice notices alert login search toolbar skip legal copyright contentinfo complementary".split())
+#: Roles of elements around the main text, and elements in which a slash closes one.  Fixed values.
+ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"))
+FOREIGN = frozenset(("svg", "math"))
+#: Words that say nothing beside the others.  Fixed values.
+NEUTRAL = frozenset("fluid clearfix clear desktop mobile main site page top bottom left right box bar block section area list item items links link wrapper wrap container content inner outer panel col column row unit slot group form button buttons icon icons text the js no primary secondary global post entry article".split())
+#: The words of a name, and where a capital begins the next one.
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|aria-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: What an open element of the first kind is closed by.  Fixed values.
 CLOSED_BY = {"p": frozenset(("p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "hr", "main", "figure", "fieldset", "address", "details")), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 _SPACE = re.compile(r"\s+")
 
 
+def _named(name: str, words: frozenset[str]) -> bool:
+    """Whether one of a class or id's names is made of these words, and of neutral ones and numbers beside them."""
+    for one in name.split():
+        parts = [w.lower() for w in _NAME_WORDS.findall(one)]
+        known = [w in words for w in parts]
+        if any(known) and all(k or w in NEUTRAL or len(w) == 1 for k, w in zip(known, parts, strict=True)):
+            return True
+    return False
+
+
 class Block:
     """A run of text between block elements: its text, its path, and what stands above it."""
 
@@ -110,17 +129,18 @@ def blocks(page: str) -> list[Block]:
                     break
                 if above not in INLINE and above not in CLOSED_BY:
                     break
-        if tag in VOID:
+        if tag in VOID or (m[3].endswith("/") and (tag in FOREIGN or any(x[0] in FOREIGN for x in stack))):
             continue
         named, hide = "", False
         if m[3] and not m[3].isspace():
             for a in _ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if key in ("class", "id", "role"):
+                if key in ("class", "id"):
                     named += " " + value
-                hide |= key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower())
+                hide |= key == "hidden" or (key == "role" and value.lower() in ROLES) or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower())
         _, _, chrome, main = stack[-1]
-        chrome = chrome or hide or tag in CHROME or bool(named and tag not in ("html", "body", *MAIN) and NAMES.search(named))
+        own_header = main and tag == "header"
+        chrome = chrome or hide or (tag in CHROME and not own_header) or bool(named and tag not in ("html", "body", *MAIN) and _named(named, BESIDE if main else AROUND))
         stack.append((tag, tag + ("." + ".".join(sorted(named.split())) if named and tag not in INLINE else ""), chrome, main or tag in MAIN))
     flush()
     return out
@@ -135,38 +155,49 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def nodes(found: list[Block]) -> dict[tuple[str, ...], tuple[list[str], list[str]]]:
+    """(texts, layout) of each node that the blocks stand in; the layout is the children's names in their order, # for own text."""
+    out: dict[tuple[str, ...], tuple[list[str], list[str]]] = {}
+    for b in found:
+        for k in range(1, len(b.path) + 1):
+            texts, layout = out.setdefault(b.path[:k], ([], []))
+            texts.append(b.text)
+            layout.append(b.path[k] if len(b.path) > k else "#")
+    return out
+
+
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, contents: float = CONTENTS) -> DataFrame:
     """(host, path, importance) of ``pages(host, html)``: the style trees' nodes that stand on enough pages.
 
-    Importance of a content node is the entropy of its contents over the pages,
-    divided by the most that so many pages can have; that of a presentation
-    node the mean of the contents below it.  Nodes under the main elements get
-    RAISE more.  Pages with the same blocks count once, as copies of a page say
-    nothing about its template.
+    The importance of a node's contents is the entropy of the texts below it over
+    the pages, divided by the most that so many pages can have; that of its
+    presentation the same of its layout.  The node's is their mean, ``contents``
+    being the weight of the first, and RAISE more under the main elements.  Pages
+    with the same blocks count once, as copies of a page say nothing about its
+    template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, digests, copies = [], [], [], []
+            hosts, paths, texts, layouts, copies = [], [], [], [], []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen: dict[tuple[str, ...], list[str]] = {}
                 found = [b for b in blocks(page or "") if not b.chrome]
                 whole = _digest("\n".join(b.text for b in found))
-                for b in found:
-                    for k in range(1, len(b.path) + 1):
-                        seen.setdefault(b.path[:k], []).append(b.text)
-                for path, texts in seen.items():
+                for path, (text, layout) in nodes(found).items():
                     hosts.append(name)
                     paths.append("/".join(path))
-                    digests.append(_digest("\n".join(texts)))
+                    texts.append(_digest("\n".join(text)))
+                    layouts.append(_digest("\n".join(layout)))
                     copies.append(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(digests, pa.int64()), pa.array(copies, pa.int64())], ["host", "path", "digest", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.int64()), pa.array(layouts, pa.int64()), pa.array(copies, pa.int64())], ["host", "path", "text", "layout", "page"])
 
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, path string, digest long, page long").distinct()
-    spread = nodes.groupBy("host", "path", "digest").agg(F.count("*").alias("k")).groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("kk"))
-    judged = spread.filter((F.col("n") >= min_pages) & (F.col("n") > 1))
+    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, text long, layout long, page long").distinct()
+    # text or layout, how many pages have it
+    styles = seen.groupBy("host", "path", "text", "layout").agg(F.count("*").alias("k")).select("host", "path", "k", F.posexplode(F.array("text", "layout")).alias("kind", "style")).groupBy("host", "path", "kind", "style").agg(F.sum("k").alias("k"))
+    spread = styles.groupBy("host", "path", "kind").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("kk")).filter((F.col("n") >= min_pages) & (F.col("n") > 1))
+    entropy = (F.log2("n") - F.col("kk") / F.col("n")) / F.log2("n")
     raised = F.when(F.col("path").rlike("(^|/)(article|main)([./]|$)"), RAISE).otherwise(0.0)
-    return judged.select("host", "path", ((F.log2("n") - F.col("kk") / F.col("n")) / F.log2("n") + raised).alias("importance"))
+    return spread.groupBy("host", "path").agg(F.sum(entropy * F.when(F.col("kind") == 0, contents).otherwise(1 - contents)).alias("mean")).select("host", "path", (F.col("mean") + raised).alias("importance"))
 
 
 def main_text(page: str, low: frozenset[str] | set[str] = frozenset()) -> str:

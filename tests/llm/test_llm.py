@@ -188,6 +188,58 @@ def test_html():
     assert html_text.main_text("<p>a<p>b", {"p"}) == ""
 
 
+def test_html_keeps_what_belongs_to_the_text():
+    page = """<body><header>Site</header><article><header><h1>Own title</h1></header><figure><img src=x><figcaption>Caption</figcaption></figure>
+    <p class="comment-on-policy">Policy</p><p class="side-note" data-id="comments" title="hidden gem">Note</p><p>E = <math><mi>m</mi><mo/>c</math></p><svg/><p>After</p><p>Name <label>Label</label></p>
+    <div class="share-buttons">Share</div><div class="adBox300x250">Buy</div><p role=navigation>Go</p><div id="postComments"><p>First!</div></article><div class="search">Find</div><div class="comment-on-policy">Outside</div></body>"""
+    assert html_text.main_text(page) == "Own title Caption Policy Note E = mc After Name Label Outside"
+
+
+def test_style_tree_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    pages = []
+    for i in range(60):
+        fixed = "".join(f"<li>Item {k}</li>" for k in range(3))
+        own = "".join(f"<p>{rng.integers(0, 4)} own</p>" for _ in range(rng.integers(1, 5)))
+        pages.append((i, f"http://h{i % 2}.example/{i}", f"<body><ul class=list>{fixed}</ul><main><div class=body>{own}</div><div class=note>Page {i % 3}</div></main></body>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", html_text.host(F.col("url")))
+    got = {(r.host, r.path): r.importance for r in html_text.style_tree(frame).collect()}
+    want = {}
+    for h in ("h0.example", "h1.example"):
+        different = {}
+        for _, url, page in pages:
+            if h in url:
+                found = html_text.blocks(page)
+                different["\n".join(b.text for b in found)] = found
+        seen = {}
+        for found in different.values():
+            for path, (texts, layout) in html_text.nodes(found).items():
+                seen.setdefault(path, []).append(("\n".join(texts), "\n".join(layout)))
+        for path, styles in seen.items():
+            n = len(styles)
+            if n >= html_text.MIN_PAGES:
+                entropy = [-sum(k / n * math.log(k / n, n) for k in Counter(x[i] for x in styles).values()) for i in (0, 1)]
+                want[h, "/".join(path)] = 0.9 * entropy[0] + 0.1 * entropy[1] + (html_text.RAISE if "main" in path else 0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert got["h0.example", "body/ul.list"] == pytest.approx(0) and got["h0.example", "body/main/div.body"] > 0.5
+    # the contents of a list are alike on all pages, its layout as well
+    text = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert not any("Item" in t for t in text.values()) and all("own" in t for t in text.values())
+
+
+def test_html_on_odd_tables(spark):
+    schema = "page_id long, url string, html string, host string, low string, text int, n_chars int"
+    long = "<article>" + "<p>word &amp; more</p>" * 20_000 + "</article>"
+    rows = [(1, "http://a.example/", long, "x", "y", 1, 2), (None, None, None, None, None, None, None), (2, "http://a.example/", "<p>One</p>", "", "", 0, 0), (2, "http://a.example/", "<p>One</p>", "", "", 0, 0), (3, "http://a.example/", "x" * 300_000, "", "", 0, 0)]
+    got = html_text.extract(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.n_chars) for r in got.collect()) == [(0, 0), (1, 12 * 20_000 - 1), (2, 3), (2, 3), (3, 300_000)]
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_style_tree_removes_repeated_branches(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div class=top>Same banner text</div><div class=body>Own text {i}</div></body>") for i in range(20)] + [(99, None, None), (98, "odd", "")]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
