@@ -235,14 +235,15 @@ class Matcher:
         if not kinds:
             return [0.0] * len(FEATURES)
         exact = stem = fuzzy = fuzzy_stem = quoted = 0.0
-        places = list(WORD.finditer(low))
-        for i, m in enumerate(places):
-            k = kinds.get(m.group())
-            if not k:
-                continue
-            around = places[max(0, i - CONTEXT) : i] + places[i + 1 : i + 1 + CONTEXT]
-            told = sum(x.group() in REPORTING for x in around) / CONTEXT
-            marked = low[max(0, m.start() - 1) : m.start()] in QUOTES and low[m.end() : m.end() + 1] in QUOTES and m.start() > 0
+        # where words stand is asked only in texts with marks of quotation
+        places = list(WORD.finditer(low)) if any(q in low for q in QUOTES) else None
+        for i in [i for i, w in enumerate(words) if w in kinds]:
+            k = kinds[words[i]]
+            told = sum(w in REPORTING for w in words[max(0, i - CONTEXT) : i] + words[i + 1 : i + 1 + CONTEXT]) / CONTEXT
+            marked = False
+            if places:
+                start, end = places[i].span()
+                marked = start > 0 and low[start - 1] in QUOTES and low[end : end + 1] in QUOTES
             about = min(1.0, 0.5 * marked + told)
             quoted += about
             if k == 2:
