@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; where that is unset (tests), in a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The same rows, written to the shared folder, in folders by the values of ``by``, and read from there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

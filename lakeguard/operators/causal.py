@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeguard.functions.ranking import global_rank, moments, nearest_known
+from lakeguard.functions.storage import cut
 
 RESULT = "method string, point double, ci_lower double, ci_upper double, n long"
 
@@ -209,6 +210,56 @@ def refute_placebo(df: DataFrame, treatment: str, outcome: str, confounders: Seq
     return ols_effect(a.join(b, "_k"), treatment, outcome, confounders).withColumn("method", F.lit("placebo"))
 
 
+def refuters(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], share: float = 0.8, seed: int = 1) -> DataFrame:
+    """(refuter, baseline, refuted, passed): placebo treatment, a random common cause, a subset of the rows.
+
+    A placebo's effect must be within 20 % of the baseline's size, or 0.1, of none;
+    the others' within as much of the baseline.
+    """
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *row_id), 11) + 0.5) / float(1 << 53)
+    noise = df.withColumn("_noise", uniform)
+    found = [
+        ("placebo", refute_placebo(df, treatment, outcome, confounders, row_id, seed)),
+        ("random_common_cause", ols_effect(noise, treatment, outcome, [*confounders, "_noise"])),
+        ("data_subset", ols_effect(noise.filter(F.col("_noise") < share), treatment, outcome, confounders)),
+    ]
+    base = ols_effect(df, treatment, outcome, confounders).select(F.col("point").alias("baseline"))
+    out = None
+    for name, frame in found:
+        row = frame.select(F.lit(name).alias("refuter"), F.col("point").alias("refuted"))
+        out = row if out is None else out.unionByName(row)
+    limit = F.greatest(F.abs("baseline") * 0.2, F.lit(0.1))
+    centre = F.when(F.col("refuter") == "placebo", 0.0).otherwise(F.col("baseline"))
+    return out.join(F.broadcast(base)).select("refuter", "baseline", "refuted", (F.abs(F.col("refuted") - centre) < limit).alias("passed"))
+
+
+def disagreement(estimates: DataFrame, one: str, other: str) -> DataFrame:
+    """(gap, limit, challenged): whether two methods differ by more than twice the larger half width of their intervals."""
+    half = (F.col("ci_upper") - F.col("ci_lower")) / 2
+    pair = estimates.filter(F.col("method").isin(one, other) & (half > 0)).agg(F.countDistinct("method").alias("k"), (F.max("point") - F.min("point")).alias("gap"), (2 * F.max(half)).alias("limit"))
+    return pair.filter("k = 2").select("gap", "limit", (F.col("gap") > F.col("limit")).alias("challenged"))
+
+
+def effect_report(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str]) -> DataFrame:
+    """(part, name, value): estimates, refuters, disagreement, confidence and verdict of one question."""
+    estimates = cut(ols_effect(df, treatment, outcome, confounders).unionByName(tmle(df, treatment, outcome, confounders, row_id), True))
+    tried = cut(refuters(df, treatment, outcome, confounders, row_id))
+    rate = tried.agg(F.avg(F.col("passed").cast("double"))).first()[0]
+    odd = cut(disagreement(estimates, "ols", "tmle"))
+    severe = odd.filter("challenged").count() > 0
+
+    def part(name: str, frame: DataFrame, key: Column, value: Column) -> DataFrame:
+        return frame.select(F.lit(name).alias("part"), key.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    return (
+        part("estimate", estimates, F.col("method"), F.col("point"))
+        .unionByName(part("refuter", tried, F.col("refuter"), F.col("passed")))
+        .unionByName(part("challenge", odd, F.lit("disagreement"), F.col("challenged")))
+        .unionByName(part("confidence", confidence(estimates, rate, severe), F.col("level"), F.col("score")))
+        .unionByName(part("verdict", verdict(estimates), F.col("verdict"), F.col("point")))
+    )
+
+
 def partial_correlation(df: DataFrame, outcome: str, candidates: Sequence[str]) -> DataFrame:
     """|partial r| of each candidate with the outcome given all others, largest first."""
     columns = [outcome, *candidates]

@@ -173,37 +173,66 @@ def threshold_alerts(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
 
 def insight_report(df: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """(type, metric, value): distribution, outliers and trend of up to six columns, correlations of up to four."""
+    """(type, metric, value): distribution, outliers and trend of the columns, and their correlations."""
     parts = []
-    for c in list(columns)[:6]:
+    for c in columns:
         parts.append(df.agg(F.avg(c).alias("value")).select(F.lit("distribution").alias("type"), F.lit(c).alias("metric"), F.col("value").cast("double")))
         parts.append(iqr_outliers(df.select(c), c).agg(F.count("*").cast("double").alias("value")).select(F.lit("outlier").alias("type"), F.lit(c).alias("metric"), "value"))
         parts.append(trend_halves(df, c, order).filter("flagged").select(F.lit("trend").alias("type"), F.lit(c).alias("metric"), F.col("change").alias("value")))
     if len(columns) > 1:
-        parts.append(correlations(df, list(columns)[:4]).select(F.lit("correlation").alias("type"), F.concat_ws("~", "a", "b").alias("metric"), F.col("r").alias("value")))
+        parts.append(correlations(df, list(columns)).select(F.lit("correlation").alias("type"), F.concat_ws("~", "a", "b").alias("metric"), F.col("r").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def stats_summary(df: DataFrame, columns: Sequence[str], samples: int = 5) -> DataFrame:
+    """(metric, n, mean, sd, least, most, median, outliers, samples) of each numeric column; a few of the outliers are listed."""
+    out = None
+    for c in columns:
+        clean = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("double").alias(c))
+        stats = clean.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("least"), F.max(c).alias("most"))
+        half = order_statistics(clean, c, {"_a": F.floor((F.col("n") - 1) / 2), "_b": F.ceil((F.col("n") - 1) / 2)}).select(((F.col("_a") + F.col("_b")) / 2).alias("median"))
+        odd = iqr_outliers(clean, c)
+        few = odd.agg(F.count("*").alias("outliers")).join(odd.limit(samples).agg(F.collect_list(c).alias("samples")))
+        row = stats.join(half).join(few).select(F.lit(c).alias("metric"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ------------------------------------------------------------ relationships
+def may_relate(a: str, b: str) -> bool:
+    """Whether two columns may be a key and a reference to it, by their names."""
+    x, y = a.lower(), b.lower()
+    if x == y and any(w in x for w in ("id", "key", "code")):
+        return True
+    if {x, y} >= {"id"} and (x.endswith("_id") or y.endswith("_id")):
+        return True
+    if x.endswith("key") and x.rpartition("_")[2] == y.rpartition("_")[2]:
+        return True
+    stems = [n.replace("_id", "").replace("id", "") for n in (x, y)]
+    return "id" in x and "id" in y and all(stems) and (stems[0] in stems[1] or stems[1] in stems[0])
+
+
 def relationships(tables: Mapping[str, DataFrame], least: float = 0.5) -> DataFrame:
     """(child, child_column, parent, parent_column, overlap): key columns whose distinct values another table's key has.
 
-    Candidates share the end of their names after the table's prefix; the side with more distinct values is the parent,
+    Candidates are told by ``may_relate``, among others those that share the end of their names after the table's prefix; the side with more distinct values is the parent,
     of equal ones that whose values repeat less.
     """
     parts = []
     for (a, da), (b, db) in combinations(sorted(tables.items()), 2):
         for ca in da.columns:
             for cb in db.columns:
-                if ca.rpartition("_")[2] == cb.rpartition("_")[2] and ca.endswith("key"):
-                    x = da.groupBy(F.col(ca).cast("long").alias("k")).agg(F.count("*").alias("l"))
-                    y = db.groupBy(F.col(cb).cast("long").alias("k")).agg(F.count("*").alias("r"))
+                if may_relate(ca, cb):
+                    x = da.filter(F.col(ca).isNotNull()).groupBy(F.col(ca).cast("string").alias("k")).agg(F.count("*").alias("l"))
+                    y = db.filter(F.col(cb).isNotNull()).groupBy(F.col(cb).cast("string").alias("k")).agg(F.count("*").alias("r"))
                     both = x.join(y, "k", "full").agg(F.max("l").alias("ml"), F.max("r").alias("mr"), F.count("l").alias("na"), F.count("r").alias("nb"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"))
                     swap = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ml") < F.col("mr")))
                     parts.append(both.select(F.when(swap, b).otherwise(a).alias("child"), F.when(swap, cb).otherwise(ca).alias("child_column"), F.when(swap, a).otherwise(b).alias("parent"), F.when(swap, ca).otherwise(cb).alias("parent_column"), F.try_divide(F.col("both").cast("double"), F.least("na", "nb")).alias("overlap")))
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "child string, child_column string, parent string, parent_column string, overlap double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

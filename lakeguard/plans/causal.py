@@ -97,14 +97,15 @@ def sensitive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ca11_refuters")
 def refute(spark: SparkSession, sf: str) -> DataFrame:
-    return C.refute_placebo(study(spark, sf), "t", "y", ["x"], ["l_orderkey", "l_linenumber"])
+    return C.refuters(study(spark, sf), "t", "y", ["x"], ["l_orderkey", "l_linenumber"])
 
 
 @query("ca12_confidence")
 def confident(spark: SparkSession, sf: str) -> DataFrame:
     df = study(spark, sf)
     both = C.ols_effect(df, "t", "y", ["x"]).unionByName(C.ols_effect(df, "t", "y", ["x", "z"]).withColumn("method", F.lit("ols_z")))
-    return C.confidence(both, 1.0, False)
+    rate = refute(spark, sf).agg(F.avg(F.col("passed").cast("double"))).first()[0]
+    return C.confidence(both, rate, False)
 
 
 @query("ca14_verdict")

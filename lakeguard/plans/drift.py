@@ -13,14 +13,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+def registrar(queries: dict, sqls: dict):
+    """The decorator that enters a query, and the SQL that it is held against, under a name."""
+
+    def query(name: str, sql: str | None = None):
+        def register(f):
+            queries[name] = f
+            if sql:
+                sqls[name] = sql
+            return f
+
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, SQL)
 
 
 def monthly(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -121,27 +121,46 @@ def normalize_workday(raw: DataFrame, tenant: str) -> DataFrame:
     return raw.select(key.alias("erc"), F.lit("workday").alias("system_origin"), F.col("BaseAmount").cast("decimal(18,2)").alias("amount"), F.col("CurrencyCode").alias("currency"), F.col("LedgerAccount").alias("account_code"), posted.alias("posted_at"), posted.isNull().alias("date_missing"), F.create_map(F.lit("cost_center"), F.col("CostCenterID").cast("string")).alias("metadata"))
 
 
-def query_batch(spark: SparkSession, frames: Mapping[str, DataFrame], statements: Mapping[str, str], rows: int = 500) -> DataFrame:
+def browse(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, column, type, ordinal) of tables in a catalog; a row for each column."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, f.name, f.dataType.simpleString(), i) for name, df in tables.items() for i, f in enumerate(df.schema)]
+    return spark.createDataFrame(rows, "table string, column string, type string, ordinal int")
+
+
+def query_batch(spark: SparkSession, frames: Mapping[str, DataFrame], statements: Mapping[str, str]) -> DataFrame:
     """Status and row count of each statement; one that fails does not stop the others."""
     out = []
     for name, sql in statements.items():
         try:
             used = {k: v for k, v in frames.items() if "{" + k + "}" in sql}
-            out.append((name, "ok", spark.sql(sql, **used).limit(rows).count(), None))
+            out.append((name, "ok", spark.sql(sql, **used).count(), None))
         except Exception as e:  # the statement is the user's
             out.append((name, "failed", 0, str(e).splitlines()[0][:200]))
     return spark.createDataFrame(out, "name string, status string, row_count long, error string")
 
 
 def radius_pairs(places: DataFrame, km: float) -> DataFrame:
-    """Pairs (a < b) of ``places(id, lat, lon)`` within a distance: joined by bands of latitude and their neighbours, then measured."""
+    """Pairs (a < b) of ``places(id, lat, lon)`` within a distance: joined by cells and their neighbours, then measured.
+
+    A band of latitude is as high as the distance.  Its cells are as wide as the
+    distance at its edge and one band nearer the pole, and go round the earth; near
+    the poles a band is one cell.
+    """
     step = km / 111.0
     band = F.floor(F.col("lat") / step)
-    left = places.select("id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("y"))
-    right = places.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("y"))
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs(F.col("y")), F.abs(F.col("y") + 1)) + 1) * step)
+    cells = F.greatest(F.lit(1), F.floor(360 / (step / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6)))).cast("int"))
+
+    def cell(at: Column) -> Column:
+        return F.floor(F.pmod(at + 180, F.lit(360.0)) / 360 * F.col("m"))
+
+    left = places.select("id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("y")).withColumn("m", cells)
+    left = left.withColumn("x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(cell(F.col("lon")) + k, F.col("m")))))).drop("m")
+    right = places.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("y")).withColumn("m", cells).withColumn("x", F.pmod(cell(F.col("lon2")), F.col("m"))).drop("m")
     h = F.pow(F.sin(F.radians(F.col("lat2") - F.col("lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("lat2")) * F.pow(F.sin(F.radians(F.col("lon2") - F.col("lon")) / 2), 2)
     distance = 2 * 6371 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-    return left.join(right, "y").filter((F.col("id") < F.col("b")) & (distance <= km)).select(F.col("id").alias("a"), "b")
+    return left.join(right, ["y", "x"]).filter((F.col("id") < F.col("b")) & (distance <= km)).select(F.col("id").alias("a"), "b")
 
 
 def _uniform(seed: int, name: str) -> Column:

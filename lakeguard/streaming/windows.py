@@ -128,12 +128,17 @@ def alert_rules(fired: DataFrame, rules: Sequence[Mapping[str, Any]]) -> DataFra
     return fired.withColumn("label", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))
 
 
+def with_policy(df: DataFrame, late: Column, keep: Column) -> DataFrame:
+    """Adds decision: on_time, or of late rows kept or dropped, as the user's predicate says."""
+    return df.withColumn("decision", F.when(~F.coalesce(late, F.lit(False)), "on_time").when(keep, "kept").otherwise("dropped"))
+
+
 # ------------------------------------------------------------ sources and sinks
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", time: str | None = None) -> DataFrame:
     """New files of a folder; the key is the file's stem, event time a column or the file's time."""
     df = spark.readStream.schema(schema).format(fmt).load(path)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return df.select("*", stem.alias("key"), (F.col(time).cast("timestamp") if time else F.col("_metadata.file_modification_time")).alias("ts"))
+    return df.withColumns({"key": stem, "ts": F.col(time).cast("timestamp") if time else F.col("_metadata.file_modification_time")})
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str, key_field: str | None = None) -> DataFrame:
