@@ -65,7 +65,7 @@ def kl_divergence(batches: DataFrame, baseline: DataFrame, keys: Sequence[str])
     """
     by = [*keys, "column"]
     heads = batches.select(*by).distinct()
-    base = heads.join(F.broadcast(baseline), "column").select(*by, "bin", F.lit(0).cast("long").alias("p"), F.col("n").alias("q"))  # 50 bins a column
+    base = heads.join(baseline, "column").select(*by, "bin", F.lit(0).cast("long").alias("p"), F.col("n").alias("q"))
     both = batches.select(*by, "bin", F.col("n").alias("p"), F.lit(0).cast("long").alias("q")).unionByName(base)
     group = Window.partitionBy(*by)
     shares = both.groupBy(*by, "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).withColumns({"_p": F.sum("p").over(group), "_q": F.sum("q").over(group)})

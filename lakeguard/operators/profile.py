@@ -126,7 +126,7 @@ def trend_halves(df: DataFrame, value: str, order: Sequence[Column], least: floa
 
 def zscore_anomalies(df: DataFrame, value: str, keys: Sequence[str] = (), threshold: float = 2.0) -> DataFrame:
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    joined = df.join(F.broadcast(stats), list(keys)) if keys else df.join(F.broadcast(stats))
+    joined = df.join(stats, list(keys)) if keys else df.join(F.broadcast(stats))
     return joined.withColumn("z", F.try_divide(F.abs(F.col(value) - F.col("_m")), F.col("_s"))).filter(F.col("z") > threshold).drop("_m", "_s")
 
 

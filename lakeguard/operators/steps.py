@@ -342,11 +342,12 @@ def repair_clip(df: DataFrame, columns: Sequence[str], baseline: DataFrame, sigm
     return df.join(F.broadcast(stats)).withColumns(clipped).drop(*stats.columns)
 
 
-def causal_encode(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], most: int = 12) -> DataFrame:
+def causal_encode(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], most: int = 12, left_out: list[str] | None = None) -> DataFrame:
     """A modelling table: treatment as 0/1, outcome as a number, categories one-hot without the first, null rows dropped.
 
     A treatment of two values maps the larger to 1; a continuous one is cut at its median.
-    Categories of more than ``most`` values are left out.
+    A confounder of more than ``most`` categories would bias the effect if it went unseen: its name is added
+    to ``left_out`` if that list is given, else it is an error.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     values = {c: [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()] for c in [treatment, *confounders] if c == treatment or not is_numeric(kinds[c])}
@@ -365,4 +366,8 @@ def causal_encode(df: DataFrame, treatment: str, outcome: str, confounders: Sequ
             columns.append((F.col(c) == F.lit(values[c][1])).cast("double").alias(c))
         elif len(values[c]) <= most:
             columns += [(F.col(c) == F.lit(v)).cast("double").alias(f"{c}_{re.sub(r'[^A-Za-z0-9]', '_', str(v))}") for v in values[c][1:]]
+        elif left_out is None:
+            raise ValueError(f"{c} has more than {most} categories")
+        else:
+            left_out.append(c)
     return source.select(*columns).na.drop()

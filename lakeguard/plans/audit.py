@@ -99,15 +99,19 @@ def duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return A.duplicate_payments(df, ["l_quantity", "l_suppkey"], "seq").select("l_orderkey", "l_linenumber", "occurrence")
 
 
+#: Every 499th order is booked three thousand times too high.
+BOOKS = "(SELECT o_orderkey, o_orderpriority, o_orderdate, o_totalprice * CASE WHEN o_orderkey % 499 = 0 THEN 3000.0::DOUBLE ELSE 1.0::DOUBLE END AS o_totalprice FROM orders)"
+
+
 @query(
     "fa1_analytical",
-    f"""SELECT o_orderkey, o_orderpriority, o_totalprice, CASE WHEN o_totalprice > overall * 0.75 THEN 'above_performance' ELSE 'unexpected' END AS reason
-    FROM orders JOIN (SELECT o_orderpriority, avg(o_totalprice) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1) USING (o_orderpriority), {MATERIAL}
+    f"""SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS o_totalprice, CASE WHEN o_totalprice > overall * 0.75 THEN 'above_performance' ELSE 'unexpected' END AS reason
+    FROM {BOOKS} JOIN (SELECT o_orderpriority, avg(o_totalprice) AS m FROM {BOOKS} WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1) USING (o_orderpriority), {MATERIAL.replace("FROM orders", f"FROM {BOOKS}")}
     WHERE o_totalprice > overall * 0.75 OR abs(o_totalprice - m) > overall""",
 )
 def analytical(spark: SparkSession, sf: str) -> DataFrame:
-    df = t(spark, sf, "orders")
-    return A.analytical(df, df.filter("o_orderdate < timestamp_ntz'1996-01-01'"), "o_orderkey", "o_orderpriority", "o_totalprice")
+    df = t(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice") * F.when(F.col("o_orderkey") % 499 == 0, 3000.0).otherwise(1.0))
+    return A.analytical(df, df.filter("o_orderdate < timestamp_ntz'1996-01-01'"), "o_orderkey", "o_orderpriority", "o_totalprice").withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query(
@@ -167,10 +171,11 @@ def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
     return ledger(spark, sf)
 
 
-@query("wf8_chain_verify", "SELECT tenant, CAST(seq AS BIGINT) AS seq, problem FROM (VALUES ('1-URGENT', 5, 'record_hash'), ('1-URGENT', 6, 'prev_hash'), ('2-HIGH', 8, 'gap')) v(tenant, seq, problem)")
+@query("wf8_chain_verify", "SELECT tenant, seq, CASE seq % 200 WHEN 5 THEN 'record_hash' WHEN 6 THEN 'prev_hash' ELSE 'gap' END AS problem FROM (SELECT o_orderpriority AS tenant, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS seq FROM orders) WHERE seq % 200 IN (5, 6, 101)")
 def chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    bent = ledger(spark, sf).withColumn("payload", F.when((F.col("tenant") == "1-URGENT") & (F.col("seq") == 5), F.lit("forged")).otherwise(F.col("payload")))
-    return A.verify_chain(bent.filter("NOT (tenant = '2-HIGH' AND seq = 7)"))
+    """Of each tenant's records some are forged, and some are gone."""
+    bent = ledger(spark, sf).withColumn("payload", F.when(F.col("seq") % 200 == 5, F.lit("forged")).otherwise(F.col("payload")))
+    return A.verify_chain(bent.filter("seq % 200 <> 100"))
 
 
 @query("fa6_merkle_root")

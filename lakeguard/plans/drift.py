@@ -164,8 +164,8 @@ def healing(spark: SparkSession, sf: str) -> DataFrame:
     return D.healing_scores(events).drop("latency").withColumns({c: F.round(c, 6) for c in ("quality", "speed", "contribution", "composite")})
 
 
-@query("dr28_missing_source", "SELECT s_suppkey, CAST(y.year AS INTEGER) AS year FROM supplier, (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND year(l_shipdate) = y.year AND l_quantity > 45)")
+@query("dr28_missing_source", "SELECT s_suppkey, CAST(y.year AS INTEGER) AS year FROM supplier, (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND year(l_shipdate) = y.year AND l_quantity >= 50 AND l_discount > 0.095)")
 def missing(spark: SparkSession, sf: str) -> DataFrame:
-    items = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.year("l_shipdate").alias("year"), "l_quantity")
+    items = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.year("l_shipdate").alias("year"), "l_quantity", "l_discount")
     expected = t(spark, sf, "supplier").select("s_suppkey").crossJoin(F.broadcast(items.select("year").distinct()))  # a row for each year
-    return D.missing_sources(expected, items.filter("l_quantity > 45"), ["s_suppkey", "year"])
+    return D.missing_sources(expected, items.filter("l_quantity >= 50 AND l_discount > 0.095"), ["s_suppkey", "year"])
