@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeguard.functions.ranking import global_rank, moments, nearest_known
+from lakeguard.functions.ranking import global_rank, moments, nearest_known, order_statistics
 from lakeguard.functions.storage import cut
 
 RESULT = "method string, point double, ci_lower double, ci_upper double, n long"
@@ -136,6 +136,51 @@ def tmle(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str]
     return _interval(moved.withColumn("ic", F.expr("gap + h * (r - eps * h)")), "ic", "tmle")
 
 
+def forest_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2, rounds: int = 20, trees: int = 48, clip: float = 0.025, seed: int = 1) -> DataFrame:
+    """One row (method, point, ci_lower, ci_upper, n, cate): boosted nuisances, cross-fitted, and a forest on the doubly robust scores.
+
+    ``cate`` holds ten quantiles, 0.05 to 0.95, of the effects that the forest gives to the rows; the point
+    is their mean and the interval that of the scores.  Rows with a null take no part.  Where an arm has
+    fewer than two rows a fold the numbers are null.  Every fit is made of Spark's distributed trees.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    known = df.na.drop(subset=[treatment, outcome, *confounders]).select(*row_id, F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(confounders)], F.lit(0.0).alias("_none"))
+    n, treated = known.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    spark, schema = df.sparkSession, f"{RESULT}, cate array<double>"
+    if min(treated, n - treated) < 2 * folds:
+        return spark.createDataFrame([("forest_dr", None, None, None, n, None)], schema)
+    names = [f"_c{i}" for i in range(len(confounders))] or ["_none"]
+    given = VectorAssembler(inputCols=names, outputCol="_x").transform(known).withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds)))
+
+    def at(rows: DataFrame, arm: Column, to: str) -> DataFrame:
+        return VectorAssembler(inputCols=["_arm", *names], outputCol=to).transform(rows.withColumn("_arm", arm)).drop("_arm")
+
+    ready = cut(at(at(at(given, F.col("t"), "_seen"), F.lit(0.0), "_at0"), F.lit(1.0), "_at1"))
+    parts = []
+    for k in range(folds):
+        train, test = ready.filter(F.col("_fold") != k), ready.filter(F.col("_fold") == k)
+        odds = GBTClassifier(featuresCol="_x", labelCol="t", maxIter=rounds, maxDepth=3, seed=seed).fit(train)
+        mean = GBTRegressor(featuresCol="_seen", labelCol="y", maxIter=rounds, maxDepth=3, seed=seed).fit(train)
+        for arm in (0, 1):
+            test = mean.setFeaturesCol(f"_at{arm}").setPredictionCol(f"m{arm}").transform(test)
+        e = F.greatest(F.least(vector_to_array("probability")[1], F.lit(1 - clip)), F.lit(clip))
+        parts.append(odds.transform(test).withColumn("e", e).select(*row_id, "_x", F.expr("m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e)").alias("psi")))
+    scores = cut(reduce(DataFrame.unionByName, parts))
+    forest = RandomForestRegressor(featuresCol="_x", labelCol="psi", predictionCol="effect", numTrees=trees, maxDepth=5, subsamplingRate=0.5, minInstancesPerNode=int(min(max(10, n // 30), 2**31 - 1)), seed=seed).fit(scores)
+    effects = forest.transform(scores)
+    places = {f"q{i}": (F.col("n") - 1) * (0.05 + 0.1 * i) for i in range(10)}
+    picks = {f"{k}_{side}": f(v) for k, v in places.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    found = order_statistics(effects, "effect", picks, [F.col(c) for c in row_id])
+    cate = F.array(*[F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * (v - F.floor(v)) for k, v in places.items()])
+    half = 1.96 * F.stddev("psi") / F.sqrt(F.count("*"))
+    one = effects.agg(F.avg("effect").alias("point"), half.alias("h"))
+    return one.crossJoin(found.select("n", cate.alias("cate"))).select(F.lit("forest_dr").alias("method"), "point", (F.col("point") - F.col("h")).alias("ci_lower"), (F.col("point") + F.col("h")).alias("ci_upper"), "n", "cate")
+
+
 def match_on_score(df: DataFrame, treatment: str, outcome: str, score: str) -> DataFrame:
     """(att, ate, n): each row against the nearest score of the other arm, with replacement.
 
@@ -280,3 +325,42 @@ def split_stationarity(df: DataFrame, value: str, order: Sequence, limit: float
     v = F.col(value)
     one = ranked.join(F.broadcast(total)).agg(F.avg(F.when(first, v)).alias("a"), F.avg(F.when(~first, v)).alias("b"), F.var_pop(F.when(first, v)).alias("va"), F.var_pop(F.when(~first, v)).alias("vb"))
     return one.select((F.abs(F.col("a") - F.col("b")) / F.sqrt((F.col("va") + F.col("vb")) / 2)).alias("shift")).withColumn("drifts", F.col("shift") > limit)
+
+
+#: The 5 % point of the Dickey-Fuller distribution with a constant, for long series.  A fixed value.
+UNIT_ROOT = -2.86
+
+
+def unit_root(df: DataFrame, value: str, order: Sequence[Column], lags: int = 4, least: int = 30, block: int = 10_000) -> DataFrame:
+    """One row (t, lags, n, stationary): the augmented Dickey-Fuller test with a constant, lags chosen by AIC.
+
+    The series is laid in blocks of positions that overlap by the lags, so no task gets all of it, and all
+    candidates are fitted from one matrix of moments on the rows that have every lag.  Nulls are left out
+    of the series.  A series of fewer than ``least`` values, or of one value only, is not tested: t is null
+    and stationary true.  ``order`` should have no ties.
+    """
+    spark, schema = df.sparkSession, "t double, lags int, n long, stationary boolean"
+    known = df.filter(F.col(value).isNotNull())
+    n, middle, spread = known.agg(F.count("*"), F.avg(value), F.stddev_pop(value)).first()
+    if n < least or not spread:
+        return spark.createDataFrame([(None, None, n, True)], schema)
+    block = max(block, 2 * (lags + 2))
+    placed = global_rank(known, order, name="_pos").select("_pos", ((F.col(value).cast("double") - float(middle)) / float(spread)).alias("_v"))
+    home = F.floor(F.col("_pos") / block)
+    next_too = F.col("_pos") % block >= block - lags - 1
+    dealt = placed.withColumn("_home", home).withColumn("_block", F.explode(F.when(next_too, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    w = Window.partitionBy("_block").orderBy("_pos")
+    back = [F.col("_v"), *[F.lag("_v", i).over(w) for i in range(1, lags + 2)]]
+    steps = [(back[i] - back[i + 1]).alias(f"d{i}") for i in range(lags + 1)]
+    rows = dealt.select("_home", "_block", "_pos", back[1].alias("level"), *steps).filter((F.col("_home") == F.col("_block")) & (F.col("_pos") > lags))
+    m, count = _matrix(moments(rows, ["level", *[f"d{i}" for i in range(1, lags + 1)], "d0"]).first().asDict(), ["level", *[f"d{i}" for i in range(1, lags + 1)], "d0"])
+    best = None
+    for p in range(lags + 1):
+        x = m[: p + 2, : p + 2]
+        inverse = np.linalg.pinv(x)
+        beta = inverse @ m[: p + 2, -1]
+        rest = max(float(m[-1, -1] - beta @ m[: p + 2, -1]), 1e-300)
+        aic = count * np.log(rest / count) + 2 * (p + 2)
+        if best is None or aic < best[0]:
+            best = (aic, float(beta[1] / np.sqrt(rest / (count - p - 2) * inverse[1, 1])), p)
+    return spark.createDataFrame([(best[1], best[2], count, best[1] < UNIT_ROOT)], schema)

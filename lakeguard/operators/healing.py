@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,6 +229,23 @@ def select_repair(outcomes: DataFrame, keys: Sequence[str], candidate: str = "ca
     return best.select(*keys, F.col("b.c").alias(candidate), F.col("b.improvement").alias("improvement")).withColumns({"ci_lower": F.col("improvement") - half, "ci_upper": F.col("improvement") + half})
 
 
+def score_candidates(batches: DataFrame, candidates: Mapping[str, Callable[[DataFrame], DataFrame]], keys: Sequence[str], score: Column) -> DataFrame:
+    """(keys…, candidate, before, after): any aggregate ``score`` of the batches as they are and after each candidate's repair.
+
+    ``score`` may be built-in aggregates or a grouped-aggregate pandas UDF.  A candidate whose plan Spark
+    cannot analyse has no ``after``, so ``select_repair`` never takes it; rows with a null key take no part.
+    """
+    before = batches.groupBy(*keys).agg(score.cast("double").alias("before"))
+    parts = []
+    for name, repair in candidates.items():
+        try:
+            after = repair(batches).groupBy(*keys).agg(score.cast("double").alias("after"))
+        except AnalysisException:
+            after = before.select(*keys, F.lit(None).cast("double").alias("after"))
+        parts.append(after.withColumn("candidate", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts).join(before, list(keys)).select(*keys, "candidate", "before", "after")
+
+
 def deploy_gate(repairs: DataFrame, auto: bool = True, tiered: bool = True, mode: str = "auto") -> DataFrame:
     """Adds deploy to ``repairs(method, severity)``: made by a template, of low or medium severity, in automatic mode."""
     fine = (F.coalesce("method", F.lit("template")) == "template") & F.lower(F.coalesce("severity", F.lit("medium"))).isin("low", "medium")

@@ -70,6 +70,11 @@ def aipw(spark: SparkSession, sf: str) -> DataFrame:
     return C.doubly_robust(study(spark, sf), "t", "y", ["x", "z"], ["l_orderkey", "l_linenumber"])
 
 
+@query("ca5_forest_dr")
+def forest(spark: SparkSession, sf: str) -> DataFrame:
+    return C.forest_effect(study(spark, sf), "t", "y", ["x", "z"], ["l_orderkey", "l_linenumber"])
+
+
 @query("ca7_iv_2sls", f"SELECT round(covar_pop(z, y) / covar_pop(z, t), 3) AS point, count(*) AS n FROM {STUDY}")
 def iv(spark: SparkSession, sf: str) -> DataFrame:
     return C.two_stage(study(spark, sf), "t", "y", ["z"]).select(F.round("point", 3).alias("point"), "n")
@@ -121,3 +126,19 @@ def causes(spark: SparkSession, sf: str) -> DataFrame:
 @query("rc2_stationarity", "SELECT round(abs(avg(y) FILTER (k <= n // 2) - avg(y) FILTER (k > n // 2)) / sqrt((var_pop(y) FILTER (k <= n // 2) + var_pop(y) FILTER (k > n // 2)) / 2), 5) AS shift FROM (SELECT o_totalprice AS y, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER () AS n FROM orders)")
 def stationary(spark: SparkSession, sf: str) -> DataFrame:
     return C.split_stationarity(t(spark, sf, "orders"), "o_totalprice", [F.col("o_orderdate"), F.col("o_orderkey")]).select(F.round("shift", 5).alias("shift"))
+
+
+_STEPS = "(SELECT y - lag(y) OVER w AS d, lag(y) OVER w AS level FROM (SELECT o_totalprice AS y, o_orderdate, o_orderkey FROM orders) WINDOW w AS (ORDER BY o_orderdate, o_orderkey))"
+
+
+@query("rc2_unit_root", f"SELECT round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 4) AS t, n, b / sqrt((syy - b * sxy) / (n - 2) / sxx) < -2.86 AS stationary FROM (SELECT regr_slope(d, level) AS b, regr_sxx(d, level) AS sxx, regr_syy(d, level) AS syy, regr_sxy(d, level) AS sxy, count(*) AS n FROM {_STEPS} WHERE d IS NOT NULL)")
+def rooted(spark: SparkSession, sf: str) -> DataFrame:
+    """The Dickey-Fuller test without lags; a test holds the choice of lags to a least-squares fit."""
+    found = C.unit_root(t(spark, sf, "orders"), "o_totalprice", [F.col("o_orderdate"), F.col("o_orderkey")], lags=0)
+    return found.select(F.round("t", 4).alias("t"), "n", "stationary")
+
+
+@query("rc2_unit_root_lags")
+def rooted_with_lags(spark: SparkSession, sf: str) -> DataFrame:
+    found = C.unit_root(t(spark, sf, "orders"), "o_totalprice", [F.col("o_orderdate"), F.col("o_orderkey")])
+    return found.withColumn("t", F.round("t", 4))

@@ -13,6 +13,7 @@ from lakeguard.plans.causal import study
 from lakeguard.plans.drift import registrar
 from lakeguard.plans.operations import knn
 from lakeguard.plans.steps import t
+from lakeguard.sources import connectors
 from lakeguard.sources import tables as T
 from lakeguard.streaming import windows as S
 
@@ -137,3 +138,13 @@ def disagree(spark: SparkSession, sf: str) -> DataFrame:
 @query("ca15_effect_report")
 def report(spark: SparkSession, sf: str) -> DataFrame:
     return C.effect_report(study(spark, sf), "t", "y", ["x"], ["l_orderkey", "l_linenumber"])
+
+
+# ------------------------------------------------------------ connectors
+@query("ud4_connector", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def connector(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders, written and read by a connector that is not Spark's."""
+    connectors.register(spark)
+    path = shared_path(spark, "arrow")
+    t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").write.format("arrow_files").mode("append").save(path)
+    return spark.read.format("arrow_files").load(path)

@@ -206,6 +206,28 @@ def selected(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("month", "candidate", *[F.round(c, 5).alias(c) for c in ("improvement", "ci_lower", "ci_upper")])
 
 
+_CHANGED = "SELECT strftime(l_shipdate, '%Y-%m') AS month, l_quantity AS v FROM lineitem"
+_AWAY = "abs(avg(v) - 25) / 25"
+
+
+@query(
+    "ud3_injected_score",
+    f"""WITH b AS (SELECT month, {_AWAY} AS before FROM ({_CHANGED}) GROUP BY 1),
+ a AS (SELECT month, 'clip' AS candidate, {_AWAY} AS after FROM (SELECT month, least(v, 45) AS v FROM ({_CHANGED})) GROUP BY 1 UNION ALL SELECT month, 'shift', {_AWAY} FROM (SELECT month, v - 0.5 AS v FROM ({_CHANGED})) GROUP BY 1),
+ i AS (SELECT month, candidate, before - after AS improvement, row_number() OVER (PARTITION BY month ORDER BY before - after DESC, candidate) AS k FROM a JOIN b USING (month))
+ SELECT month, candidate, round(improvement, 5) AS improvement FROM i WHERE k = 1""",
+)
+def injected(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_quantity").cast("double").alias("v"))
+    candidates = {
+        "clip": lambda df: df.withColumn("v", F.least("v", F.lit(45.0))),
+        "shift": lambda df: df.withColumn("v", F.col("v") - 0.5),
+        "broken": lambda df: df.withColumn("v", F.col("no_such_column")),
+    }
+    scored = H.score_candidates(rows, candidates, ["month"], F.abs(F.avg("v") - 25) / 25)
+    return H.select_repair(scored, ["month"]).select("month", "candidate", F.round("improvement", 5).alias("improvement"))
+
+
 @query(
     "dr21_drift_gated_write",
     f"""WITH stat AS ({P.SQL["dr5_statistical_drift"]}), m AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, l_quantity AS v, coalesce(severity IN ('medium', 'high', 'critical'), false) AS hit FROM lineitem LEFT JOIN stat ON month = strftime(l_shipdate, '%Y-%m'))

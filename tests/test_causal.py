@@ -1,5 +1,6 @@
 """Effect estimates on made processes with known effects."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lakeguard.operators import causal as C
@@ -39,3 +40,50 @@ def test_matching_meets_brute_force(spark):
 def test_one_arm_has_no_match(spark):
     df = spark.createDataFrame([(1, 0.5, 1.0)], "t int, s double, y double")
     assert C.match_on_score(df, "t", "y", "s").first().att is None
+
+
+def test_forest_finds_effects_that_differ(spark):
+    df = made(spark).withColumn("y", F.col("y") + F.when(F.col("x") > 0, F.col("t")).otherwise(-F.col("t")))
+    found = C.forest_effect(df, "t", "y", ["x"], ["id"], rounds=8, trees=8).first()
+    assert abs(found.point - 1.5) < 0.25 and found.ci_lower < 1.5 < found.ci_upper and found.n == 4000
+    assert list(found.cate) == sorted(found.cate) and len(found.cate) == 10
+    assert found.cate[0] < 1.2 and found.cate[-1] > 1.8
+
+
+def test_forest_without_both_arms(spark):
+    df = spark.createDataFrame([(i, 1, float(i), 0.0) for i in range(9)] + [(99, 0, None, 0.0)], "id int, t int, y double, x double")
+    found = C.forest_effect(df, "t", "y", ["x"], ["id"]).first()
+    assert found.point is None and found.cate is None and found.n == 9
+
+
+def dickey_fuller(y, lags):
+    """The t statistics of all numbers of lags by plain least squares, with their AIC."""
+    d = np.diff(y)
+    out = []
+    for p in range(lags + 1):
+        x = np.array([[1.0, y[i], *[d[i - j] for j in range(1, p + 1)]] for i in range(lags, len(d))])
+        z = d[lags:]
+        beta = np.linalg.lstsq(x, z, rcond=None)[0]
+        rest = ((z - x @ beta) ** 2).sum()
+        error = np.sqrt(rest / (len(z) - p - 2) * np.linalg.inv(x.T @ x)[1, 1])
+        out.append((len(z) * np.log(rest / len(z)) + 2 * (p + 2), beta[1] / error, p, len(z)))
+    return min(out)
+
+
+def test_unit_root_meets_least_squares(spark):
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=600)
+    walk, calm = np.cumsum(noise) + 1000, [0.0, 0.0]
+    for e in noise:
+        calm.append(0.3 * calm[-1] + 0.4 * calm[-2] + e)
+    for series, still in ((walk, False), (np.array(calm), True)):
+        rows = [(i, float(v)) for i, v in enumerate(series)] + [(7000, None)]
+        found = C.unit_root(spark.createDataFrame(rows, "i int, v double"), "v", [F.col("i")], lags=3, block=64).first()
+        _, stat, p, n = dickey_fuller(series, 3)
+        assert abs(found.t - stat) < 1e-6 and (found.lags, found.n) == (p, n) and found.stationary == still
+
+
+def test_unit_root_of_short_and_constant_series(spark):
+    for rows in ([(i, 1.0) for i in range(50)], [(i, float(i % 3)) for i in range(20)], []):
+        found = C.unit_root(spark.createDataFrame(rows, "i int, v double"), "v", [F.col("i")]).first()
+        assert found.t is None and found.stationary and found.n == len(rows)
