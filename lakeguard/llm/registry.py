@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("decontaminate", "toxicity", "simhash", "tokens", "ngram_lm", "html_text", "embeddings", "mixing", "quality", "substrings", "whitening", "periods")
+_MODULES = ("decontaminate", "toxicity", "simhash", "tokens", "ngram_lm", "html_text", "embeddings", "mixing", "quality", "substrings", "whitening", "periods", "suffixes")
 
 
 def _gather(name: str) -> dict:
