@@ -50,6 +50,8 @@ RANGE_ANCHORS = 2_000_000
 RANGE_SUFFIXES = 250_000
 #: Anchors that occur about so often are dealt by windows.
 HOT = 200_000
+#: Suffixes whose bytes are hashed at a time.
+_TEXTS = 1 << 14
 #: Bits of an anchor's hash in the first exchange.
 _BITS = 46
 #: What stands for a null doc_id: it comes after all others.
@@ -427,11 +429,14 @@ def _covered(parts: DataFrame, window: int) -> DataFrame:
         if len(told):
             place = perm[told]
             base = np.cumsum([len(h) for h in heads]) - [len(h) for h in heads]
-            texts = [all_left[e - b : e].tobytes() + heads[r][p] for e, b, r, p in zip(end_left[told].tolist(), back[told].tolist(), run_of[told].tolist(), (place - base[run_of[told]]).tolist(), strict=True)]
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            starts = ends - np.fromiter(map(len, texts), np.int64, len(texts))
-            longest = window if hot else 2 * window - GRAM
-            keys = _digest(grams(np.frombuffer(b"".join(texts), np.uint8)), starts, ends, starts + back[told], longest)
+            keys = np.zeros(len(told), _U)
+            for i in range(0, len(told), _TEXTS):
+                some = slice(i, i + _TEXTS)
+                ends, backs, runs = end_left[told[some]], back[told[some]], run_of[told[some]]
+                texts = [all_left[e - n : e].tobytes() + heads[r][p] for e, n, r, p in zip(ends.tolist(), backs.tolist(), runs.tolist(), (place[some] - base[runs]).tolist(), strict=True)]
+                stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+                begins = stops - np.fromiter(map(len, texts), np.int64, len(texts))
+                keys[some] = _digest(grams(np.frombuffer(b"".join(texts), np.uint8)), begins, stops, begins + backs, window if hot else 2 * window - GRAM)
             blk = rows["blk"].to_numpy()
             for r in np.unique(run_of[told]).tolist():
                 own = run_of[told] == r
@@ -449,7 +454,7 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
             for r, ids, named, raw, offsets in _opened(batch):
                 found = Samples(raw, offsets, window)
                 doc = ids[found.doc]
-                begins = np.zeros(len(raw) + 1, np.int32)
+                begins = np.zeros(len(raw) + 1, np.uint8)
                 # in the block: an equal sample of a smaller document
                 order = np.lexsort((doc, found.c))
                 c = found.c[order]
@@ -483,9 +488,10 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                         sample, at, digest = found.singles(np.arange(i, min(i + (1 << 16), len(found.at))))
                         place = np.minimum(np.searchsorted(key, digest), len(key) - 1)
                         begins[at[(key[place] == digest) & (limit[place] < doc[sample])]] = 1
-                total = np.concatenate(([0], np.cumsum(begins[:-1], dtype=np.int32)))
-                reach = np.arange(1, len(raw) + 1)
-                gone = total[reach] > total[np.maximum(reach - window, 0)]
+                total = np.cumsum(np.concatenate((begins[:1] * 0, begins[:-1])), dtype=np.int32)
+                earlier = np.zeros(len(raw), np.int32)
+                earlier[window - 1 :] = total[: max(len(raw) - window + 1, 0)]
+                gone = total[1:] > earlier
                 edge = np.zeros(len(raw) + 1, bool)
                 edge[offsets] = True
                 starts = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate(([False], gone[:-1]))))
@@ -494,7 +500,7 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                 listed = np.searchsorted(of, np.arange(len(named) + 1))
                 spans = np.stack((starts - offsets[of], stops - offsets[of]), 1)
                 kept = raw[~gone].tobytes()
-                cuts = np.concatenate(([0], np.cumsum(~gone)))[offsets].tolist()
+                cuts = np.cumsum(np.concatenate(([False], ~gone)))[offsets].tolist()
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(listed, pa.int32()), inner), pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
