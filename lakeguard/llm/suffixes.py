@@ -45,13 +45,13 @@ from lakeguard.llm.kernels import mix, signed, slices, strings, window_minima
 WINDOW = 50
 GRAM = 16
 #: Bytes of text in a block (or one document), anchors in a range of the first exchange, suffixes in one of the second.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 RANGE_ANCHORS = 2_000_000
-RANGE_SUFFIXES = 250_000
+RANGE_SUFFIXES = 200_000
 #: Anchors that occur about so often are dealt by windows.
 HOT = 200_000
-#: Suffixes whose bytes are hashed at a time.
-_TEXTS = 1 << 14
+#: Bytes of text whose places are hashed at a time, and suffixes.
+_SLICE, _TEXTS = 1 << 19, 1 << 14
 #: Bits of an anchor's hash in the first exchange.
 _BITS = 46
 #: What stands for a null doc_id: it comes after all others.
@@ -108,7 +108,7 @@ class Samples:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int) -> None:
         self.window, self.raw = window, raw
         found: list[list[np.ndarray]] = [[], [], [], [], []]
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, _SLICE):
             base, first = offsets[i], offsets[i : j + 1] - offsets[i]
             hashes = grams(raw[base : offsets[j]])
             if len(hashes) < window - GRAM + 1:
@@ -122,10 +122,10 @@ class Samples:
             breaks = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1))))
             lo, hi, at = valid[breaks], valid[np.append(breaks[1:], len(valid)) - 1], anchor[breaks]
             context = _digest(hashes, lo, hi + window, at, 2 * window - GRAM)
-            for held, x in zip(found, (lo + base, hi + base, at + base, hashes[at], context), strict=True):
+            for held, x in zip(found, (lo + base, hi + base, at + base, mix(hashes[at] ^ _MORE), context), strict=True):
                 held.append(x)
         none = np.zeros(0, np.int64)
-        #: windows lo … hi chose the anchor at; h and c are the hashes of the anchor and of all its windows' bytes
+        #: windows lo … hi chose the anchor at; h and c are hashes of the anchor (mixed anew: the least of many are no even ones) and of all its windows' bytes
         self.lo, self.hi, self.at = (np.concatenate((none, *x)) for x in found[:3])
         self.h, self.c = (np.concatenate((none.view(_U), *x)) for x in found[3:])
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
@@ -500,7 +500,7 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                 listed = np.searchsorted(of, np.arange(len(named) + 1))
                 spans = np.stack((starts - offsets[of], stops - offsets[of]), 1)
                 kept = raw[~gone].tobytes()
-                cuts = np.cumsum(np.concatenate(([False], ~gone)))[offsets].tolist()
+                cuts = np.cumsum(np.concatenate(([False], ~gone)), dtype=np.int32 if len(raw) < 1 << 31 else np.int64)[offsets].tolist()
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(listed, pa.int32()), inner), pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
@@ -524,12 +524,13 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     # a random order has two anchors in as many bytes as a window has grams, and one
     ranges = max(least, -(-2 * total // (window - GRAM + 2) // range_anchors))
-    codes = keep(_recurring(_sent_anchors(blocks, window, ranges), hot), "recurring")
+    # dealt by number, as these tasks' work is far more than their bytes say
+    codes = keep(_recurring(_sent_anchors(blocks, window, ranges).repartitionById(ranges, "range"), hot), "recurring")
     recurring = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     replies = codes.groupBy("blk").agg(F.collect_list(F.struct("range", "codes")).alias("replies"))  # a row for each range
     parts = max(least, -(-recurring // range_suffixes))
     runs = _sorted_runs(blocks.join(replies, "blk"), window, ranges, parts)
-    found = _covered(runs, window).groupBy("blk").agg(F.collect_list(F.struct("hot", "keys", "what")).alias("replies"))
+    found = _covered(runs.repartitionById(parts, "part"), window).groupBy("blk").agg(F.collect_list(F.struct("hot", "keys", "what")).alias("replies"))
     return _cut(blocks.join(found, "blk", "left"), window)
 
 
