@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("steps", "profile", "audit", "streams", "causal", "operations", "drift", "healing", "extras")
+_MODULES: tuple[str, ...] = ("steps", "profile", "audit", "streams", "causal", "operations", "drift", "healing", "extras", "running")
 
 
 def _gather(name: str) -> dict:

@@ -2,8 +2,8 @@
 
 Every function takes a batch or a streaming frame with ``ts`` (TIMESTAMP) and
 ``key`` (string), so one definition serves both; what needs an order of arrival
-(late-data classification, count triggers) is a batch replay, and streams split
-late rows in ``foreachBatch`` against the query's own watermark.
+(late-data classification, count triggers) is a batch replay here, and on a running
+stream the work of ``streaming.stateful``.
 """
 
 from __future__ import annotations
@@ -142,12 +142,12 @@ def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json",
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str, key_field: str | None = None) -> DataFrame:
-    """JSON events of a topic; event time is the field ``timestamp`` (epoch seconds), else the broker's."""
+    """JSON events of a topic, by the same rules as those of a message log; needs the Kafka connector on the class path."""
+    from lakeguard.sources.log import event_columns
+
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    data = F.from_json(F.col("value").cast("string"), schema)
-    got = raw.select(data.alias("data"), F.col("key").cast("string").alias("_key"), "timestamp", F.get_json_object(F.col("value").cast("string"), "$.timestamp").try_cast("double").alias("_ts"))
-    key = F.coalesce(F.col(f"data.{key_field}").cast("string"), F.col("_key")) if key_field else F.col("_key")
-    return got.select(F.coalesce(F.timestamp_seconds("_ts"), F.col("timestamp")).alias("ts"), key.alias("key"), "data.*")
+    got = event_columns(raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "timestamp"), key_field)
+    return got.select("ts", "key", F.from_json("value", schema).alias("data")).select("ts", "key", "data.*")
 
 
 Sink = Callable[[DataFrame, int], None]
@@ -159,11 +159,42 @@ def file_sink(path: str, fmt: str = "json") -> Sink:
 
 
 def table_sink(table: str) -> Sink:
-    return lambda df, _: df.write.mode("append").saveAsTable(table)
+    """A table with a partition for each batch, so a repeated batch replaces its own rows."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        rows, spark = df.withColumn("batch_id", F.lit(batch).cast("long")), df.sparkSession
+        if spark.catalog.tableExists(table):
+            before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            try:
+                rows.write.mode("overwrite").insertInto(table)
+            finally:
+                spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        else:
+            rows.write.partitionBy("batch_id").saveAsTable(table)
+
+    return write
 
 
 def jdbc_sink(url: str, table: str, properties: Mapping[str, str]) -> Sink:
-    return lambda df, _: df.write.jdbc(url, table, "append", dict(properties))
+    """A table over JDBC with a column batch_id; what a batch left there before is deleted first."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        jvm = df.sparkSession._jvm
+        given = jvm.java.util.Properties()
+        for k, v in properties.items():
+            given.setProperty(k, v)
+        link = jvm.java.sql.DriverManager.getConnection(url, given)
+        try:
+            there = link.getMetaData().getTables(None, None, table.upper(), None).next() or link.getMetaData().getTables(None, None, table, None).next()
+            if there:
+                quote = link.getMetaData().getIdentifierQuoteString().strip()
+                link.createStatement().executeUpdate(f"DELETE FROM {table} WHERE {quote}batch_id{quote} = {int(batch)}")
+        finally:
+            link.close()
+        df.withColumn("batch_id", F.lit(batch).cast("long")).write.jdbc(url, table, "append", dict(properties))
+
+    return write
 
 
 def kafka_sink(servers: str, topic: str) -> Sink:
@@ -171,19 +202,33 @@ def kafka_sink(servers: str, topic: str) -> Sink:
 
 
 def webhook_sink(url: str, secret: bytes) -> Sink:
-    """Signed POSTs from the executors, one for each row."""
+    """Signed POSTs from the executors, one for each row, over one connection for each partition.
+
+    X-Delivery has the batch and a hash of the body, by which a receiver knows a repeated row.
+    """
 
-    def post(rows) -> None:
-        import hashlib
-        import hmac
-        import urllib.request
+    def post(batch: int) -> Callable[[Any], None]:
+        def run(rows: Any) -> None:
+            import hashlib
+            import hmac
+            from http.client import HTTPConnection, HTTPSConnection
+            from urllib.parse import urlsplit
 
-        for r in rows:
-            body = r[0].encode()
-            head = {"Content-Type": "application/json", "X-Signature": hmac.new(secret, body, hashlib.sha256).hexdigest()}
-            urllib.request.urlopen(urllib.request.Request(url, body, head), timeout=10).close()
+            to = urlsplit(url)
+            link = (HTTPSConnection if to.scheme == "https" else HTTPConnection)(to.netloc, timeout=10)
+            for r in rows:
+                body = r[0].encode()
+                head = {"Content-Type": "application/json", "X-Signature": hmac.new(secret, body, hashlib.sha256).hexdigest(), "X-Delivery": f"{batch}-{hashlib.sha256(body).hexdigest()[:16]}"}
+                link.request("POST", to.path or "/", body, head)
+                answer = link.getresponse()
+                answer.read()
+                if answer.status >= 300:
+                    raise ConnectionError(f"{url} answered {answer.status}")
+            link.close()
 
-    return lambda df, _: df.select(F.to_json(F.struct("*"))).foreachPartition(post)
+        return run
+
+    return lambda df, batch: df.select(F.to_json(F.struct("*"))).foreachPartition(post(batch))
 
 
 def fan_out(df: DataFrame, sinks: Sequence[Sink], checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
@@ -197,23 +242,3 @@ def fan_out(df: DataFrame, sinks: Sequence[Sink], checkpoint: str, mode: str = "
 
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def split_late(df: DataFrame, checkpoint: str, on_time: Sink, late: Sink, delay: str) -> StreamingQuery:
-    """A stream's rows by whether they come before the watermark of the batches so far; late ones to their own sink."""
-    top: list = [None]
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        mark = top[0]
-        if mark is None:
-            on_time(batch, number)
-        else:
-            limit = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {delay}")
-            on_time(batch.filter(F.col("ts") >= limit), number)
-            late(batch.filter(F.col("ts") < limit).withColumn("reason", F.lit("late")), number)
-        newest = batch.agg(F.max("ts")).first()[0]
-        top[0] = newest if mark is None or (newest is not None and newest > mark) else mark
-        batch.unpersist()
-
-    return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
