@@ -234,7 +234,7 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW, gram: int
     groups = max(1, -(-mixed.count() // group_runs))
     # prefixes with more runs than a group takes
     hot = keep(mixed.groupBy("h").count().filter(F.col("count") > group_runs).select("h", F.ceil(F.col("count") / group_runs).cast("int").alias("parts")), "hot")
-    chosen = mixed.join(hot, "h", "left").groupBy("rep.d", "rep.t").agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), "h", F.coalesce("parts", F.lit(1)).alias("parts"), "single")).alias("runs"))
+    chosen = mixed.join(hot, "h", "left").groupBy("rep.d", "rep.t").agg(F.collect_set(F.struct(F.col("rep.at").alias("at"), "h", F.coalesce("parts", F.lit(1)).alias("parts"), "single")).alias("runs"))
     found = keep(_subtrees(_fragments(packed.join(chosen, ["d", "t"]), window), groups, window), "found")
     below = found.filter("w1 IS NULL").select("d", "t", "at")
     heads = found.filter("w1 IS NOT NULL")
@@ -264,7 +264,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     are ignored.
     """
     packed = _packed(docs)
-    lists = repeats(docs, packed, window, gram, group_runs).groupBy("d", "t").agg(F.collect_list("at").alias("ranges"))
+    # equal rows of one doc_id find the same ranges, which are listed once
+    lists = repeats(docs, packed, window, gram, group_runs).groupBy("d", "t").agg(F.collect_set("at").alias("ranges"))
     joined = packed.join(lists, ["d", "t"], "left").select(F.when(~F.col("nameless"), F.col("d")).alias("doc_id"), "packed", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,3 +117,19 @@ def test_one_row_of_a_repeated_label_id(spark):
     labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 140)], "doc_id long, quality int")
     one, two = (quality.train(docs.repartition(n), labels) for n in (1, 5))
     assert all((a == b).all() for a, b in zip(one.tables, two.tables, strict=True))
+
+
+def test_equal_rows_share_one_list_of_ranges(spark):
+    """5,000 equal rows with an id and as many without: every row loses its words, and no list grows with the rows."""
+    from pyspark.sql import functions as F
+
+    from lakeguard.llm import substrings as SS
+
+    text = " ".join(f"w{i * i % 997}" for i in range(120))
+    rows = spark.range(10_000).select(F.when(F.col("id") < 5_000, F.lit(7)).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(8, "quite another text"), (9, None)], "doc_id long, text string"))
+    packed = SS._packed(docs)
+    lists = SS.repeats(docs, packed).groupBy("d", "t").agg(F.size(F.collect_set("at")).alias("n")).collect()
+    assert len(lists) == 2 and all(r.n <= 120 for r in lists)
+    found = SS.dedup_substrings(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found), key=repr) == [(7, 120, 120, 5_000), (8, 3, 0, 1), (9, 0, 0, 1), (None, 120, 120, 5_000)]
