@@ -49,6 +49,15 @@ def prefix_max(df: DataFrame, order: Sequence[Column], value: str, name: str) ->
     return placed.withColumn("_own", F.max(value).over(rows)).join(F.broadcast(before), "_part").withColumn(name, F.greatest("_own", "_prior")).drop("_part", "_own", "_prior")
 
 
+def running_total(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows up to and with each in ``order``, which should have no ties."""
+    placed = _placed(df, order)
+    rows = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_all"))
+    before = sums.withColumn("_prior", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_prior")
+    return placed.withColumn("_run", F.sum(value).over(rows)).join(F.broadcast(before), "_part").withColumn(name, F.col("_run") + F.col("_prior")).drop("_part", "_run", "_prior")
+
+
 def nearest_known(df: DataFrame, order: str, value: str) -> DataFrame:
     """Adds ``value_before`` and ``value_after``: the nearest value that is not null at or before and at or after a row.
 

@@ -174,3 +174,21 @@ def inclusion_proof(leaves: DataFrame, key: str, index: str, value: str, wanted:
         part = at.join(here.select("key", F.col("idx").alias("_at"), "h"), ["key", "_at"]).select("key", "leaf", F.lit(i).alias("level"), F.when(F.col("_at") % 2 == 0, "left").otherwise("right").alias("side"), F.col("h").alias("sibling"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else asked.select("key", "leaf", F.lit(0).alias("level"), F.lit("").alias("side"), F.lit("").alias("sibling")).limit(0)
+
+
+def verify_proofs(proofs: DataFrame, leaves: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, leaf, valid) of ``leaves(key, leaf, value)``: whether the proof's hashes lead from the leaf to the root of ``roots(key, root)``.
+
+    A leaf without a proof is valid only as the root itself; a key without a root has none.
+    """
+    # a step for each level of the tree
+    steps = proofs.groupBy("key", "leaf").agg(F.array_sort(F.collect_list(F.struct("level", "side", "sibling"))).alias("steps"))
+    both = leaves.join(steps, ["key", "leaf"], "left").join(roots, "key", "left")
+    start = F.sha2(F.concat(F.unhex(F.lit("00")), F.col("value").cast("binary")), 256)
+    none = F.array().cast("array<struct<level:int,side:string,sibling:string>>")
+
+    def up(h: Column, step: Column) -> Column:
+        left, right = F.when(step["side"] == "left", step["sibling"]).otherwise(h), F.when(step["side"] == "left", h).otherwise(step["sibling"])
+        return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
+
+    return both.select("key", "leaf", F.coalesce(F.aggregate(F.coalesce("steps", none), start, up) == F.col("root"), F.lit(False)).alias("valid"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeguard.functions.ranking import global_rank, moments, nearest_known, order_statistics
+from lakeguard.functions.ranking import global_rank, moments, nearest_known, order_statistics, running_total
 from lakeguard.functions.storage import cut
 
 RESULT = "method string, point double, ci_lower double, ci_upper double, n long"
@@ -218,6 +218,29 @@ def conformal_half_width(scores: DataFrame, score: str, alpha: float = 0.1) -> D
     return ranked.join(F.broadcast(total)).filter((F.col("n") >= 50) & (F.col("pos") + 1 == k)).select(F.col(score).alias("half_width"), "n")
 
 
+def weighted_half_width(scores: DataFrame, score: str, weight: str, alpha: float = 0.1) -> DataFrame:
+    """(half_width, n): the least score up to which the weights come to 1 − α of all weights and 1, the new row's own.
+
+    Infinite where all weights are too few for that.  Rows with a null score or
+    weight take no part; negative weights are an error; scores without any weight
+    give no row.  Equal scores are summed before they are put in order.
+    """
+    clean = scores.filter(F.col(score).isNotNull() & F.col(weight).isNotNull())
+    w = F.when(F.col(weight) < 0, F.raise_error(F.lit("weights must not be negative"))).otherwise(F.col(weight).cast("double"))
+    levels = clean.groupBy(F.col(score).alias("_s")).agg(F.sum(w).alias("_w"), F.count("*").alias("_n"))
+    total = levels.agg(F.sum("_w").alias("_all"), F.sum("_n").alias("n"))
+    run = running_total(levels, [F.col("_s")], "_w", "_up").join(F.broadcast(total))
+    found = run.agg(F.min(F.when(F.col("_up") / (F.col("_all") + 1) >= 1 - alpha, F.col("_s"))).alias("_q"), F.max("n").alias("n"), F.max("_all").alias("_all"))
+    return found.filter("_all > 0").select(F.coalesce("_q", F.lit(float("inf"))).alias("half_width"), "n")
+
+
+def split_conformal(df: DataFrame, value: str, weight: str, held: Column, alpha: float = 0.1) -> DataFrame:
+    """(centre, half_width, n): the mean of the rows that are not held out, and the weighted half width of the others' distances from it."""
+    centre = df.filter(~held).agg(F.avg(value).alias("centre"))
+    scored = df.filter(held).join(F.broadcast(centre)).select(F.abs(F.col(value) - F.col("centre")).alias("_score"), F.col(weight).alias("_weight"))
+    return weighted_half_width(scored, "_score", "_weight", alpha).join(F.broadcast(centre)).select("centre", "half_width", "n")
+
+
 def propensity_diagnostics(scored: DataFrame, column: str = "propensity") -> DataFrame:
     e = F.col(column)
     out = F.avg((~e.between(0.05, 0.95)).cast("double"))
@@ -278,6 +301,71 @@ def refuters(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[
     return out.join(F.broadcast(base)).select("refuter", "baseline", "refuted", (F.abs(F.col("refuted") - centre) < limit).alias("passed"))
 
 
+def unobserved_cause(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], on_treatment: Sequence[float] = (0.1, 0.25, 0.5), on_outcome: Sequence[float] = (0.1, 0.25, 0.5)) -> DataFrame:
+    """(on_treatment, on_outcome, baseline, added, corrected, passed) over a grid of strengths, solved from one moment matrix.
+
+    Strengths are shares of the deviations that treatment and outcome keep when
+    the confounders are taken out; the cause has variance 1 and nothing to do with
+    the confounders.  ``added`` is the estimate after such a cause has been put into
+    the data; ``corrected`` the effect if the data had one already.  A row passes if
+    ``added`` stays within 20 % of the baseline's size, or 0.1.
+    """
+    columns = [treatment, *confounders, outcome]
+    m, _ = _matrix(moments(df, columns).first().asDict(), columns)
+    n, known = m[0, 0], [0, *range(2, 2 + len(confounders))]
+    pair = [1, len(columns)]
+    # what the constant and the confounders leave of treatment and outcome
+    rest = (m[np.ix_(pair, pair)] - m[np.ix_(pair, known)] @ np.linalg.pinv(m[np.ix_(known, known)]) @ m[np.ix_(known, pair)]) / n
+    v, c = rest[0, 0], rest[0, 1]
+    base = c / v
+    limit = max(abs(base) * 0.2, 0.1)
+    rows = []
+    for f in on_treatment:
+        for g in on_outcome:
+            a, b = f * np.sqrt(v), g * np.sqrt(rest[1, 1])
+            added = (c + a * b) / (v + a * a)
+            rows.append((float(f), float(g), float(base), float(added), float(base - a * b / v), bool(abs(added - base) < limit)))
+    return df.sparkSession.createDataFrame(rows, "on_treatment double, on_outcome double, baseline double, added double, corrected double, passed boolean")
+
+
+# ------------------------------------------------------------ causal graphs
+def descendants(edges: DataFrame, start: DataFrame, without: Sequence[str] = (), rounds: int = 1000) -> DataFrame:
+    """(origin, node): all that edges(src, dst) lead to from ``start(origin)``, not by way of the nodes ``without``; cycles end."""
+    links = edges.select("src", "dst").distinct().filter(~F.col("src").isin(list(without)) & ~F.col("dst").isin(list(without)))
+    found = cut(start.select("origin", F.col("origin").alias("node")).distinct())
+    fresh = found
+    for _ in range(rounds):
+        step = fresh.join(links, fresh["node"] == links["src"]).select("origin", F.col("dst").alias("node")).distinct()
+        fresh = cut(step.join(found, ["origin", "node"], "left_anti"))
+        if fresh.isEmpty():
+            return found.filter("origin <> node")
+        found = cut(found.unionByName(fresh))
+    raise RuntimeError(f"the graph has paths of over {rounds} edges")
+
+
+def instruments(edges: DataFrame, treatment: str, outcome: str) -> DataFrame:
+    """(instrument, other_path): the parents of the treatment that are no parents of the outcome, by name.
+
+    ``other_path`` marks those that lead to the outcome by a way that does not pass
+    the treatment, which are no valid instruments.
+    """
+    into = edges.filter(F.col("dst") == treatment).select(F.col("src").alias("instrument")).distinct()
+    direct = edges.filter(F.col("dst") == outcome).select(F.col("src").alias("instrument")).distinct()
+    chosen = into.join(direct, "instrument", "left_anti").filter(F.col("instrument") != outcome)
+    around = descendants(edges, chosen.select(F.col("instrument").alias("origin")), [treatment]).filter(F.col("node") == outcome).select(F.col("origin").alias("instrument"), F.lit(True).alias("_way")).distinct()
+    return chosen.join(around, "instrument", "left").select("instrument", F.coalesce("_way", F.lit(False)).alias("other_path")).orderBy("instrument")
+
+
+def graph_effect(df: DataFrame, edges: DataFrame, treatment: str, outcome: str) -> DataFrame:
+    """Two-stage least squares with the valid instruments that the graph names and the common parents as confounders."""
+    named = [r.instrument for r in instruments(edges, treatment, outcome).filter("NOT other_path").collect()]  # columns of df
+    if not named:
+        raise ValueError(f"the graph has no instrument for {treatment} on {outcome}")
+    parents = edges.filter(F.col("dst").isin(treatment, outcome)).groupBy("src").agg(F.countDistinct("dst").alias("k"))
+    common = sorted(r.src for r in parents.filter("k = 2").collect())
+    return two_stage(df, treatment, outcome, named, common)
+
+
 def disagreement(estimates: DataFrame, one: str, other: str) -> DataFrame:
     """(gap, limit, challenged): whether two methods differ by more than twice the larger half width of their intervals."""
     half = (F.col("ci_upper") - F.col("ci_lower")) / 2
@@ -317,6 +405,23 @@ def partial_correlation(df: DataFrame, outcome: str, candidates: Sequence[str])
     return spark.createDataFrame(rows, "candidate string, partial_r double").orderBy(F.desc("partial_r"))
 
 
+def root_causes(df: DataFrame, anomalies: DataFrame, outcome: str, candidates: Sequence[str]) -> DataFrame:
+    """(candidate, partial_r, shift, score): |partial r| times 1 + min(shift, 3) / 3, the largest first.
+
+    shift is how many deviations a candidate's mean over ``anomalies`` is away from
+    that over the rows; 0 where it has no deviation or no value there.
+    """
+    known = df.agg(*[x for c in candidates for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
+    found = anomalies.agg(*[F.avg(c).alias(c) for c in candidates]).first()
+    moved = []
+    for c in candidates:
+        spread = known[f"s_{c}"]
+        moved.append((c, abs(found[c] - known[f"m_{c}"]) / spread if spread and spread == spread and found[c] is not None else 0.0))
+    shifts = df.sparkSession.createDataFrame(moved, "candidate string, shift double")
+    ranked = partial_correlation(df, outcome, candidates).join(F.broadcast(shifts), "candidate")
+    return ranked.withColumn("score", F.col("partial_r") * (1 + F.least("shift", F.lit(3.0)) / 3)).orderBy(F.desc("score"), "candidate")
+
+
 def split_stationarity(df: DataFrame, value: str, order: Sequence, limit: float = 3.0) -> DataFrame:
     """Difference of the halves' means in pooled standard deviations; above the limit the series drifts."""
     ranked = global_rank(df, order)

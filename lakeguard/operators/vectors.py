@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeguard.functions.ranking import global_rank
@@ -13,6 +13,33 @@ from lakeguard.functions.storage import cut
 
 #: Rows to a bucket, about, and tables of buckets; each table has projections of its own.
 BUCKET_ROWS, TABLES = 64, 24
+#: Rows that a block of queries is compared with, about.
+BLOCK_ROWS = 20_000
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest of ``vectors(vec_id, e)`` to each of ``queries(vec_id, e)``, itself left out.
+
+    measure is cosine (zero vectors have none), l2 (similarity is the squared
+    distance, the least first) or inner_product.  The vectors are dealt into blocks, as many as
+    they need; the stated queries meet each block, and a block passes on k for each query.
+    """
+    def summed(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def ready(df: DataFrame, name: str, vector: str, norm: str) -> DataFrame:
+        out = df.select(F.col("vec_id").alias(name), F.col("e").alias(vector)).withColumn(norm, F.sqrt(summed(F.transform(vector, lambda x: x * x))))
+        return out.filter(F.col(norm) > 0) if measure == "cosine" else out
+
+    blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // BLOCK_ROWS))
+    dot = summed(F.zip_with("q", "e", lambda a, b: a * b))
+    found = {"cosine": dot / (F.col("m") * F.col("n")), "inner_product": dot, "l2": summed(F.zip_with("q", "e", lambda a, b: (a - b) * (a - b)))}[measure]
+    asked = ready(queries, "query_id", "q", "m").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = ready(vectors, "vec_id", "e", "n").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    met = asked.join(dealt, "b").filter("query_id <> vec_id").select("query_id", "vec_id", "b", F.round(found, 9).alias("similarity"))
+    best = [F.asc("similarity") if measure == "l2" else F.desc("similarity"), F.asc("vec_id")]
+    some = met.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "b").orderBy(*best))).filter(F.col("_r") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)).cast("long")).filter(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
 
 
 def knn_bucketed(queries: DataFrame, vectors: DataFrame, k: int, bucket_rows: int = BUCKET_ROWS, tables: int = TABLES, seed: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeguard.functions.storage import cut
 from lakeguard.operators import audit as A
 from lakeguard.plans.steps import t
 
@@ -185,11 +186,21 @@ def merkle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fa7_inclusion_proof")
 def proof(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ledger(spark, sf).withColumn("i", F.col("seq") - 1)
+    rows = cut(ledger(spark, sf).withColumn("i", F.col("seq") - 1))
     wanted = rows.filter("i % 500 = 0").select(F.col("tenant").alias("key"), F.col("i").alias("leaf"))
     return A.inclusion_proof(rows, "tenant", "i", "record_hash", wanted)
 
 
+@query("fa7_proof_verify", "SELECT o_orderpriority AS key, i AS leaf, i % 100 <> 50 AS valid FROM (SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i % 50 = 0")
+def proof_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of every fiftieth record, every second one with a forged sibling."""
+    rows = cut(ledger(spark, sf).withColumn("i", F.col("seq") - 1))
+    leaves = rows.filter("i % 50 = 0").select(F.col("tenant").alias("key"), F.col("i").alias("leaf"), F.col("record_hash").alias("value"))
+    proofs = A.inclusion_proof(rows, "tenant", "i", "record_hash", leaves)
+    bent = proofs.withColumn("sibling", F.when((F.col("leaf") % 100 == 50) & (F.col("level") == 1), F.sha2(F.lit("forged"), 256)).otherwise(F.col("sibling")))
+    return A.verify_proofs(bent, leaves, A.merkle_root(rows, "tenant", "i", "record_hash"))
+
+
 @query("fa8_subject_history", "SELECT o_custkey AS subject, o_orderkey AS record, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS earliest FROM orders")
 def history(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window

@@ -142,3 +142,43 @@ def rooted(spark: SparkSession, sf: str) -> DataFrame:
 def rooted_with_lags(spark: SparkSession, sf: str) -> DataFrame:
     found = C.unit_root(t(spark, sf, "orders"), "o_totalprice", [F.col("o_orderdate"), F.col("o_orderkey")])
     return found.withColumn("t", F.round("t", 4))
+
+
+_SPLIT = f"(SELECT *, l_orderkey % 10 >= 7 AS held, avg(t) OVER (PARTITION BY x) AS e FROM {STUDY})"
+
+
+@query(
+    "ca8_weighted_conformal",
+    f"""WITH c AS (SELECT avg(y) AS centre FROM {_SPLIT} WHERE NOT held), s AS (SELECT abs(y - centre) AS s, CASE WHEN t = 1 THEN 1 / greatest(e, 0.025) ELSE 1 / greatest(1 - e, 0.025) END AS w FROM {_SPLIT}, c WHERE held),
+ u AS (SELECT s, sum(sum(w)) OVER (ORDER BY s) AS up, sum(sum(w)) OVER () AS total FROM s GROUP BY s)
+ SELECT round((SELECT centre FROM c), 6) AS centre, round(min(s) FILTER (up / (total + 1) >= 0.9), 6) AS half_width, (SELECT count(*) FROM s) AS n FROM u""",
+)
+def weighted_conformal(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tenths of the orders held out, weighed by how seldom their rows are treated as they are."""
+    df = study(spark, sf)
+    shares = df.groupBy("x").agg(F.avg("t").alias("e"))
+    weighed = df.join(shares, "x").withColumn("w", 1 / F.greatest(F.when(F.col("t") == 1, F.col("e")).otherwise(1 - F.col("e")), F.lit(0.025)))
+    found = C.split_conformal(weighed, "y", "w", F.col("l_orderkey") % 10 >= 7)
+    return found.select(F.round("centre", 6).alias("centre"), F.round("half_width", 6).alias("half_width"), "n")
+
+
+@query(
+    "ca11_unobserved_cause",
+    f"""WITH r AS (SELECT var_pop(t) - covar_pop(t, x) ** 2 / var_pop(x) AS v, covar_pop(t, y) - covar_pop(t, x) * covar_pop(x, y) / var_pop(x) AS c, var_pop(y) - covar_pop(x, y) ** 2 / var_pop(x) AS w FROM {STUDY}),
+ g AS (SELECT f.k AS on_treatment, g.k AS on_outcome, c / v AS baseline, (c + f.k * sqrt(v) * g.k * sqrt(w)) / (v + f.k ** 2 * v) AS added, c / v - f.k * sqrt(v) * g.k * sqrt(w) / v AS corrected FROM r, (VALUES (0.1::DOUBLE), (0.25), (0.5)) f(k), (VALUES (0.1::DOUBLE), (0.25), (0.5)) g(k))
+ SELECT on_treatment, on_outcome, round(baseline, 4) AS baseline, round(added, 4) AS added, round(corrected, 4) AS corrected, abs(added - baseline) < greatest(abs(baseline) * 0.2, 0.1) AS passed FROM g""",
+)
+def hidden(spark: SparkSession, sf: str) -> DataFrame:
+    found = C.unobserved_cause(study(spark, sf), "t", "y", ["x"])
+    return found.select("on_treatment", "on_outcome", *[F.round(c, 4).alias(c) for c in ("baseline", "added", "corrected")], "passed")
+
+
+@query(
+    "rc1_anomaly_rank",
+    f"""WITH r AS ({SQL["rc1_partial_corr_rank"]}), s AS (SELECT abs(avg(x) FILTER (y > 60) - avg(x)) / stddev_samp(x) AS x, abs(avg(z) FILTER (y > 60) - avg(z)) / stddev_samp(z) AS z FROM {STUDY})
+ SELECT candidate, round(CASE candidate WHEN 'x' THEN s.x ELSE s.z END, 5) AS shift, round(partial_r * (1 + least(CASE candidate WHEN 'x' THEN s.x ELSE s.z END, 3) / 3), 4) AS score FROM r, s""",
+)
+def anomaly_causes(spark: SparkSession, sf: str) -> DataFrame:
+    """What moved in the dearest lines, over how much it goes with the price in all."""
+    df = study(spark, sf)
+    return C.root_causes(df, df.filter("y > 60"), "y", ["x", "z"]).select("candidate", F.round("shift", 5).alias("shift"), F.round("score", 4).alias("score"))

@@ -132,7 +132,9 @@ def _estimates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ca13_disagreement")
 def disagree(spark: SparkSession, sf: str) -> DataFrame:
-    return C.disagreement(_estimates(spark, sf), "ols", "tmle")
+    df, ids = study(spark, sf), ["l_orderkey", "l_linenumber"]
+    both = C.tmle(df, "t", "y", ["x"], ids).unionByName(C.forest_effect(df, "t", "y", ["x"], ids), True)
+    return C.disagreement(both, "tmle", "forest_dr")
 
 
 @query("ca15_effect_report")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeguard.operators import vectors as V
 from lakeguard.plans.steps import t
 from lakeguard.sources import tables as R
 
@@ -154,20 +155,10 @@ def batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ vectors and distances
-def _near(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    """The k nearest of every fiftieth vector by cosine; the query set is joined by blocks of it."""
+def _near(spark: SparkSession, sf: str, measure: str = "cosine", k: int = 5) -> DataFrame:
+    """The k nearest of every fiftieth vector."""
     df = t(spark, sf, "embeddings").filter("embedding IS NOT NULL").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    unit = df.withColumn("n", norm).filter("n > 0")
-    asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.col("n").alias("m"))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    blocks = 8
-    left = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = unit.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    met = left.join(right, "b").filter("query_id <> vec_id").select("query_id", "vec_id", "b", F.round(dot / (F.col("m") * F.col("n")), 9).alias("similarity"))
-    some = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "b").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("r") <= k)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return some.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+    return V.knn(df.filter("vec_id % 50 = 0"), df, k, measure)
 
 
 @query("vs1_knn", "SELECT query_id, vec_id, s AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)) WHERE rank <= 5")
@@ -175,6 +166,16 @@ def knn(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf)
 
 
+def _nearest_sql(measure: str, value: str, order: str) -> str:
+    return f"SELECT '{measure}' AS measure, query_id, vec_id, s AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round({value}, 9) AS s FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)) WHERE rank <= 5"
+
+
+@query("vs1_knn_measures", _nearest_sql("l2", "list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) ** 2))", "s") + " UNION ALL " + _nearest_sql("inner_product", "list_inner_product(a.e, b.e)", "s DESC"))
+def knn_measures(spark: SparkSession, sf: str) -> DataFrame:
+    both = [_near(spark, sf, m).withColumn("measure", F.lit(m)) for m in ("l2", "inner_product")]
+    return both[0].unionByName(both[1])
+
+
 PLACES = "(SELECT c_custkey AS id, (c_custkey * 37 % 1800) / 10.0 - 90 AS lat, (c_custkey * 91 % 3600) / 10.0 - 180 AS lon FROM customer)"
 
 
