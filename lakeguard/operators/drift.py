@@ -8,17 +8,22 @@ is small: bins, moments or distances by batch and column.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeguard.functions.ranking import global_rank
+from lakeguard.functions.storage import cut
 
 EPSILON = 1e-10
 ZETA = 0.15
 #: Batches that the threshold looks back on, and those it needs.
 HISTORY, LEAST_HISTORY = 200, 5
+#: Batches and columns whose ends are sent to all tasks, at most; beyond that their join is a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -81,48 +86,59 @@ def location_shift(batches: DataFrame, baseline: DataFrame, keys: Sequence[str])
     return means.join(F.broadcast(base), "column").select(*keys, "column", (F.abs(F.col("mean") - F.col("_m")) / scale).alias("shift"))
 
 
-def statistical_drift(measures: DataFrame, source: str, batch: str, warmup: int = 5, zeta: float = ZETA) -> DataFrame:
-    """(source, batch, zeta, max_kl, columns, severity, flagged) of ``measures(source, batch, column, kl, shift)``.
+def measures(long: DataFrame, key: str, bins: int = 50) -> DataFrame:
+    """(key, column, kl, shift) of the batches in ``long(key, column, v)``, whose rows without a key are the baseline.
+
+    The rows are read twice: once for ends, means and deviations of every batch
+    and the baseline, once for their histograms.  Columns that the baseline lacks have
+    no row.
+    """
+    ends = cut(long.groupBy(key, "column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")))
+    at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends  # a row for each batch and column
+    placed = long.alias("r").join(few.alias("e"), (F.col(f"r.{key}").eqNullSafe(F.col(f"e.{key}"))) & (F.col("r.column") == F.col("e.column")))
+    counts = cut(placed.groupBy(F.col(f"r.{key}").alias(key), F.col("r.column").alias("column"), at.cast("long").alias("bin")).agg(F.count("*").alias("n")))
+    new, base = F.col(key).isNotNull(), F.col(key).isNull()
+    kl = kl_divergence(counts.filter(new), counts.filter(base).drop(key), [key])
+    known = ends.filter(base).select("column", F.col("mean").alias("_m"), F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0).alias("_s"))
+    shift = ends.filter(new).join(known, "column").select(key, "column", (F.abs(F.col("mean") - F.col("_m")) / F.col("_s")).alias("shift"))
+    return kl.join(shift, [key, "column"])
+
+
+def statistical_drift(measured: DataFrame, source: str, batch: str, warmup: int = 5, zeta: float = ZETA) -> DataFrame:
+    """(source, batch, zeta, max_kl, columns, flagged, severity) of ``measured(source, batch, column, kl, shift)``.
 
     The threshold follows the averages of earlier batches, into which columns
     that moved by over two deviations enter with a divergence lifted by the
     threshold itself, so the batches of a source are folded in order.  A source
-    has one short row for each batch.  In the first ``warmup`` batches divergence
-    without such a move is no alarm.
+    has one short row for each batch; of those behind it the last HISTORY averages
+    are kept.  In the first ``warmup`` batches divergence without such a move is no
+    alarm.
     """
-    kind = "struct<history:array<double>,out:array<struct<batch:string,zeta:double,max_kl:double,columns:array<string>,flagged:boolean>>>"
     column = F.struct("column", "kl", "shift")
-    rows = measures.groupBy(source, F.col(batch).cast("string").alias("batch")).agg(F.array_sort(F.collect_list(column)).alias("cols"))
-    ordered = rows.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("batch", "cols"))).alias("batches"))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-    def step(state: Column, row: Column) -> Column:
-        history = state["history"]
-        n = F.size(history)
-        mean = total(history) / n
-        deviation = F.sqrt(total(F.transform(history, lambda v: (v - mean) * (v - mean))) / n)
-        limit = F.when(n < LEAST_HISTORY, F.lit(zeta)).otherwise(F.greatest(mean + 2 * deviation, F.lit(zeta * 0.5)))
-        lifted = F.transform(row["cols"], lambda c: F.struct(c["column"].alias("column"), F.when(c["shift"] > 2, F.greatest(c["kl"], c["shift"] * limit)).otherwise(c["kl"]).alias("kl")))
-        over = F.filter(lifted, lambda c: c["kl"] > limit)
-        moved = F.exists(row["cols"], lambda c: c["shift"] > 2)
-        average = total(F.transform(lifted, lambda c: F.round(c["kl"], 6))) / F.size(lifted)
-        out = F.struct(
-            row["batch"].alias("batch"),
-            limit.alias("zeta"),
-            F.coalesce(F.array_max(F.transform(over, lambda c: c["kl"])), F.lit(0.0)).alias("max_kl"),
-            F.transform(over, lambda c: c["column"]).alias("columns"),
-            ((F.size(over) > 0) & (moved | (F.size(state["out"]) + 1 > warmup))).alias("flagged"),
-        )
-        kept = F.slice(F.concat(history, F.array(average)), F.greatest(n + 2 - HISTORY, F.lit(1)), F.lit(HISTORY))
-        return F.struct(kept.alias("history"), F.concat(state["out"], F.array(out)).alias("out")).cast(kind)
-
-    start = F.struct(F.array().cast("array<double>").alias("history"), F.array().cast("array<struct<batch:string,zeta:double,max_kl:double,columns:array<string>,flagged:boolean>>").alias("out")).cast(kind)
-    folded = ordered.select(source, F.explode(F.aggregate("batches", start, step)["out"]).alias("o")).select(source, "o.*")
+    rows = measured.groupBy(source, F.col(batch).cast("string").alias(batch)).agg(F.array_sort(F.collect_list(column)).alias("cols"))
+    kind = measured.schema[source].dataType.simpleString()
+
+    def fold(batches: pd.DataFrame) -> pd.DataFrame:
+        history: deque[float] = deque(maxlen=HISTORY)
+        out = []
+        ordered = batches.sort_values(batch, kind="stable")
+        for i, (who, name, cols) in enumerate(zip(ordered[source], ordered[batch], ordered["cols"], strict=True), 1):
+            limit = zeta
+            if len(history) >= LEAST_HISTORY:
+                mean = math.fsum(history) / len(history)
+                limit = max(mean + 2 * math.sqrt(math.fsum((v - mean) ** 2 for v in history) / len(history)), zeta * 0.5)
+            lifted = [(c["column"], max(c["kl"], c["shift"] * limit) if c["shift"] > 2 else c["kl"]) for c in cols]
+            over = [(n, v) for n, v in lifted if v > limit]
+            moved = any(c["shift"] > 2 for c in cols)
+            out.append((who, name, limit, max((v for _, v in over), default=0.0), [n for n, _ in over], bool(over) and (moved or i > warmup)))
+            history.append(sum(math.floor(v * 1e6 + 0.5) / 1e6 for _, v in lifted) / len(lifted))
+        return pd.DataFrame(out, columns=[source, batch, "zeta", "max_kl", "columns", "flagged"])
+
+    folded = rows.groupBy(source).applyInPandas(fold, f"`{source}` {kind}, `{batch}` string, zeta double, max_kl double, columns array<string>, flagged boolean")
     ratio = F.col("max_kl") / F.col("zeta")
     severity = F.when(~F.col("flagged"), F.lit(None).cast("string")).when(ratio > 3, "critical").when(ratio > 2, "high").when(ratio > 1.5, "medium").otherwise("low")
-    return folded.withColumn("severity", severity).withColumnRenamed("batch", batch)
+    return folded.withColumn("severity", severity)
 
 
 # ------------------------------------------------------------ batch vectors
