@@ -8,9 +8,11 @@ aggregation is a row for each batch and column.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -59,20 +61,32 @@ def conformal_alarms(scores: DataFrame, source: str, order: str, score: str, tie
     p is the smoothed share of a source's earlier scores that are above this one,
     ``tie`` (0 to 1) deciding between equal ones; the first ``warmup`` batches have
     none.  A mixture of ``grid`` power bets on p makes the wealth; the batch at which
-    it first reaches 1/alpha is the alarm.  A source has one row for each batch.
+    it first reaches 1/alpha is the alarm.  A source has one row for each batch: they
+    are folded in order, the earlier scores held sorted, so nothing is joined to all
+    before it.
     """
-    numbered = scores.withColumn("_i", F.row_number().over(Window.partitionBy(source).orderBy(order)))
-    prior = numbered.select(F.col(source).alias("_s"), F.col("_i").alias("_j"), F.col(score).alias("_c"))
-    above = numbered.join(prior, (F.col(source) == F.col("_s")) & (F.col("_j") < F.col("_i"))).filter(F.col("_i") > warmup)
-    ranks = above.groupBy(source, "_i").agg(F.count_if(F.col("_c") > F.col(score)).alias("_gt"), F.count_if(F.col("_c") == F.col(score)).alias("_eq"))
-    df = numbered.join(ranks, [source, "_i"], "left").withColumn("p", (F.col("_gt") + tie * (F.col("_eq") + 1)) / F.col("_i"))
-    bets = df.filter("p IS NOT NULL").select(source, "_i", F.greatest(F.least("p", F.lit(1.0)), F.lit(1e-6)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_k")).withColumn("_e", (F.col("_k") + 0.5) / grid)
-    run = Window.partitionBy(source, "_k").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    logs = bets.withColumn("_l", F.sum(F.ln("_e") + (F.col("_e") - 1) * F.ln("p")).over(run)).withColumn("_m", F.max("_l").over(Window.partitionBy(source, "_i")))
-    wealth = logs.groupBy(source, "_i").agg((F.exp(F.max("_m")) * F.avg(F.exp(F.col("_l") - F.col("_m")))).alias("wealth"))
-    df = df.join(wealth, [source, "_i"], "left").withColumn("wealth", F.coalesce("wealth", F.lit(1.0)))
-    before = F.max("wealth").over(Window.partitionBy(source).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("alarm", (F.col("wealth") >= 1 / alpha) & (F.coalesce(before, F.lit(0.0)) < 1 / alpha)).drop("_i", "_gt", "_eq")
+    numbered = scores.withColumns({"_i": F.row_number().over(Window.partitionBy(source).orderBy(order)), "_tie": tie.cast("double")})
+    stakes = (np.arange(grid) + 0.5) / grid
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        before: list[float] = []
+        logs, best, out = np.zeros(grid), 0.0, []
+        rows = rows.sort_values("_i")
+        for who, i, c, u in zip(rows[source], rows["_i"].tolist(), rows[score].tolist(), rows["_tie"].tolist(), strict=True):
+            p, wealth = None, 1.0
+            if i > warmup:
+                p = (len(before) - bisect_right(before, c) + u * (bisect_right(before, c) - bisect_left(before, c) + 1)) / i
+                logs += np.log(stakes) + (stakes - 1) * math.log(min(max(p, 1e-6), 1.0))
+                wealth = math.exp(logs.max()) * float(np.exp(logs - logs.max()).mean())
+            out.append((who, i, p, wealth, wealth >= 1 / alpha > best))
+            best = max(best, wealth)
+            insort(before, c)
+        return pd.DataFrame(out, columns=[source, "_i", "p", "wealth", "alarm"]).astype({"p": "float64"})
+
+    kind = scores.schema[source].dataType.simpleString()
+    small = numbered.select(source, "_i", F.col(score).cast("double").alias(score), "_tie")
+    folded = small.groupBy(source).applyInPandas(fold, f"`{source}` {kind}, _i int, p double, wealth double, alarm boolean")
+    return numbered.drop("_tie").join(folded.withColumn("p", F.nanvl("p", F.lit(None).cast("double"))), [source, "_i"]).drop("_i")
 
 
 # ------------------------------------------------------------ numeric semantics
@@ -267,7 +281,7 @@ def apply_repairs(df: DataFrame, repairs: Sequence[tuple[str, Repair, bool]]) ->
         try:
             following = repair(df)
             _ = following.schema
-        except Exception:
+        except AnalysisException:
             break
         df = following
         done.append(name)

@@ -69,6 +69,23 @@ def conformal(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("quarter", F.round("p", 6).alias("p"), F.round("wealth", 5).alias("wealth"), "alarm")
 
 
+@query(
+    "dr12_alarm_after_a_move",
+    """WITH d AS (SELECT l_returnflag AS source, strftime(l_shipdate, '%Y-%m') AS month, round(avg(l_quantity) + CASE WHEN l_returnflag = 'R' AND strftime(l_shipdate, '%Y-%m') >= '1999' THEN 9 ELSE 0 END, 3) AS v FROM lineitem GROUP BY l_returnflag, strftime(l_shipdate, '%Y-%m')),
+ n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY month) AS i FROM d),
+ pv AS (SELECT a.source, a.i, (count(*) FILTER (b.v > a.v) + 0.5 * (count(*) FILTER (b.v = a.v) + 1)) / a.i AS p FROM n a JOIN n b ON b.source = a.source AND b.i < a.i WHERE a.i > 10 GROUP BY a.source, a.i),
+ bets AS (SELECT source, i, sum(ln((k + 0.5) / 100) + ((k + 0.5) / 100 - 1) * ln(greatest(least(p, 1), 1e-6))) OVER (PARTITION BY source, k ORDER BY i) AS l FROM pv, range(0, 100) r(k)),
+ w AS (SELECT source, i, avg(exp(l)) AS wealth FROM bets GROUP BY ALL)
+ SELECT source, month, wealth >= 100 AND coalesce(max(wealth) OVER (PARTITION BY source ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 100 AS alarm FROM n LEFT JOIN w USING (source, i) QUALIFY coalesce(alarm, false)""",
+)
+def moved(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly means by flag, those of one flag moved from 1999 on: the months of alarm."""
+    month, flag = F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_returnflag").alias("source")
+    means = t(spark, sf, "lineitem").groupBy(flag, month).agg(F.avg("l_quantity").alias("v"))
+    scores = means.withColumn("v", F.round(F.col("v") + F.when((F.col("source") == "R") & (F.col("month") >= "1999"), 9).otherwise(0), 3))
+    return H.conformal_alarms(scores, "source", "month", "v", F.lit(0.5)).filter("alarm").select("source", "month", "alarm")
+
+
 # ------------------------------------------------------------ numeric semantics
 ORDER = ["l_orderkey", "l_linenumber", "v"]
 #: Months whose quantities are in thousandths: an error of unit.
