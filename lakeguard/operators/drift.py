@@ -227,6 +227,29 @@ def healing_scores(events: DataFrame, source: str = "source", sla: float = 60.0)
     return df.withColumn("contribution", F.col("quality") * F.ln(1 + 1 / F.greatest("latency", F.lit(0.01)))).withColumn("composite", F.col("quality") * F.col("speed"))
 
 
+def healing_by_type(events: DataFrame, source: str = "source", kind: str = "drift_type") -> DataFrame:
+    """(source, drift_type, total, resolved, quality, latency) of ``events(source, drift_type, status, latency)``; without known latencies it is 0."""
+    return events.groupBy(source, kind).agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "deployed").alias("resolved"), F.avg((F.col("status") == "deployed").cast("double")).alias("quality"), F.coalesce(F.avg(F.when(F.col("latency") > 0, F.col("latency"))), F.lit(0.0)).alias("latency")
+    )
+
+
+def healing_summary(scores: DataFrame) -> DataFrame:
+    """One row over the sources of ``healing_scores``: their number, all events, and the mean contribution, quality, speed and composite."""
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("contribution", "quality", "speed", "composite")]
+    return scores.agg(F.count("*").alias("sources"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved"), *means)
+
+
+def baseline(df: DataFrame, keys: Sequence[str], columns: Sequence[str], texts: Sequence[str], version: int = 1) -> dict[str, DataFrame]:
+    """What later batches of a source are held against, each with its keys and ``version``: schema (name, type), histograms, and the vector of its texts."""
+    held = {
+        "schema": df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.col(c).isNotNull().alias("_known")) for c in (*columns, *texts)])).alias("c")).filter("c._known").select(*keys, "c.name", "c.type").distinct(),
+        "histogram": histograms(long_form(df, keys, columns), keys),
+        "vector": batch_vectors(df, keys, texts),
+    }
+    return {k: v.withColumn("version", F.lit(version)) for k, v in held.items()}
+
+
 def canary_split(batches: DataFrame, ordinal: Column, weights: Mapping[str, float]) -> DataFrame:
     """Adds version: the ordinal's thousandth against the cumulative weights, in the order given."""
     place = (ordinal % 1000) / 1000
@@ -237,6 +260,30 @@ def canary_split(batches: DataFrame, ordinal: Column, weights: Mapping[str, floa
     return batches.withColumn("version", pick.otherwise(list(weights)[-1]))
 
 
+def promote_canaries(routes: DataFrame, scores: DataFrame, source: str, at: Sequence[str], step: float = 0.2, least_score: float = 0.6, least_samples: int = 3) -> DataFrame:
+    """``routes(source, version, weight, canary, drained)`` with the weights after each source's canary was judged.
+
+    A canary with ``least_samples`` of ``scores(source, version, at…, score)`` or more
+    whose last so many average at least ``least_score`` gains ``step``, up to 1, from
+    the other routes of its source that are not drained, in proportion to their
+    weights.  Adds avg_score and promoted (both null for others).  A source has one
+    canary; of several the first by name is judged.
+    """
+    last = Window.partitionBy(source, "version").orderBy(*[F.desc(c) for c in at])
+    recent = scores.withColumn("_i", F.row_number().over(last)).filter(F.col("_i") <= least_samples).groupBy(source, "version").agg(F.avg("score").alias("avg_score"), F.count("*").alias("_n"))
+    first = routes.filter("canary").groupBy(source).agg(F.min("version").alias("_canary"))
+    judged = routes.join(first, source, "left").join(recent, [source, "version"], "left")
+    own = F.coalesce(F.col("version") == F.col("_canary"), F.lit(False))
+    judged = judged.withColumn("promoted", F.when(own, F.coalesce((F.col("_n") >= least_samples) & (F.col("avg_score") >= least_score), F.lit(False)))).withColumn("avg_score", F.when(own, F.col("avg_score")))
+    gain = F.when(F.col("promoted"), F.least(F.lit(1.0), F.col("weight") + step) - F.col("weight")).otherwise(0.0)
+    giving = ~own & ~F.coalesce("drained", F.lit(False))
+    # a row for each route
+    routes_of = Window.partitionBy(source)
+    moved = judged.withColumns({"_gain": F.sum(gain).over(routes_of), "_others": F.sum(F.when(giving, F.col("weight")).otherwise(0.0)).over(routes_of)})
+    weight = F.when(F.col("promoted"), F.col("weight") + F.col("_gain")).when(giving & (F.col("_others") > 0), F.greatest(F.lit(0.0), F.col("weight") * (1 - F.col("_gain") / F.col("_others")))).otherwise(F.col("weight"))
+    return moved.withColumn("weight", weight).select(*routes.columns, "avg_score", "promoted")
+
+
 def missing_sources(expected: DataFrame, delivered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected sources and periods of which nothing came."""
     return expected.select(*keys).join(delivered.select(*keys).distinct(), list(keys), "left_anti")

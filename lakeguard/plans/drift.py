@@ -156,6 +156,23 @@ def canary(spark: SparkSession, sf: str) -> DataFrame:
     return D.canary_split(t(spark, sf, "orders"), F.col("o_orderkey"), {"current": 3.0, "canary": 1.0}).groupBy("version").agg(F.count("*").alias("n"))
 
 
+@query(
+    "dr22_canary_promotion",
+    """WITH r AS (SELECT o_orderpriority AS source, o_orderstatus AS version, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY o_orderpriority) AS weight FROM orders GROUP BY o_orderpriority, o_orderstatus),
+ k AS (SELECT o_orderpriority AS source, avg(o_orderkey % 100 / 100.0) AS avg_score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM orders WHERE o_orderstatus = 'P') WHERE i <= 3 GROUP BY 1 HAVING count(*) = 3),
+ g AS (SELECT r.*, k.avg_score, k.avg_score >= 0.5 AS hit, CASE WHEN k.avg_score >= 0.5 THEN least(1, (SELECT c.weight FROM r c WHERE c.source = r.source AND c.version = 'P') + 0.2) - (SELECT c.weight FROM r c WHERE c.source = r.source AND c.version = 'P') ELSE 0 END AS gain, sum(CASE WHEN version = 'F' THEN r.weight ELSE 0 END) OVER (PARTITION BY r.source) AS others FROM r LEFT JOIN k USING (source))
+ SELECT source, version, round(CASE WHEN version = 'P' THEN weight + gain WHEN version = 'F' THEN greatest(0, weight * (1 - gain / others)) ELSE weight END, 6) AS weight, CASE WHEN version = 'P' THEN round(avg_score, 6) END AS avg_score, CASE WHEN version = 'P' THEN coalesce(hit, false) END AS promoted FROM g""",
+)
+def promotion(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes by the share of orders in each status, one a canary, one being drained."""
+    orders = t(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("version"), "o_orderdate", "o_orderkey", (F.col("o_orderkey") % 100 / 100.0).alias("score"))
+    counts = orders.groupBy("source", "version").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("source").agg(F.sum("n").alias("all"))
+    routes = counts.join(totals, "source").select("source", "version", (F.col("n") / F.col("all")).alias("weight"), (F.col("version") == "P").alias("canary"), (F.col("version") == "O").alias("drained"))
+    found = D.promote_canaries(routes, orders, "source", ["o_orderdate", "o_orderkey"], least_score=0.5)
+    return found.select("source", "version", F.round("weight", 6).alias("weight"), F.round("avg_score", 6).alias("avg_score"), "promoted")
+
+
 @query("dr23_healing_score", """SELECT source, total, resolved, failed, round(resolved / total, 6) AS quality, round(least(1, 60 / lat), 6) AS speed, round(resolved / total * ln(1 + 1 / lat), 6) AS contribution, round(resolved / total * least(1, 60 / lat), 6) AS composite
  FROM (SELECT o_orderpriority AS source, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS resolved, count(*) FILTER (o_orderstatus = 'P') AS failed, avg(o_orderkey % 150) FILTER (o_orderkey % 150 > 0) AS lat FROM orders GROUP BY 1)""")
 def healing(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,6 +181,30 @@ def healing(spark: SparkSession, sf: str) -> DataFrame:
     return D.healing_scores(events).drop("latency").withColumns({c: F.round(c, 6) for c in ("quality", "speed", "contribution", "composite")})
 
 
+_STATES = "SELECT o_orderpriority AS source, ['schema', 'semantic', 'statistical'][o_orderkey % 3 + 1] AS drift_type, o_orderstatus AS s, o_orderkey % 150 AS latency FROM orders"
+
+
+def _healed(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "deployed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
+    kinds = F.array(*map(F.lit, ("schema", "semantic", "statistical")))
+    return t(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), F.get(kinds, (F.col("o_orderkey") % 3).cast("int")).alias("drift_type"), status.alias("status"), (F.col("o_orderkey") % 150).alias("latency"))
+
+
+@query("dr23_healing_by_type", f"SELECT source, drift_type, count(*) AS total, count(*) FILTER (s = 'F') AS resolved, round(count(*) FILTER (s = 'F') / count(*), 6) AS quality, round(coalesce(avg(latency) FILTER (latency > 0), 0), 6) AS latency FROM ({_STATES}) GROUP BY ALL")
+def healing_types(spark: SparkSession, sf: str) -> DataFrame:
+    return D.healing_by_type(_healed(spark, sf)).withColumns({c: F.round(c, 6) for c in ("quality", "latency")})
+
+
+@query(
+    "dr23_healing_summary",
+    f"""SELECT count(*) AS sources, CAST(sum(total) AS BIGINT) AS total, CAST(sum(resolved) AS BIGINT) AS resolved, round(avg(resolved / total * ln(1 + 1 / lat)), 6) AS contribution, round(avg(resolved / total), 6) AS quality, round(avg(least(1, 60 / lat)), 6) AS speed, round(avg(resolved / total * least(1, 60 / lat)), 6) AS composite
+ FROM (SELECT source, count(*) AS total, count(*) FILTER (s = 'F') AS resolved, avg(latency) FILTER (latency > 0) AS lat FROM ({_STATES}) GROUP BY 1)""",
+)
+def healing_over_sources(spark: SparkSession, sf: str) -> DataFrame:
+    found = D.healing_summary(D.healing_scores(_healed(spark, sf).drop("drift_type")))
+    return found.withColumns({c: F.round(c, 6) for c in ("contribution", "quality", "speed", "composite")})
+
+
 @query("dr28_missing_source", "SELECT s_suppkey, CAST(y.year AS INTEGER) AS year FROM supplier, (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND year(l_shipdate) = y.year AND l_quantity >= 50 AND l_discount > 0.095)")
 def missing(spark: SparkSession, sf: str) -> DataFrame:
     items = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.year("l_shipdate").alias("year"), "l_quantity", "l_discount")

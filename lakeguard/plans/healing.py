@@ -277,6 +277,23 @@ def registered(spark: SparkSession, sf: str) -> DataFrame:
     return kept(counts.withColumn("version", F.lit(1)), "baseline", by=["source", "version"]).select("version", "source", "column", "bin", "n")
 
 
+@query(
+    "dr25_whole_baseline",
+    f"""WITH o AS (SELECT o_orderstatus AS source, o_orderpriority, o_totalprice FROM orders), tokens AS (SELECT source, 'o_orderpriority:' || o_orderpriority AS token FROM o),
+ sums AS (SELECT source, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 256 AS bucket, sum(CASE WHEN CAST('0x' || substr(md5(token), 9, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM tokens GROUP BY ALL),
+ q AS ({P._hist("SELECT source, 'o_totalprice' AS \"column\", o_totalprice AS v FROM o", "source")})
+ SELECT source, 'schema' AS part, name AS item, NULL::DOUBLE AS value, 3 AS version FROM (SELECT DISTINCT source FROM o), (VALUES ('o_totalprice=double'), ('o_orderpriority=string')) n(name)
+ UNION ALL SELECT source, 'histogram', "column" || '=' || bin, n, 3 FROM q UNION ALL SELECT source, 'vector', CAST(bucket AS VARCHAR), round(w / sqrt(sum(w * w) OVER (PARTITION BY source)), 6), 3 FROM sums""",
+)
+def whole_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Schema, histograms and vector of each source, kept by source and version and read back."""
+    rows = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("source"), "o_orderpriority", "o_totalprice")
+    held = {k: kept(v, f"baseline-{k}", by=["source", "version"]) for k, v in D.baseline(rows, ["source"], ["o_totalprice"], ["o_orderpriority"], version=3).items()}
+    items = {"schema": (F.concat_ws("=", "name", "type"), F.lit(None)), "histogram": (F.concat_ws("=", "column", "bin"), F.col("n")), "vector": (F.col("bucket").cast("string"), F.round("w", 6))}
+    parts = [held[k].select("source", F.lit(k).alias("part"), item.alias("item"), value.cast("double").alias("value"), "version") for k, (item, value) in items.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("dr26_reference_versions", "SELECT o_orderpriority AS source, arg_max(o_orderkey % 7, (o_orderdate, o_orderkey)) AS version FROM orders GROUP BY 1")
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     rows = t(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), (F.col("o_orderkey") % 7).alias("version"), "o_orderdate", "o_orderkey")

@@ -60,3 +60,10 @@ def test_schema_kinds(spark):
     df = spark.createDataFrame(rows, "batch string, name string, type string")
     got = {r.batch: (r.kind, r.severity) for r in D.schema_drift(df, base, ["batch"]).collect()}
     assert got == {"typed": ("type_change", "medium"), "less": ("schema_change", "critical"), "more": ("schema_change", "medium")}
+
+
+def test_canaries_gain_from_routes_that_stay(spark):
+    routes = spark.createDataFrame([("s", "old", 0.6, False, False), ("s", "older", 0.2, False, False), ("s", "gone", 0.1, False, True), ("s", "new", 0.1, True, False), ("t", "new", 0.9, True, False), ("t", "old", 0.1, False, False), ("u", "new", 0.5, True, False)], "source string, version string, weight double, canary boolean, drained boolean")
+    scores = spark.createDataFrame([("s", "new", i, x) for i, x in enumerate([0.0, 0.7, 0.6, 0.8])] + [("t", "new", i, 1.0) for i in range(3)] + [("u", "new", 0, 1.0), ("s", "old", 0, 1.0)], "source string, version string, i int, score double")
+    got = {(r.source, r.version): (round(r.weight, 9), r.promoted) for r in D.promote_canaries(routes, scores, "source", ["i"]).collect()}
+    assert got == {("s", "old"): (0.45, None), ("s", "older"): (0.15, None), ("s", "gone"): (0.1, None), ("s", "new"): (0.3, True), ("t", "new"): (1.0, True), ("t", "old"): (0.0, None), ("u", "new"): (0.5, False)}
