@@ -23,18 +23,24 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 query = registrar(QUERIES, SQL)
 
-#: Files of a part; a micro-batch takes one part.
-FILES = 2
+#: Files of a part, at least, and rows of a file from which there are more; a micro-batch takes one part.
+FILES, FILE_ROWS = 2, 100_000
 
 
-def _write_parts(df: DataFrame, part: Column, parts: range, path: str) -> str:
+def _files(df: DataFrame, part: Column) -> int:
+    """Files of each part: as many for all, as a micro-batch takes so many, and by the smallest part, so that none is empty."""
+    least = df.groupBy(part.alias("part")).count().agg(F.min("count")).first()[0] or 0
+    return max(FILES, least // FILE_ROWS)
+
+
+def _write_parts(df: DataFrame, part: Column, parts: range, path: str, files: int = FILES) -> str:
     for k in parts:
-        df.filter(part == k).repartition(FILES).write.mode("append").parquet(path)
+        df.filter(part == k).repartition(files).write.mode("append").parquet(path)
     return path
 
 
-def _stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
+def _stream(spark: SparkSession, path: str, schema: str, files: int = FILES) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 # ------------------------------------------------------------ events in three parts, a tenth of them two hours late
@@ -72,13 +78,13 @@ def early(spark: SparkSession, sf: str) -> DataFrame:
     """Daily windows of a user that fire early by count, by clock and by both, on streams that stop after the first part."""
     df, part = _arrivals(spark, sf)
     runs = {label: (shared_path(spark, "panes"), shared_path(spark, "panes-state")) for label in TRIGGERS}
-    path = shared_path(spark, "arrivals")
+    path, files = shared_path(spark, "arrivals"), _files(df, part)
     with S.rocksdb(spark):
         for parts in (range(1), range(1, 3)):
-            _write_parts(df, part, parts, path)
+            _write_parts(df, part, parts, path, files)
             started = []
             for label, (trigger, _, _) in TRIGGERS.items():
-                panes = S.early_windows(_stream(spark, path, EVENTS), "1 day", trigger, "value", "event_id", "3 hours", "arrived")
+                panes = S.early_windows(_stream(spark, path, EVENTS, files), "1 day", trigger, "value", "event_id", "3 hours", "arrived")
                 started.append(W.fan_out(panes, [W.file_sink(runs[label][0], "parquet")], runs[label][1]))
             for q in started:
                 q.awaitTermination()

@@ -86,28 +86,31 @@ def _combined(kind: str, parts: tuple[Trigger, ...]) -> Trigger:
     return Trigger(kind, parts=parts)
 
 
+#: Buckets of keys: each has one value in the state store, so a key costs no call of its own.
+BUCKETS = 256
+
 PANE = "key string, window_start timestamp, pane int, event_count long, total double, reason string"
 
 
 class _Windows(StatefulProcessor):
-    """The open windows of a key: start, events and total so far, events and clock since the last firing, panes put out."""
+    """The open windows of a bucket of keys: events and total so far, events and clock since the last firing, panes put out."""
 
     def __init__(self, size: int, trigger: Trigger, recorded: bool):
         self.size, self.trigger, self.recorded = size, trigger, recorded
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # one value and one timer a key, as each call is a way to the state store and back
-        self.open = handle.getValueState("open", "windows array<struct<start:long,events:long,total:double,since:long,first:long,pane:int>>, timer long")
+        # one value and one timer a bucket, as each call is a way to the state store and back; a column for each part of the windows
+        self.open = handle.getValueState("open", "keys array<string>, starts array<long>, events array<long>, totals array<double>, since array<long>, first array<long>, panes array<long>, timer long")
 
-    def _held(self) -> tuple[dict[int, list], int]:
+    def _held(self) -> tuple[dict[tuple, list], int]:
         state = self.open.get() if self.open.exists() else None
-        return ({w[0]: list(w[1:]) for w in state[0]}, state[1]) if state else ({}, -1)
+        return ({(key, start): list(w) for key, start, *w in zip(*state[:-1], strict=True)}, state[-1]) if state else ({}, -1)
 
-    def _keep(self, held: dict[int, list], timer: int) -> None:
+    def _keep(self, held: dict[tuple, list], timer: int) -> None:
         """Leaves the windows in the store and sets the timer for the next that has something to do."""
         if self.recorded:
-            due = [(start + self.size) // 1000 for start in held]
+            due = [(start + self.size) // 1000 for _, start in held]
         else:
             due = [w[3] // 1000 + int(s * 1000) for w in held.values() if w[2] for s in self.trigger.seconds()]
         soon = min(due, default=-1)
@@ -117,27 +120,30 @@ class _Windows(StatefulProcessor):
             if soon >= 0:
                 self.handle.registerTimer(soon)
         if held:
-            self.open.update(([(start, *w) for start, w in sorted(held.items())], soon))
+            columns = zip(*((*at, *w) for at, w in held.items()), strict=True)
+            self.open.update((*map(list, columns), soon))
         else:
             self.open.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Any], timerValues: Any) -> Iterator[Any]:
+        import pandas as pd
+
         now, mark = timerValues.getCurrentProcessingTimeInMs() * 1000, timerValues.getCurrentWatermarkInMs() * 1000
         held, timer = self._held()
         fired = []
-        for part in rows:  # as many rows as the key has in one micro-batch, which the source bounds
-            part = part.sort_values(["clock", "tie"], kind="stable")
-            for ts, value, clock in zip(part["micros"].tolist(), part["value"].tolist(), part["clock"].tolist(), strict=True):
-                start = ts - ts % self.size
-                if start + self.size <= mark:
-                    continue
-                at = clock if self.recorded else now
-                w = held.setdefault(start, [0, 0.0, 0, at, 0])
-                if not w[2]:
-                    w[3] = at
-                w[0], w[1], w[2] = w[0] + 1, w[1] + (value if value == value else 0.0), w[2] + 1
-                if self.trigger.met(w[2], (at - w[3]) / 1e6, False):
-                    fired.append(self._fire(key, start, w, "early"))
+        # a bucket's rows of one micro-batch, which the source bounds; they come in several pieces
+        part = pd.concat(list(rows), ignore_index=True).sort_values(["clock", "tie"], kind="stable")
+        for who, ts, value, clock in zip(part["key"].tolist(), part["micros"].tolist(), part["value"].tolist(), part["clock"].tolist(), strict=True):
+            start = ts - ts % self.size
+            if start + self.size <= mark:
+                continue
+            at = clock if self.recorded else now
+            w = held.setdefault((who, start), [0, 0.0, 0, at, 0])
+            if not w[2]:
+                w[3] = at
+            w[0], w[1], w[2] = w[0] + 1, w[1] + (value if value == value else 0.0), w[2] + 1
+            if self.trigger.met(w[2], (at - w[3]) / 1e6, False):
+                fired.append(self._fire(who, start, w, "early"))
         self._keep(held, timer)
         yield self._panes(fired)
 
@@ -146,19 +152,21 @@ class _Windows(StatefulProcessor):
         held, _ = self._held()
         if self.recorded:
             at = max(at, timerValues.getCurrentWatermarkInMs() * 1000)
-            for start in [s for s in held if s + self.size <= at]:
-                w = held.pop(start)
+            for who, start in [k for k in held if k[1] + self.size <= at]:
+                w = held.pop((who, start))
                 # the last word of a window: its clock has run out if there is anything to wait for
                 if self.trigger.met(w[2], float("inf") if w[2] else 0.0, True):
-                    fired.append(self._fire(key, start, w, "final"))
+                    fired.append(self._fire(who, start, w, "final"))
         else:
-            fired = [self._fire(key, start, w, "early") for start, w in held.items() if self.trigger.met(w[2], (at - w[3]) / 1e6, False)]
+            # by the time it is now: a window whose clock has run out but which waits for something else must not hold up the others
+            at = max(at, timerValues.getCurrentProcessingTimeInMs() * 1000)
+            fired = [self._fire(who, start, w, "early") for (who, start), w in held.items() if self.trigger.met(w[2], (at - w[3]) / 1e6, False)]
         self._keep(held, -1)
         yield self._panes(fired)
 
-    def _fire(self, key: tuple, start: int, w: list, reason: str) -> tuple:
+    def _fire(self, who: str, start: int, w: list, reason: str) -> tuple:
         w[2], w[4] = 0, w[4] + 1
-        return key[0], start, w[4], w[0], w[1], reason
+        return who, start, w[4], w[0], w[1], reason
 
     def _panes(self, fired: list[tuple]) -> Any:
         import pandas as pd
@@ -168,7 +176,7 @@ class _Windows(StatefulProcessor):
         return out
 
 
-def early_windows(df: DataFrame, size: str, trigger: Trigger, value: str, tie: str, delay: str, clock: str | None = None) -> DataFrame:
+def early_windows(df: DataFrame, size: str, trigger: Trigger, value: str, tie: str, delay: str, clock: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Panes (PANE) of a stream's tumbling windows by key, put out whenever ``trigger`` fires; totals go on over the firings.
 
     With ``clock``, a column with the time at which an event arrived, the stream
@@ -178,12 +186,15 @@ def early_windows(df: DataFrame, size: str, trigger: Trigger, value: str, tie: s
     window that waits; such a query has to run on (``fan_out`` with once=False), as
     Spark always has another batch for it, and windows stay open.
     Rows of closed windows are dropped.  Needs the RocksDB state store.
+
+    Keys share ``buckets`` of the state store: a task holds the open windows and the
+    micro-batch's rows of one bucket.  A checkpoint stays with its number of buckets.
     """
     seconds = F.unix_micros(F.lit(0).cast("timestamp") + F.expr(f"INTERVAL {size}"))
     micros = df.sparkSession.range(1).select(seconds).first()[0]
     ready = df.withWatermark("ts", delay) if clock else df
-    ready = ready.select("key", *(["ts"] if clock else []), F.unix_micros("ts").alias("micros"), F.col(value).try_cast("double").alias("value"), F.unix_micros(F.col(clock).cast("timestamp")).alias("clock") if clock else F.lit(0).cast("long").alias("clock"), F.col(tie).alias("tie"))
-    return ready.groupBy("key").transformWithStateInPandas(_Windows(micros, trigger, clock is not None), PANE, "Append", "eventTime" if clock else "processingTime")
+    ready = ready.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", *(["ts"] if clock else []), F.unix_micros("ts").alias("micros"), F.col(value).try_cast("double").alias("value"), F.unix_micros(F.col(clock).cast("timestamp")).alias("clock") if clock else F.lit(0).cast("long").alias("clock"), F.col(tie).alias("tie"))
+    return ready.groupBy("bucket").transformWithStateInPandas(_Windows(micros, trigger, clock is not None), PANE, "Append", "eventTime" if clock else "processingTime")
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"

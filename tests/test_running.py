@@ -273,3 +273,22 @@ def test_gate_stops_keeps_its_place_and_goes_on(spark, tmp_path):
     assert mended.lake(spark).count() == 1210
     assert sorted({r.v for r in mended.lake(spark).filter("batch_id = 1").collect()}) == [float(v) for v in range(40)]
     assert [severity_of(x, 1.0) for x in (0.5, 1.2, 1.7, 2.5, 9)] == [None, "low", "medium", "high", "critical"]
+
+
+def test_many_keys_share_few_calls_of_the_state_store(spark, tmp_path, monkeypatch):
+    """Keys of one bucket, in more than one piece of Arrow, are told apart and taken in their order of arrival."""
+    monkeypatch.setattr(S.early_windows, "__defaults__", (None, 2))
+    rows = [(at(1 + i // 50), f"k{i % 50}", i, 1.0, at(1000 - i // 50)) for i in range(300)] + [(at(900), "k0", 999, 1.0, at(2000))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = panes(spark, tmp_path, S.any_of(S.after_count(4), S.at_watermark()), [rows], "buckets")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(p for i in range(50) for p in [(f"k{i}", 0, 1, 4, 4.0, "early"), (f"k{i}", 0, 2, 6, 6.0, "final")])
+
+
+def test_state_holds_a_row_for_a_bucket_not_for_a_key(spark, tmp_path):
+    rows = [(at(1), f"k{i}", i, 1.0, at(1)) for i in range(600)]
+    panes(spark, tmp_path, S.at_watermark(), [rows], "rows")
+    state = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "state-rows"))
+    assert 0 < state.count() <= S.BUCKETS
