@@ -133,3 +133,40 @@ def test_nearest_by_each_measure(spark, measure):
         order = sorted((round(float(v if measure == "l2" else -v), 9) + 0.0, j) for j, v in enumerate(s) if j != i and not math.isnan(v))
         want = [] if measure == "cosine" and i == 9 else [j for _, j in order[:4]]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want
+
+
+@pytest.mark.parametrize("measure", ["cosine", "l2", "inner_product"])
+def test_nearest_over_blocks_of_both_sides(spark, measure, monkeypatch):
+    """Copies, ties, another size, null components, several blocks of queries and vectors: as brute force, ties by id."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    monkeypatch.setattr(V, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, size=(300, 3)).astype(float) / 8
+    x[100:160] = x[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0, None, 0.0]), (901, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>")
+    got = {}
+    for r in V.knn(df.filter("vec_id % 3 = 0"), df, 5, measure).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.similarity)
+
+    def value(a, b):
+        dot = sum(p * q for p, q in zip(a, b, strict=True))
+        s = {"cosine": lambda: dot / (math.sqrt(sum(p * p for p in a)) * math.sqrt(sum(q * q for q in b))), "inner_product": lambda: dot, "l2": lambda: sum((p - q) ** 2 for p, q in zip(a, b, strict=True))}[measure]()
+        return float(Decimal(repr(s)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+
+    for i in range(0, 300, 3):
+        if measure == "cosine" and not x[i].any():
+            assert i not in got
+            continue
+        all_of = [(value(x[i].tolist(), x[j].tolist()), j) for j in range(300) if j != i and (measure != "cosine" or x[j].any())]
+        want = sorted((s if measure == "l2" else -s, j) for s, j in all_of)[:5]
+        assert [got[i][k][0] for k in range(1, 6)] == [j for _, j in want]
+    assert 900 not in got and 901 not in got
+
+
+def test_nearest_does_not_compare_pair_by_pair(spark):
+    """Pairs meet as matrices in a task: no row of the plan is a pair before the k best are known."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "vec_id long, e array<double>")
+    plan = V.knn(df, df, 3)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
