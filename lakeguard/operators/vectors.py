@@ -147,22 +147,21 @@ def knn_bucketed(queries: DataFrame, vectors: DataFrame, k: int, bucket_rows: in
     top = clean.agg(F.count("*").alias("n"), F.mode(F.size("embedding")).alias("d")).first()
     if not top["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank long")
-    bits = max(1, int(np.log2(max(2, top["n"] / bucket_rows))))
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, top["d"]))
+    size, bits = top["d"], max(1, int(np.log2(max(2, top["n"] / bucket_rows))))
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, size)).reshape(-1, size).T
 
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up = (_matrix(pa.chunked_array([batch["e"]]), size) @ planes >= 0).reshape(-1, tables, bits)
+            codes = np.packbits(up, axis=2)
+            buckets = pa.array([[bytes(t) for t in row] for row in codes], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, buckets], [*batch.schema.names, "buckets"])
 
     def dealt(df: DataFrame) -> DataFrame:
-        unit = df.filter((F.size("embedding") == top["d"]) & F.exists("embedding", lambda x: x != 0)).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-        unit = unit.withColumn("_n", F.sqrt(dot(F.col("e"), F.col("e")))).select("vec_id", F.transform("e", lambda x: x / F.col("_n")).alias("e"))
-        side = [F.concat(*[F.when(dot(F.col("e"), F.array(*map(F.lit, plane.tolist()))) >= 0, "1").otherwise("0") for plane in table]) for table in planes]
-        return unit.select("vec_id", "e", F.posexplode(F.array(*side)).alias("table", "bucket"))
-
-    left = dealt(queries).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), "table", "bucket")
-    met = left.join(dealt(clean), ["table", "bucket"]).filter("query_id <> vec_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("e")), 9).alias("similarity")).distinct()
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")).cast("long"))
-    return ranked.filter(F.col("rank") <= k)
+        fit = df.filter(F.size("embedding") == size).withColumn("e", F.col("embedding").cast("array<double>"))
+        return _ready(fit, "cosine").mapInArrow(sides, "id long, e array<double>, d int, n double, buckets array<binary>").select("id", "e", "d", "n", F.posexplode("buckets").alias("table", "bucket"))
+
+    return _ranked(_met(dealt(queries), dealt(clean), ["table", "bucket"], k, "cosine").distinct(), k)
 
 
 def append(store: DataFrame | None, vectors: DataFrame, order: Sequence[str], size: int) -> DataFrame:
