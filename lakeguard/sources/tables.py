@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeguard.functions.storage import cut
+
 #: What the values of a headerless column look like, in the order of the tests.  Fixed values.
 _LOOKS = (("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), ("phone", r"^\+?[\d\s().-]{7,}$"), ("date", r"^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{2,4}"))
 
@@ -140,13 +142,12 @@ def query_batch(spark: SparkSession, frames: Mapping[str, DataFrame], statements
     return spark.createDataFrame(out, "name string, status string, row_count long, error string")
 
 
-def radius_pairs(places: DataFrame, km: float) -> DataFrame:
-    """Pairs (a < b) of ``places(id, lat, lon)`` within a distance: joined by cells and their neighbours, then measured.
+#: Rows of a place, and of its neighbours, that are put together at once; and pairs to a task, about.
+TILE_ROWS, TASK_PAIRS = 4_000, 10_000_000
 
-    A band of latitude is as high as the distance.  Its cells are as wide as the
-    distance at its edge and one band nearer the pole, and go round the earth; near
-    the poles a band is one cell.
-    """
+
+def _near_spots(spots: DataFrame, km: float) -> DataFrame:
+    """Pairs (lat, lon, lat2, lon2), both ways and with itself, of different places within a distance."""
     step = km / 111.0
     band = F.floor(F.col("lat") / step)
     edge = F.least(F.lit(90.0), (F.greatest(F.abs(F.col("y")), F.abs(F.col("y") + 1)) + 1) * step)
@@ -155,12 +156,48 @@ def radius_pairs(places: DataFrame, km: float) -> DataFrame:
     def cell(at: Column) -> Column:
         return F.floor(F.pmod(at + 180, F.lit(360.0)) / 360 * F.col("m"))
 
-    left = places.select("id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("y")).withColumn("m", cells)
+    left = spots.select("lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("y")).withColumn("m", cells)
     left = left.withColumn("x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(cell(F.col("lon")) + k, F.col("m")))))).drop("m")
-    right = places.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("y")).withColumn("m", cells).withColumn("x", F.pmod(cell(F.col("lon2")), F.col("m"))).drop("m")
+    right = spots.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("y")).withColumn("m", cells).withColumn("x", F.pmod(cell(F.col("lon2")), F.col("m"))).drop("m")
     h = F.pow(F.sin(F.radians(F.col("lat2") - F.col("lat")) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("lat2")) * F.pow(F.sin(F.radians(F.col("lon2") - F.col("lon")) / 2), 2)
     distance = 2 * 6371 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-    return left.join(right, ["y", "x"]).filter((F.col("id") < F.col("b")) & (distance <= km)).select(F.col("id").alias("a"), "b")
+    return left.join(right, ["y", "x"]).filter(distance <= km).select("lat", "lon", "lat2", "lon2")
+
+
+def radius_pairs(places: DataFrame, km: float) -> DataFrame:
+    """Pairs (a < b) of ``places(id, lat, lon)`` within a distance: joined by cells and their neighbours, then measured.
+
+    A band of latitude is as high as the distance.  Its cells are as wide as the
+    distance at its edge and one band nearer the pole, and go round the earth; near
+    the poles a band is one cell.
+
+    Distances are measured between different places only.  Then the rows of a place
+    meet those of each near one, in tiles of some TILE_ROWS a side, so that no task has
+    all of a place with many rows.
+    """
+    known = places.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    spots = known.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    near = cut(_near_spots(spots, km).join(spots, ["lat", "lon"]))
+    # rows that meet a place, and how many parts both sides are dealt into
+    met = near.groupBy("lat2", "lon2").agg(F.sum("n").alias("_met"))
+    tiles = met.join(spots.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("n").alias("_own")), ["lat2", "lon2"])
+    # as many tasks as the pairs ask for: they are far more than the rows of which they are made
+    pairs = tiles.agg(F.sum(F.col("_met").cast("double") * F.col("_own"))).first()[0] or 0.0
+    parts = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+    tiles = tiles.select("lat2", "lon2", *[F.ceil(F.col(c) / TILE_ROWS).cast("int").alias(k) for c, k in (("_met", "_i"), ("_own", "_j"))])
+
+    def dealt(part: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(part)).cast("int")
+
+    def each(part: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(part) - 1))
+
+    asked = near.drop("n").join(tiles, ["lat2", "lon2"])
+    left = known.join(asked, ["lat", "lon"]).select(F.col("id").alias("a"), "lat2", "lon2", dealt("_i").alias("i"), each("_j").alias("j"))
+    right = known.select(F.col("id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).join(tiles, ["lat2", "lon2"])
+    right = right.select(F.col("id").alias("b"), "lat2", "lon2", dealt("_j").alias("j"), each("_i").alias("i"))
+    keys = ["lat2", "lon2", "i", "j"]
+    return left.repartition(parts, *keys).hint("merge").join(right.repartition(parts, *keys), keys).filter("a < b").select("a", "b")
 
 
 def _uniform(seed: int, name: str) -> Column:
