@@ -76,12 +76,21 @@ def nearest_known(df: DataFrame, order: str, value: str) -> DataFrame:
     return met.withColumn(f"{value}_before", F.coalesce("_b", "_prior")).withColumn(f"{value}_after", F.coalesce("_a", "_next")).drop("_part", "_b", "_a", "_prior", "_next")
 
 
-def order_statistics(df: DataFrame, value: str, picks: dict[str, Column], order: Sequence[Column] = ()) -> DataFrame:
-    """One row with exact order statistics: ``picks`` maps a name to a 0-based position, an expression over ``n``."""
-    clean = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    ranked = global_rank(clean, [F.col("_v"), *[F.col(f"_o{i}") for i in range(len(order))]])
-    total = clean.agg(F.count("*").alias("n"))
-    return ranked.join(F.broadcast(total)).agg(*[F.max(F.when(F.col("pos") == p, F.col("_v"))).alias(k) for k, p in picks.items()], F.max("n").alias("n"))
+def order_statistics(df: DataFrame, value: str, picks: dict[str, Column], weight: str | None = None) -> DataFrame:
+    """One row with exact order statistics: ``picks`` maps a name to a 0-based position, an expression over ``n``.
+
+    Equal values are counted before they are put in order, so a frequent one is one row; with
+    ``weight`` a row stands for so many.
+    """
+    many = F.count("*") if weight is None else F.sum(weight).cast("long")
+    levels = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(many.alias("_k"))
+    run = running_total(levels, [F.col("_v")], "_k", "_up")
+    total = run.agg(F.max("_up").alias("n"))
+
+    def hit(p: Column) -> Column:
+        return (p < F.col("_up")) & (p >= F.col("_up") - F.col("_k"))
+
+    return run.join(F.broadcast(total)).agg(*[F.max(F.when(hit(p), F.col("_v"))).alias(k) for k, p in picks.items()], F.max("n").alias("n"))
 
 
 def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -136,12 +136,20 @@ def tmle(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str]
     return _interval(moved.withColumn("ic", F.expr("gap + h * (r - eps * h)")), "ic", "tmle")
 
 
+#: Parts into which the rows of a cell (fold, treatment, confounders) are dealt; a forest's bags are drawn of these.
+CELL_PARTS = 64
+
+
 def forest_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2, rounds: int = 20, trees: int = 48, clip: float = 0.025, seed: int = 1) -> DataFrame:
     """One row (method, point, ci_lower, ci_upper, n, cate): boosted nuisances, cross-fitted, and a forest on the doubly robust scores.
 
     ``cate`` holds ten quantiles, 0.05 to 0.95, of the effects that the forest gives to the rows; the point
     is their mean and the interval that of the scores.  Rows with a null take no part.  Where an arm has
     fewer than two rows a fold the numbers are null.  Every fit is made of Spark's distributed trees.
+
+    The rows are read once and summed up by cells of equal confounders, as trees that split by sums of
+    squares need no more than a cell's rows and mean.  A cell's rows are dealt into CELL_PARTS by a hash; a bag
+    draws parts, which are single rows where a cell has few.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -149,35 +157,47 @@ def forest_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequ
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     known = df.na.drop(subset=[treatment, outcome, *confounders]).select(*row_id, F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(confounders)], F.lit(0.0).alias("_none"))
-    n, treated = known.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    names = [f"_c{i}" for i in range(len(confounders))] or ["_none"]
+    cell = ["_fold", "t", *names]
+    dealt = known.withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds))).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), *row_id), F.lit(CELL_PARTS)))
+    parts = cut(dealt.groupBy(*cell, "_part").agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("y"), (F.var_pop("y") * F.count("*")).alias("_off")))
+    n, treated = parts.agg(F.coalesce(F.sum("w"), F.lit(0.0)).cast("long"), F.coalesce(F.sum(F.col("w") * F.col("t")), F.lit(0.0))).first()
     spark, schema = df.sparkSession, f"{RESULT}, cate array<double>"
     if min(treated, n - treated) < 2 * folds:
         return spark.createDataFrame([("forest_dr", None, None, None, n, None)], schema)
-    names = [f"_c{i}" for i in range(len(confounders))] or ["_none"]
-    given = VectorAssembler(inputCols=names, outputCol="_x").transform(known).withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds)))
 
     def at(rows: DataFrame, arm: Column, to: str) -> DataFrame:
         return VectorAssembler(inputCols=["_arm", *names], outputCol=to).transform(rows.withColumn("_arm", arm)).drop("_arm")
 
-    ready = cut(at(at(at(given, F.col("t"), "_seen"), F.lit(0.0), "_at0"), F.lit(1.0), "_at1"))
-    parts = []
+    cells = parts.groupBy(*cell).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
+    cells = VectorAssembler(inputCols=names, outputCol="_x").transform(cells)
+    cells = cut(at(at(at(cells, F.col("t"), "_seen"), F.lit(0.0), "_at0"), F.lit(1.0), "_at1"))
+    fitted = []
     for k in range(folds):
-        train, test = ready.filter(F.col("_fold") != k), ready.filter(F.col("_fold") == k)
-        odds = GBTClassifier(featuresCol="_x", labelCol="t", maxIter=rounds, maxDepth=3, seed=seed).fit(train)
-        mean = GBTRegressor(featuresCol="_seen", labelCol="y", maxIter=rounds, maxDepth=3, seed=seed).fit(train)
+        train, test = cells.filter(F.col("_fold") != k), cells.filter(F.col("_fold") == k)
+        odds = GBTClassifier(featuresCol="_x", labelCol="t", weightCol="w", maxIter=rounds, maxDepth=3, seed=seed).fit(train)
+        mean = GBTRegressor(featuresCol="_seen", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=3, seed=seed).fit(train)
         for arm in (0, 1):
             test = mean.setFeaturesCol(f"_at{arm}").setPredictionCol(f"m{arm}").transform(test)
         e = F.greatest(F.least(vector_to_array("probability")[1], F.lit(1 - clip)), F.lit(clip))
-        parts.append(odds.transform(test).withColumn("e", e).select(*row_id, "_x", F.expr("m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e)").alias("psi")))
-    scores = cut(reduce(DataFrame.unionByName, parts))
-    forest = RandomForestRegressor(featuresCol="_x", labelCol="psi", predictionCol="effect", numTrees=trees, maxDepth=5, subsamplingRate=0.5, minInstancesPerNode=int(min(max(10, n // 30), 2**31 - 1)), seed=seed).fit(scores)
-    effects = forest.transform(scores)
+        # the score is m1 - m0 + t (y - m1) / e - (1 - t) (y - m0) / (1 - e): in a cell a line over y
+        line = [F.expr("m1 - m0 - t * m1 / e + (1 - t) * m0 / (1 - e)").alias("_base"), F.expr("t / e - (1 - t) / (1 - e)").alias("_slope")]
+        fitted.append(odds.transform(test).withColumn("e", e).select(*cell, "_x", *line))
+    scores = parts.join(reduce(DataFrame.unionByName, fitted), cell).withColumn("psi", F.col("_base") + F.col("_slope") * F.col("y")).withColumn("_off", F.col("_slope") * F.col("_slope") * F.col("_off"))
+    # in a fixed order, as bags are drawn row by row
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scores = cut(scores.repartition(tasks, *cell, "_part").sortWithinPartitions(*cell, "_part"))
+    least = min(0.49, max(10, n // 30) / n)
+    forest = RandomForestRegressor(featuresCol="_x", labelCol="psi", weightCol="w", predictionCol="effect", numTrees=trees, maxDepth=5, subsamplingRate=0.5, minWeightFractionPerNode=least, seed=seed).fit(scores)
+    effects = forest.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(scores.groupBy(*names).agg(F.sum("w").alias("w"))))
     places = {f"q{i}": (F.col("n") - 1) * (0.05 + 0.1 * i) for i in range(10)}
     picks = {f"{k}_{side}": f(v) for k, v in places.items() for side, f in (("low", F.floor), ("high", F.ceil))}
-    found = order_statistics(effects, "effect", picks, [F.col(c) for c in row_id])
+    found = order_statistics(effects, "effect", picks, "w")
     cate = F.array(*[F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * (v - F.floor(v)) for k, v in places.items()])
-    half = 1.96 * F.stddev("psi") / F.sqrt(F.count("*"))
-    one = effects.agg(F.avg("effect").alias("point"), half.alias("h"))
+    centre = scores.agg((F.sum(F.col("w") * F.col("psi")) / n).alias("_mean"))
+    squares = scores.join(F.broadcast(centre)).agg(F.sum(F.col("w") * F.pow(F.col("psi") - F.col("_mean"), 2) + F.col("_off")).alias("_squares"))
+    half = (1.96 * F.sqrt(F.col("_squares") / (n - 1)) / F.sqrt(F.lit(n))).alias("h")
+    one = effects.agg((F.sum(F.col("w") * F.col("effect")) / n).alias("point")).crossJoin(squares.select(half))
     return one.crossJoin(found.select("n", cate.alias("cate"))).select(F.lit("forest_dr").alias("method"), "point", (F.col("point") - F.col("h")).alias("ci_lower"), (F.col("point") + F.col("h")).alias("ci_upper"), "n", "cate")
 
 

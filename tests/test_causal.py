@@ -1,6 +1,7 @@
 """Effect estimates on made processes with known effects."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lakeguard.operators import causal as C
@@ -87,3 +88,32 @@ def test_unit_root_of_short_and_constant_series(spark):
     for rows in ([(i, 1.0) for i in range(50)], [(i, float(i % 3)) for i in range(20)], []):
         found = C.unit_root(spark.createDataFrame(rows, "i int, v double"), "v", [F.col("i")]).first()
         assert found.t is None and found.stationary and found.n == len(rows)
+
+
+def test_order_statistics_of_frequent_values(spark):
+    """Half of the rows have one value; a weight stands for as many rows."""
+    from lakeguard.functions.ranking import order_statistics
+
+    values = [7.0] * 500 + [float(i) for i in range(400)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    n = F.col("n")
+    picks = {"a": F.lit(0), "b": F.floor(n / 2), "c": n - 1, "d": F.floor(n * 0.25)}
+    want = sorted(v for v in values if v is not None)
+    assert order_statistics(df, "v", picks).first().asDict() == {"a": want[0], "b": want[450], "c": want[899], "d": want[225], "n": 900}
+    assert order_statistics(df.groupBy("v").agg(F.count("*").alias("w")), "v", picks, "w").first().n == 900
+    assert "_k" in str(order_statistics(df, "v", picks)._jdf.queryExecution().analyzed().toString())
+
+
+def test_forest_works_on_cells_of_equal_rows(spark, monkeypatch):
+    """Rows of few different confounders are summed up before anything is fitted; the interval is that of the single rows."""
+    rows = []
+    monkeypatch.setattr(C, "cut", lambda df, keep=C.cut: rows.append((out := keep(df)).count()) or out)
+    df = made(spark).withColumn("x", F.round("x").cast("double"))
+    many = df.unionByName(df.withColumn("id", F.col("id") + 100_000)).unionByName(df.withColumn("id", F.col("id") + 200_000))
+    monkeypatch.setattr(C, "CELL_PARTS", 8)
+    found = C.forest_effect(many, "t", "y", ["x"], ["id"], rounds=4, trees=8).first()
+    assert found.n == 12_000 and max(rows) < 600
+    assert found.ci_lower < found.point < found.ci_upper and abs(found.point - 1.5) < 0.4
+    monkeypatch.setattr(C, "CELL_PARTS", 1_000_000)
+    single = C.forest_effect(many, "t", "y", ["x"], ["id"], rounds=4, trees=8).first()
+    assert single.ci_upper - single.ci_lower == pytest.approx(found.ci_upper - found.ci_lower, rel=1e-9)
