@@ -140,6 +140,12 @@ def verify_chain(ledger: DataFrame) -> DataFrame:
     return checked.withColumn("problem", problem).filter("problem IS NOT NULL").select("tenant", "seq", "problem")
 
 
+def spread(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """The same rows dealt over all tasks, such as those of chains, each of which is in one."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *by)
+
+
 def merkle_levels(leaves: DataFrame, key: str, index: str, value: str) -> list[DataFrame]:
     """Levels (key, idx, h) from the leaves' hashes up to one root for each key; an odd last node moves up as it is.
 
@@ -147,7 +153,8 @@ def merkle_levels(leaves: DataFrame, key: str, index: str, value: str) -> list[D
     kept, so that no branch computes the chain again.
     """
     level = leaves.select(F.col(key).alias("key"), F.col(index).cast("long").alias("idx"), F.sha2(F.concat(F.unhex(F.lit("00")), F.col(value).cast("binary")), 256).alias("h"))
-    level = cut(level)
+    # a chain leaves all rows of a key in one task: neighbours are dealt in runs, which keep most pairs of the lower levels together
+    level = cut(spread(level, "key", F.shiftright("idx", 10)))
     out = [level]
     n = level.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     while n > 1:

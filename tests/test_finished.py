@@ -170,3 +170,12 @@ def test_nearest_does_not_compare_pair_by_pair(spark):
     df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "vec_id long, e array<double>")
     plan = V.knn(df, df, 3)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_leaves_of_one_chain_are_dealt_over_all_tasks(spark):
+    """A tenant's records leave the chain in one task; the levels above it and the proofs have them in all."""
+    df = spark.range(20_000).select(F.lit("t").alias("tenant"), "id", F.col("id").cast("string").alias("payload"))
+    chain = A.append(df, "tenant", ["id"], "payload").withColumn("i", F.col("seq") - 1)
+    leaves = A.merkle_levels(chain, "tenant", "i", "record_hash")[0]
+    sizes = [r["count"] for r in leaves.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 15_000
