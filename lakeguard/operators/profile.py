@@ -57,10 +57,12 @@ def profile_table(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     """count, mean, min, max, range, sample deviation, median and quartiles by position in the sorted column."""
     n = F.col("n")
-    picks = {"p25": F.greatest(F.lit(0), F.floor(n * 0.25) - 1), "p75": F.least(n - 1, F.floor(n * 0.75))}
-    quarters = order_statistics(df, column, picks).drop("n")
+    picks = {"p25": F.greatest(F.lit(0), F.floor(n * 0.25) - 1), "p75": F.least(n - 1, F.floor(n * 0.75)), "_low": F.floor((n - 1) / 2), "_high": F.ceil((n - 1) / 2)}
+    # the median by position too: as an aggregate it sends all of a task's values to one task
+    middle = (F.col("_low").cast("double") + F.col("_high").cast("double")) / 2
+    quarters = order_statistics(df, column, picks).select(middle.alias("median"), "p25", "p75")
     c = F.col(column)
-    rest = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), (F.max(c) - F.min(c)).alias("range"), F.stddev(c).alias("std"), F.median(c).alias("median"))
+    rest = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), (F.max(c) - F.min(c)).alias("range"), F.stddev(c).alias("std"))
     return rest.join(F.broadcast(quarters))
 
 

@@ -117,3 +117,12 @@ def test_forest_works_on_cells_of_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(C, "CELL_PARTS", 1_000_000)
     single = C.forest_effect(many, "t", "y", ["x"], ["id"], rounds=4, trees=8).first()
     assert single.ci_upper - single.ci_lower == pytest.approx(found.ci_upper - found.ci_lower, rel=1e-9)
+
+
+def test_describe_sorts_for_the_median(spark):
+    """No aggregate holds all values of a column."""
+    from lakeguard.operators.profile import describe_numeric
+
+    df = spark.createDataFrame([(float(v),) for v in (5, 1, 4, 2)], "v double")
+    found = describe_numeric(df, "v")
+    assert found.first()["median"] == 3.0 and "median(" not in found._jdf.queryExecution().analyzed().toString()
