@@ -67,12 +67,21 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
 
 
 def classify_columns(df: DataFrame) -> DataFrame:
-    """Each column as id, numeric, date, categorical or text, by its name, values and number of distinct ones."""
-    shares = []
-    for c in df.columns:
-        s = F.col(f"`{c}`").cast("string")
-        shares.append(F.struct(F.lit(c).alias("column"), F.count(s).alias("n"), F.count_distinct(s).alias("d"), F.count_if(s.try_cast("double").isNotNull()).alias("num"), F.count_if(s.rlike(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{2,4}")).alias("dates")))
-    one = df.agg(F.array(*shares).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    """Each column as id, numeric, date, categorical or text, by its name, values and number of distinct ones.
+
+    Rows are dealt over all tasks before values are counted, as a task that reads a file would hold
+    all the values of its columns.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = _long(df.repartition(tasks), df.columns, "column", "s").groupBy("column", "s").agg(F.count("s").alias("k"))
+    number, date = F.col("s").try_cast("double").isNotNull(), F.col("s").rlike(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{2,4}")
+
+    def rows(held: Column) -> Column:
+        return F.coalesce(F.sum(F.when(held, F.col("k"))), F.lit(0))
+
+    found = values.groupBy("column").agg(F.sum("k").alias("n"), F.count("s").alias("d"), rows(number).alias("num"), rows(date).alias("dates"))
+    columns = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")  # a table without rows has them, too
+    one = columns.join(F.broadcast(found), "column", "left").na.fill(0, ["n", "d", "num", "dates"])
     name = F.lower("column")
     is_id = name.rlike("(^|_)(id|key|uuid)$|key$") & (F.col("d") >= 0.9 * F.col("n"))
     kind = F.when(is_id, "id").when(F.col("dates") >= 0.8 * F.col("n"), "date").when(F.col("num") >= 0.8 * F.col("n"), "numeric").when((F.col("d") <= 50) | (F.col("d") <= 0.05 * F.col("n")), "categorical").otherwise("text")

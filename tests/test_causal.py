@@ -126,3 +126,13 @@ def test_describe_sorts_for_the_median(spark):
     df = spark.createDataFrame([(float(v),) for v in (5, 1, 4, 2)], "v double")
     found = describe_numeric(df, "v")
     assert found.first()["median"] == 3.0 and "median(" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_classes_without_an_expansion_of_rows(spark):
+    from lakeguard.operators.profile import classify_columns
+
+    df = spark.createDataFrame([(i, f"n{i}", "2024-01-01", None) for i in range(60)], "a_id int, name string, day string, none string")
+    found = classify_columns(df)
+    assert {r.column: r.kind for r in found.collect()} == {"a_id": "id", "name": "text", "day": "date", "none": "date"}
+    assert {r.column for r in classify_columns(df.filter("false")).collect()} == set(df.columns)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
