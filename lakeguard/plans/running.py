@@ -100,10 +100,10 @@ def _late(spark: SparkSession, sf: str, allowed: str) -> tuple[S.LateState, str]
     """A stream of the events that runs over the first part, stops, and goes on with the others; its state and its late rows."""
     df, part = _arrivals(spark, sf)
     path, checkpoint, late, on_time = (shared_path(spark, f"late-{x}") for x in ("in", "offsets", "rows", "on-time"))
-    state = S.LateState(shared_path(spark, "late-state"), keep=2)
+    state, files = S.LateState(shared_path(spark, "late-state"), keep=2), _files(df, part)
     for parts in (range(1), range(1, 3)):
-        _write_parts(df, part, parts, path)
-        S.late_stream(_stream(spark, path, EVENTS), state, checkpoint, ["arrived", "event_id"], "5 minutes", allowed, "1 hour", "value", W.file_sink(on_time, "parquet"), W.file_sink(late, "parquet")).awaitTermination()
+        _write_parts(df, part, parts, path, files)
+        S.late_stream(_stream(spark, path, EVENTS, files), state, checkpoint, ["arrived", "event_id"], "5 minutes", allowed, "1 hour", "value", W.file_sink(on_time, "parquet"), W.file_sink(late, "parquet")).awaitTermination()
     return state, late
 
 

@@ -292,3 +292,14 @@ def test_state_holds_a_row_for_a_bucket_not_for_a_key(spark, tmp_path):
     panes(spark, tmp_path, S.at_watermark(), [rows], "rows")
     state = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "state-rows"))
     assert 0 < state.count() <= S.BUCKETS
+
+
+def test_larger_parts_have_more_files(spark, monkeypatch):
+    """As many for each part, by the smallest; small tables keep two."""
+    from lakeguard.plans import running
+
+    df = spark.range(100)
+    part = F.when(F.col("id") < 40, 0).otherwise(1)
+    assert running._files(df, part) == 2
+    monkeypatch.setattr(running, "FILE_ROWS", 5)
+    assert running._files(df, part) == 8
