@@ -93,9 +93,17 @@ def order_statistics(df: DataFrame, value: str, picks: dict[str, Column], weight
     return run.join(F.broadcast(total)).agg(*[F.max(F.when(hit(p), F.col("_v"))).alias(k) for k, p in picks.items()], F.max("n").alias("n"))
 
 
-def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """n, sums (s_a) and sums of products (p_a_b) of complete rows in one aggregation."""
+def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """n, sums (s_a) and sums of products (p_a_b) of complete rows in one aggregation; with ``weight`` a row stands for so many."""
     full = df.na.drop(subset=list(columns))
-    sums = [F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in columns]
-    products = [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"p_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
-    return full.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
+    many = F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0.0))
+
+    def value(c: str) -> Column:
+        return F.col(c).cast("double")
+
+    def times(c: str) -> Column:
+        return value(c) if weight is None else F.col(weight) * value(c)
+
+    sums = [F.sum(times(c)).alias(f"s_{c}") for c in columns]
+    products = [F.sum(times(a) * value(b)).alias(f"p_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
+    return full.groupBy(*keys).agg(many.alias("n"), *sums, *products)

@@ -89,51 +89,72 @@ def propensity(df: DataFrame, treatment: str, confounders: Sequence[str], clip:
     return model.transform(ready).withColumn("propensity", e).drop("_x", "_p", "rawPrediction", "prediction")
 
 
+def summed_up(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int, parts: int = 1) -> tuple[DataFrame, list[str]]:
+    """Cells (_fold, t, confounders, _part) with the number w of their rows, their mean outcome y and its squares _off about that mean; and the confounders' names there.
+
+    Rows are read once, and the cells are kept.  Folds follow a hash of the row's id, another one deals a cell's
+    rows into ``parts``.  Rows with a null take no part.
+    """
+    names = [f"_c{i}" for i in range(len(confounders))] or ["_none"]
+    dealt = [F.pmod(F.xxhash64(*row_id), F.lit(folds)).alias("_fold"), F.pmod(F.xxhash64(F.lit("part"), *row_id), F.lit(parts)).alias("_part")]
+    values = [F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(confounders)], F.lit(0.0).alias("_none")]
+    known = df.na.drop(subset=[treatment, outcome, *confounders]).select(*dealt, *values)
+    return cut(known.groupBy("_fold", "t", *names, "_part").agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("y"), (F.var_pop("y") * F.count("*")).alias("_off"))), names
+
+
 def cross_fitted(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2, clip: float = 0.025) -> DataFrame:
-    """(t, y, e, m0, m1): clipped logistic propensity and linear outcomes by arm of each row, fitted on the other folds.
+    """(t, y, w, _off, e, m0, m1): clipped logistic propensity and linear outcomes by arm of each cell of equal rows, fitted on the other folds.
 
-    Folds follow a hash of the row's id.
+    A cell stands for ``w`` rows with the mean outcome ``y`` and the squares ``_off`` about it: both models need no
+    more of rows with equal confounders.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    make = VectorAssembler(inputCols=list(confounders), outputCol="_x", handleInvalid="skip")
-    ready = make.transform(df.withColumn(treatment, F.col(treatment).cast("double")).withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds))))
-    columns = [*confounders, outcome]
-    parts = []
+    cells, names = summed_up(df, treatment, outcome, confounders, row_id, folds)
+    ready = VectorAssembler(inputCols=names, outputCol="_x").transform(cells)
+    columns = [*names, "y"]
+    fitted = []
     for k in range(folds):
         train, test = ready.filter(F.col("_fold") != k), ready.filter(F.col("_fold") == k)
-        model = LogisticRegression(featuresCol="_x", labelCol=treatment, probabilityCol="_p").fit(train)
+        model = LogisticRegression(featuresCol="_x", labelCol="t", weightCol="w", probabilityCol="_p").fit(train)
         means = {}
         for arm in (0, 1):
-            m, _ = _matrix(moments(train.filter(F.col(treatment) == arm), columns).first().asDict(), columns)
+            m, _ = _matrix(moments(train.filter(F.col("t") == arm), columns, weight="w").first().asDict(), columns)
             beta = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
-            means[arm] = sum((F.col(c) * float(b) for c, b in zip(confounders, beta[1:], strict=True)), F.lit(float(beta[0])))
+            means[arm] = sum((F.col(c) * float(b) for c, b in zip(names, beta[1:], strict=True)), F.lit(float(beta[0])))
         e = F.greatest(F.least(vector_to_array("_p")[1], F.lit(1 - clip)), F.lit(clip))
-        parts.append(model.transform(test).select(F.col(treatment).alias("t"), F.col(outcome).cast("double").alias("y"), e.alias("e"), means[0].alias("m0"), means[1].alias("m1")))
-    return reduce(DataFrame.unionByName, parts)
+        fitted.append(model.transform(test).select("t", "y", "w", "_off", e.alias("e"), means[0].alias("m0"), means[1].alias("m1")))
+    return reduce(DataFrame.unionByName, fitted)
 
 
-def _interval(rows: DataFrame, influence: str, method: str) -> DataFrame:
-    """The mean of a column with its normal interval."""
-    one = rows.agg(F.avg(influence).alias("point"), (1.96 * F.stddev(influence) / F.sqrt(F.count("*"))).alias("h"), F.count("*").alias("n"))
-    return one.select(F.lit(method).alias("method"), "point", (F.col("point") - F.col("h")).alias("ci_lower"), (F.col("point") + F.col("h")).alias("ci_upper"), "n")
+def _interval(cells: DataFrame, influence: str, slope: str, method: str) -> DataFrame:
+    """The mean of a column over all rows with its normal interval; inside a cell the column is a line over the outcome."""
+    mean = cells.agg(F.try_divide(F.sum(F.col("w") * F.col(influence)), F.sum("w")).alias("point"), F.sum("w").cast("long").alias("n"))
+    gap = F.col(influence) - F.col("point")
+    squares = F.sum(F.col("w") * gap * gap + F.col(slope) * F.col(slope) * F.col("_off"))
+    one = cells.join(F.broadcast(mean)).groupBy("point", "n").agg(squares.alias("_squares"))
+    half = one.withColumn("h", 1.96 * F.sqrt(F.try_divide("_squares", F.col("n") - 1)) / F.sqrt("n"))
+    return half.select(F.lit(method).alias("method"), "point", (F.col("point") - F.col("h")).alias("ci_lower"), (F.col("point") + F.col("h")).alias("ci_upper"), "n")
 
 
 def doubly_robust(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2) -> DataFrame:
-    """Cross-fitted AIPW."""
-    rows = cross_fitted(df, treatment, outcome, confounders, row_id, folds)
-    return _interval(rows.withColumn("psi", F.expr("m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e)")), "psi", "aipw")
+    """Cross-fitted AIPW.  Rows with a null take no part."""
+    cells = cross_fitted(df, treatment, outcome, confounders, row_id, folds).withColumn("h", F.expr("t / e - (1 - t) / (1 - e)"))
+    return _interval(cells.withColumn("psi", F.expr("m1 - m0 + h * (y - if(t = 1, m1, m0))")), "psi", "h", "aipw")
 
 
 def tmle(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: Sequence[str], folds: int = 2) -> DataFrame:
-    """Targeted maximum likelihood: outcomes moved by one step along the clever covariate, interval from the influence curve."""
-    rows = cross_fitted(df, treatment, outcome, confounders, row_id, folds).withColumn("h", F.expr("t / e - (1 - t) / (1 - e)")).withColumn("r", F.expr("y - if(t = 1, m1, m0)"))
-    step = rows.agg(F.coalesce(F.try_divide(F.sum(F.col("h") * F.col("r")), F.sum(F.col("h") * F.col("h"))), F.lit(0.0)).alias("eps"))
-    moved = rows.join(F.broadcast(step)).withColumn("gap", F.expr("m1 - m0 + eps / e + eps / (1 - e)"))
+    """Targeted maximum likelihood: outcomes moved by one step along the clever covariate, interval from the influence curve.
+
+    Rows with a null take no part.
+    """
+    cells = cross_fitted(df, treatment, outcome, confounders, row_id, folds).withColumn("h", F.expr("t / e - (1 - t) / (1 - e)")).withColumn("r", F.expr("y - if(t = 1, m1, m0)"))
+    step = cells.agg(F.coalesce(F.try_divide(F.sum(F.expr("w * h * r")), F.sum(F.expr("w * h * h"))), F.lit(0.0)).alias("eps"))
+    moved = cells.join(F.broadcast(step)).withColumn("gap", F.expr("m1 - m0 + eps / e + eps / (1 - e)"))
     # the targeted residuals weigh to zero, so the mean of the influence curve is the estimate
-    return _interval(moved.withColumn("ic", F.expr("gap + h * (r - eps * h)")), "ic", "tmle")
+    return _interval(moved.withColumn("ic", F.expr("gap + h * (r - eps * h)")), "ic", "h", "tmle")
 
 
 #: Parts into which the rows of a cell (fold, treatment, confounders) are dealt; a forest's bags are drawn of these.
@@ -156,11 +177,8 @@ def forest_effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequ
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    known = df.na.drop(subset=[treatment, outcome, *confounders]).select(*row_id, F.col(treatment).cast("double").alias("t"), F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(confounders)], F.lit(0.0).alias("_none"))
-    names = [f"_c{i}" for i in range(len(confounders))] or ["_none"]
+    parts, names = summed_up(df, treatment, outcome, confounders, row_id, folds, CELL_PARTS)
     cell = ["_fold", "t", *names]
-    dealt = known.withColumn("_fold", F.pmod(F.xxhash64(*row_id), F.lit(folds))).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), *row_id), F.lit(CELL_PARTS)))
-    parts = cut(dealt.groupBy(*cell, "_part").agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("y"), (F.var_pop("y") * F.count("*")).alias("_off")))
     n, treated = parts.agg(F.coalesce(F.sum("w"), F.lit(0.0)).cast("long"), F.coalesce(F.sum(F.col("w") * F.col("t")), F.lit(0.0))).first()
     spark, schema = df.sparkSession, f"{RESULT}, cate array<double>"
     if min(treated, n - treated) < 2 * folds:

@@ -136,3 +136,57 @@ def test_classes_without_an_expansion_of_rows(spark):
     assert {r.column: r.kind for r in found.collect()} == {"a_id": "id", "name": "text", "day": "date", "none": "date"}
     assert {r.column for r in classify_columns(df.filter("false")).collect()} == set(df.columns)
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def by_rows(rows, folds):
+    """TMLE and AIPW of (fold, t, y, x) by plain sums over single rows: (point, half width) each."""
+    fold, t, y, x = (np.array(c, float) for c in zip(*rows, strict=True))
+    z = np.column_stack([np.ones(len(x)), x])
+    e, m0, m1 = (np.zeros(len(x)) for _ in range(3))
+    for k in range(folds):
+        train, test = fold != k, fold == k
+        b = np.zeros(2)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z[train] @ b))
+            b += np.linalg.solve((z[train] * (p * (1 - p))[:, None]).T @ z[train], z[train].T @ (t[train] - p))
+        e[test] = np.clip(1 / (1 + np.exp(-z[test] @ b)), 0.025, 0.975)
+        for arm, m in ((0, m0), (1, m1)):
+            own = train & (t == arm)
+            m[test] = z[test] @ np.linalg.lstsq(z[own], y[own], rcond=None)[0]
+    h, r = t / e - (1 - t) / (1 - e), y - np.where(t == 1, m1, m0)
+    eps = (h * r).sum() / (h * h).sum()
+    curves = {"tmle": m1 - m0 + eps / e + eps / (1 - e) + h * (r - eps * h), "aipw": m1 - m0 + h * r}
+    return {k: (v.mean(), 1.96 * v.std(ddof=1) / np.sqrt(len(v))) for k, v in curves.items()}
+
+
+def test_cross_fits_read_rows_once_and_meet_brute_force(spark):
+    """Targeted and doubly robust estimates fit cells, with the numbers of single rows; a null takes no part."""
+    df = made(spark, 2000).withColumn("x", F.round("x", 1).cast("double")).select("id", "t", "x", "y")
+    odd = spark.createDataFrame([(10_001, 1, None, 1.0), (10_002, 0, 1.0, None), (10_003, 1, float("nan"), 2.0), (10_004, 0, 0.5, float("nan"))], "id long, t int, x double, y double")
+    rows = df.select(F.pmod(F.xxhash64("id"), F.lit(3)), "t", "y", "x").collect()
+    expected = by_rows(rows, 3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = df.unionByName(odd).mapInArrow(counted, "id long, t int, x double, y double")
+    for method, f in (("tmle", C.tmle), ("aipw", C.doubly_robust)):
+        seen.value = 0
+        found = f(df, "t", "y", ["x"], ["id"], 3).first()
+        assert seen.value == len(rows) + 4, method
+        point, half = expected[method]
+        assert found.method == method and found.n == 2000
+        assert found.point == pytest.approx(point, abs=1e-5) and (found.ci_upper - found.ci_lower) / 2 == pytest.approx(half, rel=1e-4)
+
+
+def test_cross_fits_without_confounders_or_with_unique_ones(spark):
+    df = made(spark)
+    plain = C.tmle(df, "t", "y", [], ["id"]).first()
+    means = {r.t: r.m for r in df.groupBy("t").agg(F.avg("y").alias("m")).collect()}
+    assert plain.n == 4000 and plain.point == pytest.approx(means[1] - means[0], abs=0.02)
+    expected = by_rows(df.select(F.pmod(F.xxhash64("id"), F.lit(2)), "t", "y", "x").collect(), 2)
+    single = C.tmle(df, "t", "y", ["x"], ["id"]).first()
+    assert single.point == pytest.approx(expected["tmle"][0], abs=1e-5) and (single.ci_upper - single.ci_lower) / 2 == pytest.approx(expected["tmle"][1], rel=1e-4)
