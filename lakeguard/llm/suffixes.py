@@ -63,14 +63,33 @@ _POWERS = np.array([1 << 8 * k for k in range(1, 8)], _U)
 _ODD, _MORE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
+#: Made once, as many of a task's blobs are small.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _zip(raw: bytes) -> bytes:
+    return _ZIP.compress(raw)
+
+
+def _unzip(blob: bytes) -> bytes:
+    return _UNZIP.decompress(blob)
+
+
+def _places(x: np.ndarray) -> bytes:
+    """An array's bytes by their places in a number."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    """An array's bytes by their places in a number, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    return _zip(_places(x))
 
 
 def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return _numbers(_unzip(blob), kind)
 
 
 def _eights(raw: np.ndarray) -> np.ndarray:
@@ -80,18 +99,23 @@ def _eights(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
+def _gram(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of 16 bytes, given as two numbers."""
+    y = high * _ODD
+    y ^= y >> _U(32)
+    y *= _MORE
+    y ^= y >> _U(29)
+    y ^= low
+    return mix(y)
+
+
 def grams(raw: np.ndarray) -> np.ndarray:
     """Hashes of the 16 bytes from each place on."""
     n = len(raw) - GRAM + 1
     if n <= 0:
         return np.zeros(0, _U)
     eight = _eights(raw)
-    y = eight[8 : 8 + n] * _ODD
-    y ^= y >> _U(32)
-    y *= _MORE
-    y ^= y >> _U(29)
-    y ^= eight[:n]
-    return mix(y)
+    return _gram(eight[:n], eight[8 : 8 + n])
 
 
 def _digest(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
@@ -102,11 +126,21 @@ def _digest(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarr
     return out
 
 
+def _digest_at(eight: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
+    """The same of few places, without the hashes of all."""
+    out = mix((end - start).astype(_U) * _ODD + (at - start).astype(_U))
+    for o in range(0, longest, GRAM):
+        place = np.minimum(start + o, end - GRAM)
+        out = mix(out * _ODD + _gram(eight[place], eight[place + 8]))
+    return out
+
+
 class Samples:
     """The anchors of a block's texts: where they are, the windows that chose them, and hashes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int, contexts: bool = True) -> None:
         self.window, self.raw = window, raw
+        self._eight: np.ndarray | None = None
         found: list[list[np.ndarray]] = [[], [], [], [], []]
         for i, j in slices(offsets, _SLICE):
             base, first = offsets[i], offsets[i : j + 1] - offsets[i]
@@ -121,7 +155,7 @@ class Samples:
             anchor = least[valid]
             breaks = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1))))
             lo, hi, at = valid[breaks], valid[np.append(breaks[1:], len(valid)) - 1], anchor[breaks]
-            context = _digest(hashes, lo, hi + window, at, 2 * window - GRAM)
+            context = _digest(hashes, lo, hi + window, at, 2 * window - GRAM) if contexts else at[:0].view(_U)
             for held, x in zip(found, (lo + base, hi + base, at + base, mix(hashes[at] ^ _MORE), context), strict=True):
                 held.append(x)
         none = np.zeros(0, np.int64)
@@ -130,6 +164,12 @@ class Samples:
         self.h, self.c = (np.concatenate((none.view(_U), *x)) for x in found[3:])
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
 
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows from these places on."""
+        if self._eight is None:
+            self._eight = _eights(self.raw)
+        return _digest_at(self._eight, at, at + self.window, at, self.window)
+
     def singles(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sample, window, digest) of every window of the chosen samples."""
         counts = self.hi[chosen] - self.lo[chosen] + 1
@@ -137,10 +177,7 @@ class Samples:
         at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + self.lo[of]
         digests = np.zeros(len(of), _U)
         for i in range(0, len(of), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            spread = self.raw[some[:, None] + np.arange(self.window)].ravel()
-            begin = np.arange(len(some)) * self.window
-            digests[i : i + len(some)] = _digest(grams(spread), begin, begin + self.window, begin, self.window)
+            digests[i : i + (1 << 16)] = self.digests(at[i : i + (1 << 16)])
         return of, at, digests
 
 
@@ -199,7 +236,7 @@ def _sent_anchors(blocks: DataFrame, window: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, _, _, raw, offsets in _opened(batch):
-                keys, counts = np.unique(Samples(raw, offsets, window).h >> _U(64 - _BITS), return_counts=True)
+                keys, counts = np.unique(Samples(raw, offsets, window, False).h >> _U(64 - _BITS), return_counts=True)
                 of = _ranged(keys << _U(64 - _BITS), ranges)
                 often = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
                 edges = np.flatnonzero(np.diff(of, prepend=-1, append=-2)) if len(of) else np.zeros(1, np.int64)
@@ -265,7 +302,8 @@ def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     return raw[at].tobytes()
 
 
-_RUN = "part int, hot boolean, blk long, shared binary, size binary, before binary, docs binary, rest binary, left binary"
+#: numbers: of each suffix the prefix it shares, its size, the bytes before it and the document; texts: the bytes that differ, then those before.
+_RUN = "part int, hot boolean, blk long, numbers binary, texts binary"
 
 
 def _sorted_runs(joined: DataFrame, window: int, ranges: int, parts: int) -> DataFrame:
@@ -276,27 +314,26 @@ def _sorted_runs(joined: DataFrame, window: int, ranges: int, parts: int) -> Dat
         order, shared = _sort(raw, at, end - at, part, window)
         start, at, end, docs, part = (x[order] for x in (start, at, end, docs, part))
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-2))
-        out: list[list] = [[] for _ in range(7)]
-        pack = zstandard.ZstdCompressor(level=1).compress
+        out: list[list] = [[], [], []]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own, lcp = slice(a, b), shared[a:b]
             rest = _gathered(raw, at[own] + lcp, end[own] - at[own] - lcp)
             left = _gathered(raw, start[own], at[own] - start[own])
-            made = (int(part[a]), _pack(lcp.astype(np.uint8)), _pack((end - at)[own].astype(np.uint8)), _pack((at - start)[own].astype(np.uint8)), _pack(docs[own]), pack(rest), pack(left))
-            for held, x in zip(out, made, strict=True):
+            counts = np.concatenate((lcp, end[own] - at[own], at[own] - start[own])).astype(np.uint8).tobytes()
+            for held, x in zip(out, (int(part[a]), _zip(counts + _places(docs[own])), _zip(rest + left)), strict=True):
                 held.append(x)
         n = len(out[0])
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([hot] * n), pa.array([blk] * n, pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["part", "hot", "blk", "shared", "size", "before", "docs", "rest", "left"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([hot] * n, pa.bool_()), pa.array([blk] * n, pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["part", "hot", "blk", "numbers", "texts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, ids, _, raw, offsets in _opened(batch):
                 blk, found = batch.column("blk")[r].as_py(), Samples(raw, offsets, window)
                 keys, inverse = np.unique(found.h >> _U(64 - _BITS), return_inverse=True)
-                of = _ranged(keys << _U(64 - _BITS), ranges)
+                edges = np.searchsorted(_ranged(keys << _U(64 - _BITS), ranges), np.arange(ranges + 1))
                 code = np.zeros(len(keys), np.uint8)
                 for reply in batch.column("replies")[r].as_py():
-                    code[of == reply["range"]] = _unpack(reply["codes"], np.uint8)
+                    code[edges[reply["range"]] : edges[reply["range"] + 1]] = _unpack(reply["codes"], np.uint8)
                 code = code[inverse]
                 doc = ids[found.doc]
                 once = np.flatnonzero(code == 1)
@@ -314,9 +351,19 @@ def _sorted_runs(joined: DataFrame, window: int, ranges: int, parts: int) -> Dat
 
 def _first(keys: np.ndarray, docs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct key one of its places, with the least document."""
-    order = np.lexsort((docs, keys))
-    begins = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-    return of[order[begins]], docs[order[begins]]
+    order, begins = _groups(keys)
+    return of[order[begins]], np.minimum.reduceat(docs[order], begins)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, equal ones as they came, and where in it each distinct key begins."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1])))
+
+
+def _sizes(begins: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(begins, n))
 
 
 def merged(heads: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -382,66 +429,157 @@ def merged(heads: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int]
     return order, prefix
 
 
-def _covered(parts: DataFrame, window: int) -> DataFrame:
-    """Rows (blk, hot, keys, what): digests of samples with the windows (bits: bytes before the anchor) that a smaller document has, or, if hot, of windows with the least document that has them."""
+def _decoded(shared: np.ndarray, size: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Front-coded strings as rows of bytes, with zeros behind up to whole eights."""
+    own = size - shared
+    begin = np.cumsum(own) - own - shared
+    out = np.zeros((-(-int(size.max()) // 8) * 8, len(size)), np.uint8)
+    row = np.arange(len(size))
+    for p in range(int(size.max())):
+        long = np.flatnonzero(size > p)
+        # the byte is that of the last string which did not take it from the one before
+        source = np.maximum.accumulate(np.where(shared <= p, row, 0))[long]
+        out[p, long] = rest[begin[source] + p]
+    return np.ascontiguousarray(out.T)
+
+
+def _hashed(texts: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes, a whole number of eights, and its seed."""
+    out = mix(seed.astype(_U) * _ODD)
+    for o in range(0, texts.shape[1], 8):
+        out = mix(out * _ODD + np.ascontiguousarray(texts[:, o : o + 8]).view(_U).reshape(-1))
+    return out
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        hot = key[1].as_py()
-        unpack = zstandard.ZstdDecompressor().decompress
-        heads, lcps, sizes, before, docs, lefts = [], [], [], [], [], []
-        for r in rows.select(["shared", "size", "before", "docs", "rest", "left"]).to_pylist():
-            lcp, size = _unpack(r["shared"], np.uint8), _unpack(r["size"], np.uint8)
-            rest, texts, last, i = unpack(r["rest"]), [], b"", 0
-            for p, s in zip(lcp.tolist(), size.tolist(), strict=True):
-                last = last[:p] + rest[i : i + s - p]
-                i += s - p
-                texts.append(last)
-            heads.append(texts)
-            lcps.append(lcp.tolist())
-            for held, x in zip((sizes, before, docs, lefts), (size, _unpack(r["before"], np.uint8), _unpack(r["docs"], np.int64), unpack(r["left"])), strict=True):
+
+class Runs:
+    """The sorted runs of a range: all their suffixes one after another, the equal ones known."""
+
+    def __init__(self, rows: pa.Table, window: int) -> None:
+        self.window = window
+        counts, docs, rests, lefts, sizes = [], [], [], [], []
+        for numbers, texts in zip(rows["numbers"].to_pylist(), rows["texts"].to_pylist(), strict=True):
+            raw, text = _unzip(numbers), _unzip(texts)
+            n = len(raw) // 11
+            three = np.frombuffer(raw, np.uint8, 3 * n).reshape(3, n)
+            cut = int(three[1].sum(dtype=np.int64) - three[0].sum(dtype=np.int64))
+            for held, x in zip((counts, docs, rests, lefts, sizes), (three, _numbers(raw[3 * n :], np.int64), text[:cut], text[cut:], n), strict=True):
                 held.append(x)
-        order, prefix = merged(heads, lcps)
-        run_of, lcp = np.array(order), np.array(prefix)
-        # places in the runs, one after another, in merged order
-        perm = np.argsort(np.argsort(run_of, kind="stable"), kind="stable")
-        size, back, doc = (np.concatenate(x)[perm].astype(np.int64) for x in (sizes, before, docs))
-        all_left = np.frombuffer(b"".join(lefts), np.uint8)
-        end_left = np.cumsum(np.concatenate(before).astype(np.int64))[perm]
-        mask, least = np.zeros(len(doc), _U), doc.copy()
-        seen = np.zeros(len(doc), _U)  # hash of the bytes before the anchor, so far
+        self.shared, self.size, self.back = np.concatenate(counts, axis=1).astype(np.int64)
+        self.doc = np.concatenate(docs)
+        #: suffixes of run r are edges[r] … edges[r + 1]
+        self.edges = np.concatenate(([0], np.cumsum(sizes)))
+        #: bytes before the anchor, which end at column ``middle``, and from the anchor on
+        self.middle = -(-(window - GRAM) // 8) * 8
+        suffixes = _decoded(self.shared, self.size, np.frombuffer(b"".join(rests), np.uint8))
+        self.texts = np.zeros((len(self.doc), self.middle + suffixes.shape[1]), np.uint8)
+        self.texts[:, self.middle :] = suffixes
+        column = np.repeat(self.middle - np.cumsum(self.back), self.back) + np.arange(int(self.back.sum()))
+        self.texts[np.repeat(np.arange(len(self.doc)), self.back), column] = np.frombuffer(b"".join(lefts), np.uint8)
+        #: string: the first suffix of equal bytes
+        order, begins = _groups(_hashed(suffixes, self.size))
+        ranked = suffixes[order]
+        first = np.zeros(len(order), bool)
+        first[begins] = True
+        same = np.flatnonzero(~first)
+        first[same] = (self.size[order[same]] != self.size[order[same - 1]]) | (ranked[same] != ranked[same - 1]).any(axis=1)
+        begins = np.flatnonzero(first)
+        self.string = np.empty(len(order), np.int64)
+        self.string[order] = np.repeat(order[begins], _sizes(begins, len(order)))
+        # samples: those of equal bytes before and from the anchor on, with their least document
+        order, begins = _groups(_hashed(self.texts[:, : self.middle], self.string << 7 | self.back))
+        self.sample = np.empty(len(order), np.int64)
+        self.sample[order] = np.repeat(np.arange(len(begins)), _sizes(begins, len(order)))
+        #: of each sample one suffix, and the least document
+        self.one, self.least = order[begins], np.minimum.reduceat(self.doc[order], begins)
+
+    def open(self) -> np.ndarray:
+        """Samples that may share a window with an unequal one.
+
+        A window has ``mid`` bytes before the anchor or at least window - mid + 1
+        from it on, so an equal one agrees in these.
+        """
+        mid, width = (self.window - GRAM) // 2, self.window - (self.window - GRAM) // 2 + 1
+        found = np.zeros(len(self.one), bool)
+        for begin, end, chosen in ((self.middle - mid, self.middle + GRAM, np.flatnonzero(self.back[self.one] >= mid)), (self.middle, self.middle + width, np.flatnonzero(self.size[self.one] >= width))):
+            if len(chosen):
+                part = np.zeros((len(chosen), -(-(end - begin) // 8) * 8), np.uint8)
+                part[:, : end - begin] = self.texts[self.one[chosen], begin:end]
+                order, begins = _groups(_hashed(part, np.zeros(len(chosen), _U)))
+                many = _sizes(begins, len(order))
+                found[chosen[order]] |= np.repeat(many > 1, many)
+        return np.flatnonzero(found)
+
+    def merge(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each of these strings in the order of all, prefix that each in order shares with the one before)."""
+        # what a string shares with the last one left of its run is the least of what lies between
+        shared = np.minimum.reduceat(self.shared[: strings[-1] + 1], np.concatenate(([0], strings[:-1] + 1)))
+        width = self.texts.shape[1] - self.middle
+        raw = self.texts[strings, self.middle :].tobytes()
+        texts = [raw[i : i + n] for i, n in zip(range(0, len(raw), width), self.size[strings].tolist(), strict=True)]
+        cuts = np.unique(np.searchsorted(strings, self.edges)).tolist()
+        lcp = shared.tolist()
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        run_of, prefix = merged([texts[a:b] for a, b in spans], [lcp[a:b] for a, b in spans])
+        return np.argsort(np.array(run_of), kind="stable"), np.array(prefix)
+
+    def masks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bits: bytes before the anchor of windows that a document below the sample's least has; least document that has any of its windows)."""
+        window, mask, least = self.window, np.zeros(len(self.one), _U), self.least.copy()
+        chosen = self.open()
+        if not len(chosen):
+            return mask, least
+        one, doc = self.one[chosen], self.least[chosen]
+        strings, of = np.unique(self.string[one], return_inverse=True)
+        place, prefix = self.merge(strings)
+        place, size, back = place[of], self.size[one], self.back[one]
+        seen = np.zeros(len(one), _U)  # hash of the bytes before the anchor, so far
         for t in range(window - GRAM + 1):
             if t:
                 far = np.flatnonzero(back >= t)
-                seen[far] = mix((seen[far] ^ all_left[end_left[far] - t]) * _ODD + _U(t))
+                seen[far] = mix((seen[far] ^ self.texts[one[far], self.middle - t]) * _ODD + _U(t))
             valid = np.flatnonzero((size >= window - t) & (back >= t))
             if not len(valid):
                 continue
             # the suffixes that share window - t bytes are neighbours in the array
-            group = mix(np.cumsum(lcp < window - t)[valid].astype(_U) * _ODD + seen[valid])
-            by = np.lexsort((doc[valid], group))
-            begins = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
+            order, begins = _groups(mix(np.cumsum(prefix < window - t)[place[valid]].astype(_U) * _ODD + seen[valid]))
             low = np.empty(len(valid), np.int64)
-            low[by] = np.repeat(doc[valid][by[begins]], np.diff(np.append(begins, len(by))))
-            mask[valid[low < doc[valid]]] |= _U(1 << t)
-            least[valid] = np.minimum(least[valid], low)
-        told = np.arange(len(doc)) if hot else np.flatnonzero(mask)
+            low[order] = np.repeat(np.minimum.reduceat(doc[valid][order], begins), _sizes(begins, len(order)))
+            mask[chosen[valid[low < doc[valid]]]] |= _U(1 << t)
+            least[chosen[valid]] = np.minimum(least[chosen[valid]], low)
+        return mask, least
+
+    def digests(self, samples: np.ndarray, longest: int) -> np.ndarray:
+        """The samples' hashes, as their blocks have them."""
+        out = np.zeros(len(samples), _U)
+        for i in range(0, len(samples), _TEXTS):
+            one = self.one[samples[i : i + _TEXTS]]
+            at = np.arange(len(one)) * self.texts.shape[1] + self.middle
+            out[i : i + _TEXTS] = _digest_at(_eights(self.texts[one].reshape(-1)), at - self.back[one], at + self.size[one], at, longest)
+        return out
+
+
+def _covered(parts: DataFrame, window: int) -> DataFrame:
+    """Rows (blk, hot, keys, what): digests of samples with the windows (bits: bytes before the anchor) that a smaller document has, or, if hot, of windows with the least document that has them."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        hot = key[1].as_py()
+        runs = Runs(rows, window)
+        mask, least = runs.masks()
+        # a suffix whose sample occurs in a smaller document loses all its windows
+        ones = _U(1)
+        whole = ((ones << (runs.back + 1).astype(_U)) - ones) & ~((ones << np.maximum(window - runs.size, 0).astype(_U)) - ones)
+        bits = np.where(runs.least[runs.sample] < runs.doc, whole, mask[runs.sample])
+        told = np.arange(len(runs.doc)) if hot else np.flatnonzero(bits)
         out: list[list] = [[], [], []]
         if len(told):
-            place = perm[told]
-            base = np.cumsum([len(h) for h in heads]) - [len(h) for h in heads]
-            keys = np.zeros(len(told), _U)
-            for i in range(0, len(told), _TEXTS):
-                some = slice(i, i + _TEXTS)
-                ends, backs, runs = end_left[told[some]], back[told[some]], run_of[told[some]]
-                texts = [all_left[e - n : e].tobytes() + heads[r][p] for e, n, r, p in zip(ends.tolist(), backs.tolist(), runs.tolist(), (place[some] - base[runs]).tolist(), strict=True)]
-                stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-                begins = stops - np.fromiter(map(len, texts), np.int64, len(texts))
-                keys[some] = _digest(grams(np.frombuffer(b"".join(texts), np.uint8)), begins, stops, begins + backs, window if hot else 2 * window - GRAM)
-            blk = rows["blk"].to_numpy()
-            for r in np.unique(run_of[told]).tolist():
-                own = run_of[told] == r
-                for held, x in zip(out, (int(blk[r]), _pack(keys[own]), _pack(least[told][own] if hot else signed(mask[told][own]))), strict=True):
-                    held.append(x)
+            samples, of = np.unique(runs.sample[told], return_inverse=True)
+            keys = runs.digests(samples, window if hot else 2 * window - GRAM)[of]
+            what = least[runs.sample[told]] if hot else signed(bits[told])
+            cuts = np.searchsorted(told, runs.edges).tolist()
+            for blk, a, b in zip(rows["blk"].to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    for held, x in zip(out, (blk, _pack(keys[a:b]), _pack(what[a:b])), strict=True):
+                        held.append(x)
         return pa.table({"blk": pa.array(out[0], pa.int64()), "hot": pa.array([hot] * len(out[0]), pa.bool_()), "keys": pa.array(out[1], pa.binary()), "what": pa.array(out[2], pa.binary())})
 
     return parts.groupBy("part", "hot").applyInArrow(run, "blk long, hot boolean, keys binary, what binary")
@@ -456,36 +594,34 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                 doc = ids[found.doc]
                 begins = np.zeros(len(raw) + 1, np.uint8)
                 # in the block: an equal sample of a smaller document
-                order = np.lexsort((doc, found.c))
-                c = found.c[order]
-                first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else order
+                order, first = _groups(found.c)
+                many = _sizes(first, len(order))
                 low = np.empty(len(doc), np.int64)
-                low[order] = np.repeat(doc[order[first]], np.diff(np.append(first, len(c))))
+                low[order] = np.repeat(np.minimum.reduceat(doc[order], first) if len(first) else doc, many)
                 mask = np.zeros(len(doc), _U)
                 whole = ((_U(1) << (found.at - found.lo + 1).astype(_U)) - _U(1)) & ~((_U(1) << (found.at - found.hi).astype(_U)) - _U(1))
                 mask[low < doc] = whole[low < doc]
-                distinct = c[first]
-                keys: list[np.ndarray] = []
-                least: list[np.ndarray] = []
+                keys: dict[bool, list] = {False: [np.zeros(0, _U)], True: [np.zeros(0, _U)]}
+                what: dict[bool, list] = {False: [np.zeros(0, np.int64)], True: [np.zeros(0, np.int64)]}
                 for reply in batch.column("replies")[r].as_py() or []:
-                    key = _unpack(reply["keys"], _U)
-                    if reply["hot"]:
-                        keys.append(key)
-                        least.append(_unpack(reply["what"], np.int64))
-                        continue
-                    bits = np.zeros(len(distinct) + 1, _U)
-                    at = np.searchsorted(distinct, key)
-                    bits[at] = _unpack(reply["what"], _U)
-                    # to all samples of that digest: the bits mean windows, which are the same in each
-                    mask[order] |= np.repeat(bits[:-1], np.diff(np.append(first, len(c)))) & whole[order]
+                    keys[reply["hot"]].append(_unpack(reply["keys"], _U))
+                    what[reply["hot"]].append(_unpack(reply["what"], np.int64))
+                # to all samples of a digest, those of all replies at once: the bits mean windows, which are the same in each
+                bits = np.zeros(len(first) + 1, _U)
+                bits[np.searchsorted(found.c[order[first]], np.concatenate(keys[False]))] = np.concatenate(what[False]).view(_U)
+                mask[order] |= np.repeat(bits[:-1], many) & whole[order]
+                some = np.flatnonzero(mask)
                 for t in range(window - GRAM + 1):
-                    begins[found.at[(mask >> _U(t) & _U(1)).astype(bool)] - t] = 1
-                if keys:
-                    key, limit = np.concatenate(keys), np.concatenate(least)
+                    begins[found.at[some[(mask[some] >> _U(t) & _U(1)).astype(bool)]] - t] = 1
+                key, limit = np.concatenate(keys[True]), np.concatenate(what[True])
+                if len(key):
                     by = np.argsort(key)
                     key, limit = key[by], limit[by]
-                    for i in range(0, len(found.at), 1 << 16):
-                        sample, at, digest = found.singles(np.arange(i, min(i + (1 << 16), len(found.at))))
+                    # equal windows have equal anchors, so all windows of a sample are among the keys or none
+                    lo = found.digests(found.lo)
+                    often = np.flatnonzero(key[np.minimum(np.searchsorted(key, lo), len(key) - 1)] == lo)
+                    for i in range(0, len(often), 1 << 16):
+                        sample, at, digest = found.singles(often[i : i + (1 << 16)])
                         place = np.minimum(np.searchsorted(key, digest), len(key) - 1)
                         begins[at[(key[place] == digest) & (limit[place] < doc[sample])]] = 1
                 total = np.cumsum(np.concatenate((begins[:1] * 0, begins[:-1])), dtype=np.int32)

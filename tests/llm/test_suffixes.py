@@ -2,8 +2,12 @@
 
 import os
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from lakeguard.llm import suffixes as S
 
@@ -78,3 +82,81 @@ def test_empty_and_wrong(spark):
     assert S.dedup_bytes(docs).collect() == []
     with pytest.raises(ValueError):
         S.dedup_bytes(docs, window=200)
+
+
+class Task:
+    """Takes a step's function over batches or groups, to call it in this process."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    applyInArrow = mapInArrow
+
+    def __getattr__(self, name):
+        return lambda *columns: self
+
+
+def block(texts):
+    raw = [t.encode() for t in texts]
+    return {"blk": 0, "ids": list(range(len(raw))), "sizes": list(map(len, raw)), "packed": zstandard.ZstdCompressor().compress(b"".join(raw))}
+
+
+REPLIES = pa.list_(pa.struct([("hot", pa.bool_()), ("keys", pa.binary()), ("what", pa.binary())]))
+
+
+def cut(texts, replies):
+    """The step's rows and its CPU seconds."""
+    row = {k: v for k, v in block(texts).items() if k != "blk"} | {"replies": replies}
+    batch = pa.table({k: pa.array([v], REPLIES if k == "replies" else None) for k, v in row.items()}).to_batches()[0]
+    began = time.process_time()
+    found = [x for out in S._cut(Task(), S.WINDOW)(iter([batch])) for x in out.to_pylist()]
+    return found, time.process_time() - began
+
+
+def random_texts(seed, docs, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefgh ", k=n)) for _ in range(docs)]
+
+
+def test_a_block_is_cut_once_for_all_replies():
+    texts = random_texts(1, 300, 4000)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    samples = S.Samples(raw, np.arange(0, len(raw) + 1, 4000), S.WINDOW)
+    keys, bits = samples.c[::20].copy(), (np.uint64(1) << (samples.at - samples.lo).astype(np.uint64)).view(np.int64)[::20].copy()
+    one, quick = cut(texts, [{"hot": False, "keys": S._pack(keys), "what": S._pack(bits)}])
+    many, slow = cut(texts, [{"hot": False, "keys": S._pack(keys[i : i + 1]), "what": S._pack(bits[i : i + 1])} for i in range(len(keys))])
+    assert one == many and len(keys) > 3000 and sum(len(r["removed"]) for r in one) > 300
+    assert slow < 4 * quick + 1  # a pass over the block for each reply takes many times that
+
+
+def test_windows_of_frequent_anchors_only_are_looked_at(monkeypatch):
+    texts = random_texts(2, 20, 4000)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    samples = S.Samples(raw, np.arange(0, len(raw) + 1, 4000), S.WINDOW)
+    chosen = np.array([7])
+    _, _, keys = samples.singles(chosen)
+    seen, whole = [], S.Samples.singles
+    monkeypatch.setattr(S.Samples, "singles", lambda self, which: seen.append(len(which)) or whole(self, which))
+    found, _ = cut(texts, [{"hot": True, "keys": S._pack(keys), "what": S._pack(np.full(len(keys), -1))}])
+    assert sum(seen) == 1
+    assert [(r["doc_id"], r["removed"]) for r in found if r["removed"]] == [(0, [[int(samples.lo[7]), int(samples.hi[7]) + S.WINDOW]])]
+
+
+def test_only_suffixes_that_may_share_a_window_are_merged(monkeypatch):
+    common, runs = random_texts(3, 40, 400), []
+    for blk in range(12):
+        own = random_texts(100 + blk, 20, 400)
+        texts = common + own + [own[0][:200] + "x" + common[0][150:]]
+        row = {**block(texts), "blk": blk}
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        keys = np.unique(S.Samples(raw, np.concatenate(([0], np.cumsum(row["sizes"]))), S.WINDOW).h >> np.uint64(64 - S._BITS))
+        row["replies"] = [{"range": 0, "codes": S._pack(np.ones(len(keys), np.uint8))}]
+        batch = pa.Table.from_pylist([row], pa.schema([("blk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary()), ("replies", pa.list_(pa.struct([("range", pa.int32()), ("codes", pa.binary())])))])).to_batches()[0]
+        runs += S._sorted_runs(Task(), S.WINDOW, 1, 1)(iter([batch]))
+    seen, whole = [], S.merged
+    monkeypatch.setattr(S, "merged", lambda heads, shared: seen.append(sum(map(len, heads))) or whole(heads, shared))
+    rows = pa.Table.from_batches(runs)
+    found = S._covered(Task(), S.WINDOW)((pa.scalar(0), pa.scalar(False)), rows)
+    told = {r["blk"]: len(S._unpack(r["keys"], np.uint64)) for r in found.to_pylist()}
+    # the texts that all blocks have and those of one block alone have no unequal neighbours, but the joint of each last text has
+    assert 12 <= sum(seen) < 60 * 12 and set(told) == set(range(12))
