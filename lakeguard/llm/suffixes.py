@@ -6,9 +6,10 @@ it, so equal windows choose the same place, and neighbouring windows with one
 anchor are one sample.  Three exchanges follow, each between blocks and ranges of
 hashes:
 
-1. Blocks send the sorted hashes of their anchors; a suffix whose first 16 bytes
-   occur nowhere else is in no repeat and goes no further.  One bit or two come back
-   for each.
+1. Blocks send the sorted hashes of their anchors, each with a hash of the sample
+   and its least doc_id.  A sample that a smaller document has as well is covered
+   as a whole; of equal ones only that of the least document goes on, and only if
+   unequal samples have its anchor.  Two bits come back for each.
 2. The suffixes left are sorted in their block: a sorted run of suffixes, each
    sent as the length of the prefix it shares with the one before and the bytes
    that differ.  The runs of all blocks are merged by a loser tree that keeps
@@ -20,8 +21,8 @@ hashes:
 3. What is covered comes back to the block, which cuts its texts.
 
 Equal samples of a block are sent once, with their least doc_id, so copies meet
-combined.  An anchor with very many samples (a common line with ever different
-neighbours) is dealt by its single windows instead of the anchor.  Blocks, ranges
+combined.  An anchor with very many unequal samples (a common line with ever
+different neighbours) is dealt by its single windows instead of the anchor.  Blocks, ranges
 and tasks are bounded by bytes and counts, nothing is gathered by document or by
 passage.
 """
@@ -48,12 +49,15 @@ GRAM = 16
 BLOCK_BYTES = 6 << 20
 RANGE_ANCHORS = 2_000_000
 RANGE_SUFFIXES = 200_000
-#: Anchors that occur about so often are dealt by windows.
+#: Anchors of so many unequal samples are dealt by windows.
 HOT = 200_000
 #: Bytes of text whose places are hashed at a time, and suffixes.
-_SLICE, _TEXTS = 1 << 19, 1 << 14
-#: Bits of an anchor's hash in the first exchange.
+_SLICE, _TEXTS = 1 << 16, 1 << 14
+#: Bits of an anchor's hash in the first exchange, and bytes of a sample's.
 _BITS = 46
+_BYTES = 6
+#: What the first exchange says of a sample: it goes on, by its anchor or by its windows, or a smaller document has it.
+_ON, _OFTEN, _COVERED = 1, 2, 3
 #: What stands for a null doc_id: it comes after all others.
 _LAST = 2**63 - 1
 
@@ -138,7 +142,7 @@ def _digest_at(eight: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.nda
 class Samples:
     """The anchors of a block's texts: where they are, the windows that chose them, and hashes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int, contexts: bool = True) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int) -> None:
         self.window, self.raw = window, raw
         self._eight: np.ndarray | None = None
         found: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -155,7 +159,7 @@ class Samples:
             anchor = least[valid]
             breaks = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1))))
             lo, hi, at = valid[breaks], valid[np.append(breaks[1:], len(valid)) - 1], anchor[breaks]
-            context = _digest(hashes, lo, hi + window, at, 2 * window - GRAM) if contexts else at[:0].view(_U)
+            context = _digest(hashes, lo, hi + window, at, 2 * window - GRAM)
             for held, x in zip(found, (lo + base, hi + base, at + base, mix(hashes[at] ^ _MORE), context), strict=True):
                 held.append(x)
         none = np.zeros(0, np.int64)
@@ -164,6 +168,15 @@ class Samples:
         self.h, self.c = (np.concatenate((none.view(_U), *x)) for x in found[3:])
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
 
+    def distinct(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the samples by their anchors' hashes, where in it each distinct sample begins, its anchor's hash, its least document)."""
+        rest = _U(64 - _BITS)
+        key = self.h >> rest
+        order = np.argsort(key << rest | self.c >> _U(_BITS), kind="stable")
+        key, c = key[order], self.c[order]
+        begins = np.flatnonzero(np.concatenate((np.ones(min(len(c), 1), bool), (c[1:] != c[:-1]) | (key[1:] != key[:-1]))))
+        return order, begins, key[begins], np.minimum.reduceat(doc[order], begins) if len(begins) else doc
+
     def digests(self, at: np.ndarray) -> np.ndarray:
         """Hashes of the windows from these places on."""
         if self._eight is None:
@@ -229,53 +242,79 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list, np.n
         yield r, np.array([_LAST if d is None else d for d in ids], np.int64), ids, raw, offsets
 
 
-# ------------------------------------------------- first exchange: which anchors recur
+# ------------------------------------------------- first exchange: which samples recur
+def _range_edges(key: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range begins among sorted hashes of anchors."""
+    return np.searchsorted(_ranged(key << _U(64 - _BITS), ranges), np.arange(ranges + 1))
+
+
 def _sent_anchors(blocks: DataFrame, window: int, ranges: int) -> DataFrame:
-    """Rows (range, blk, first, steps, often): the block's distinct anchors, as differences, and about how often it has each."""
+    """Rows (range, blk, first, steps, contexts, docs): the block's distinct samples, their anchors as differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, _, _, raw, offsets in _opened(batch):
-                keys, counts = np.unique(Samples(raw, offsets, window, False).h >> _U(64 - _BITS), return_counts=True)
-                of = _ranged(keys << _U(64 - _BITS), ranges)
-                often = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
-                edges = np.flatnonzero(np.diff(of, prepend=-1, append=-2)) if len(of) else np.zeros(1, np.int64)
-                rows: list[list] = [[], [], [], []]
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for r, ids, _, raw, offsets in _opened(batch):
+                found = Samples(raw, offsets, window)
+                order, begins, keys, least = found.distinct(ids[found.doc])
+                edges = _range_edges(keys, ranges).tolist()
+                contexts = np.ascontiguousarray((found.c[order[begins]] >> _U(64 - 8 * _BYTES)).view(np.uint8).reshape(-1, 8)[:, :_BYTES])
+                rows: list[list] = [[], [], [], [], []]
+                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    if a == b:
+                        continue
                     steps = np.diff(keys[a:b])
                     wide = len(steps) and int(steps.max()) >= 1 << 32
-                    for held, x in zip(rows, (int(of[a]), int(keys[a]), steps.astype("<u8" if wide else "<u4").tobytes(), _pack(often[a:b])), strict=True):
+                    for held, x in zip(rows, (k, int(keys[a]), steps.astype("<u8" if wide else "<u4").tobytes(), contexts[a:b].tobytes(), _pack(least[a:b])), strict=True):
                         held.append(x)
                 n = len(rows[0])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([batch.column("blk")[r].as_py()] * n, pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["range", "blk", "first", "steps", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([batch.column("blk")[r].as_py()] * n, pa.int64()), pa.array(rows[1], pa.int64()), *[pa.array(x, pa.binary()) for x in rows[2:]]], ["range", "blk", "first", "steps", "contexts", "docs"])
 
-    return blocks.mapInArrow(run, "range int, blk long, first long, steps binary, often binary")
+    return blocks.mapInArrow(run, "range int, blk long, first long, steps binary, contexts binary, docs binary")
 
 
 def _recurring(sent: DataFrame, hot: int) -> DataFrame:
-    """Rows (blk, range, n, codes) of those with any: 1 for anchors that occur elsewhere as well, 2 for very frequent ones."""
+    """Rows (blk, range, n, codes): what becomes of each sample (0: nothing), n of them go on; a row for those with any."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, often = [], []
-        for first, steps, blob in zip(*(rows[c].to_pylist() for c in ("first", "steps", "often")), strict=True):
-            counts = _unpack(blob, np.uint8)
-            gaps = np.frombuffer(steps, "<u4" if len(steps) == 4 * (len(counts) - 1) else "<u8").astype(np.int64)
-            keys.append(first + np.concatenate(([0], np.cumsum(gaps))))
-            often.append(counts)
-        key, count = np.concatenate(keys), np.left_shift(1, np.concatenate(often).astype(np.int64) - 1)
-        order = np.argsort(key, kind="stable")
-        begins = np.flatnonzero(np.diff(key[order], prepend=-1))
-        total = np.add.reduceat(count[order], begins)
-        code = np.where(total >= hot, 2, total >= 2).astype(np.uint8)
+        keys, contexts, docs = [], [], []
+        for first, steps, blob, packed in zip(*(rows[c].to_pylist() for c in ("first", "steps", "contexts", "docs")), strict=True):
+            doc = _unpack(packed, np.int64)
+            gaps = np.frombuffer(steps, "<u4" if len(steps) == 4 * (len(doc) - 1) else "<u8").astype(_U)
+            keys.append(_U(first) + np.concatenate((np.zeros(1, _U), np.cumsum(gaps, dtype=_U))))
+            context = np.zeros((len(doc), 8), np.uint8)
+            context[:, :_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, _BYTES)
+            contexts.append(context.view(_U).reshape(-1))
+            docs.append(doc)
+        key, context, doc = map(np.concatenate, (keys, contexts, docs))
+        both = key << _U(64 - _BITS) | context >> _U(8 * _BYTES + _BITS - 64)
+        order = np.argsort(both, kind="stable")
+        ranked = both[order]
+        if ((ranked[1:] == ranked[:-1]) & (context[order[1:]] != context[order[:-1]])).any():
+            order = np.lexsort((context, both))
+        key, ranked, doc = key[order], context[order], doc[order]
+        anchors = np.concatenate(([True], key[1:] != key[:-1]))
+        begins = np.flatnonzero(anchors | np.concatenate(([False], ranked[1:] != ranked[:-1])))
+        many = _sizes(begins, len(key))
+        of = np.cumsum(anchors) - 1
+        unequal = np.bincount(of[begins])[of]
+        told = np.where(np.repeat(np.minimum.reduceat(doc, begins), many) < doc, _COVERED, np.where(unequal < 2, 0, np.where(unequal >= hot, _OFTEN, _ON)))
         codes = np.empty(len(key), np.uint8)
-        codes[order] = np.repeat(code, np.diff(np.append(begins, len(key))))
+        codes[order] = told
         cuts = np.split(codes, np.cumsum([len(k) for k in keys])[:-1])
         some = [i for i, x in enumerate(cuts) if x.any()]
-        return pa.table({"blk": rows["blk"].take(pa.array(some, pa.int64())), "range": rows["range"].take(pa.array(some, pa.int64())), "n": pa.array([int((cuts[i] > 0).sum()) for i in some], pa.int64()), "codes": pa.array([_pack(cuts[i]) for i in some], pa.binary())})
+        return pa.table({"blk": rows["blk"].take(pa.array(some, pa.int64())), "range": rows["range"].take(pa.array(some, pa.int64())), "n": pa.array([int(((cuts[i] == _ON) | (cuts[i] == _OFTEN)).sum()) for i in some], pa.int64()), "codes": pa.array([_pack(cuts[i]) for i in some], pa.binary())})
 
     return sent.groupBy("range").applyInArrow(run, "blk long, range int, n long, codes binary")
 
 
+def _codes(told: list | None, keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The codes of a block's distinct samples."""
+    edges, out = _range_edges(keys, ranges), np.zeros(len(keys), np.uint8)
+    for reply in told or []:
+        out[edges[reply["range"]] : edges[reply["range"] + 1]] = _unpack(reply["codes"], np.uint8)
+    return out
+
+
 # ------------------------------------------------- second exchange: sorted runs of suffixes
 def _sort(raw: np.ndarray, start: np.ndarray, size: np.ndarray, part: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings by part and bytes, and the length of the prefix that each in order shares with the one before."""
@@ -307,7 +346,7 @@ _RUN = "part int, hot boolean, blk long, numbers binary, texts binary"
 
 
 def _sorted_runs(joined: DataFrame, window: int, ranges: int, parts: int) -> DataFrame:
-    """Each block's recurring suffixes, front-coded, a row for each part and kind."""
+    """Each block's suffixes that go on, front-coded, a row for each part and kind."""
 
     def rows(raw: np.ndarray, blk: int, start: np.ndarray, at: np.ndarray, end: np.ndarray, docs: np.ndarray, keys: np.ndarray, hot: bool) -> pa.RecordBatch | None:
         part = _ranged(keys, parts)
@@ -329,24 +368,20 @@ def _sorted_runs(joined: DataFrame, window: int, ranges: int, parts: int) -> Dat
         for batch in batches:
             for r, ids, _, raw, offsets in _opened(batch):
                 blk, found = batch.column("blk")[r].as_py(), Samples(raw, offsets, window)
-                keys, inverse = np.unique(found.h >> _U(64 - _BITS), return_inverse=True)
-                edges = np.searchsorted(_ranged(keys << _U(64 - _BITS), ranges), np.arange(ranges + 1))
-                code = np.zeros(len(keys), np.uint8)
-                for reply in batch.column("replies")[r].as_py():
-                    code[edges[reply["range"]] : edges[reply["range"] + 1]] = _unpack(reply["codes"], np.uint8)
-                code = code[inverse]
-                doc = ids[found.doc]
-                once = np.flatnonzero(code == 1)
+                order, begins, keys, least = found.distinct(ids[found.doc])
+                code, one = _codes(batch.column("told")[r].as_py(), keys, ranges), order[begins]
+                once = one[code == _ON]
                 if len(once):
-                    once, docs = _first(found.c[once], doc[once], once)
-                    yield rows(raw, blk, found.lo[once], found.at[once], found.hi[once] + window, docs, found.h[once], False)
-                often = np.flatnonzero(code == 2)
+                    yield rows(raw, blk, found.lo[once], found.at[once], found.hi[once] + window, least[code == _ON], found.h[once], False)
+                often = one[code == _OFTEN]
                 if len(often):
                     sample, at, digest = found.singles(often)
-                    first, docs = _first(digest, doc[sample], np.arange(len(at)))
+                    low = np.zeros(len(found.doc), np.int64)
+                    low[one] = least
+                    first, docs = _first(digest, low[sample], np.arange(len(at)))
                     yield rows(raw, blk, at[first], at[first], at[first] + window, docs, digest[first], True)
 
-    return joined.select("blk", "ids", "sizes", "packed", "replies").mapInArrow(run, _RUN)
+    return joined.select("blk", "ids", "sizes", "packed", "told").mapInArrow(run, _RUN)
 
 
 def _first(keys: np.ndarray, docs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -565,10 +600,7 @@ def _covered(parts: DataFrame, window: int) -> DataFrame:
         hot = key[1].as_py()
         runs = Runs(rows, window)
         mask, least = runs.masks()
-        # a suffix whose sample occurs in a smaller document loses all its windows
-        ones = _U(1)
-        whole = ((ones << (runs.back + 1).astype(_U)) - ones) & ~((ones << np.maximum(window - runs.size, 0).astype(_U)) - ones)
-        bits = np.where(runs.least[runs.sample] < runs.doc, whole, mask[runs.sample])
+        bits = mask[runs.sample]
         told = np.arange(len(runs.doc)) if hot else np.flatnonzero(bits)
         out: list[list] = [[], [], []]
         if len(told):
@@ -586,30 +618,39 @@ def _covered(parts: DataFrame, window: int) -> DataFrame:
 
 
 # ------------------------------------------------- third exchange: cutting
-def _cut(joined: DataFrame, window: int) -> DataFrame:
+def _cut(joined: DataFrame, window: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, ids, named, raw, offsets in _opened(batch):
                 found = Samples(raw, offsets, window)
                 doc = ids[found.doc]
                 begins = np.zeros(len(raw) + 1, np.uint8)
-                # in the block: an equal sample of a smaller document
-                order, first = _groups(found.c)
-                many = _sizes(first, len(order))
-                low = np.empty(len(doc), np.int64)
-                low[order] = np.repeat(np.minimum.reduceat(doc[order], first) if len(first) else doc, many)
+                order, first, anchors, least = found.distinct(doc)
+                code, many = _codes(batch.column("told")[r].as_py(), anchors, ranges), _sizes(first, len(order))
+                # of each sample its place among the distinct ones
+                of = np.empty(len(order), np.int64)
+                of[order] = np.repeat(np.arange(len(first)), many)
+                # a smaller document has an equal sample, in the block or elsewhere
                 mask = np.zeros(len(doc), _U)
                 whole = ((_U(1) << (found.at - found.lo + 1).astype(_U)) - _U(1)) & ~((_U(1) << (found.at - found.hi).astype(_U)) - _U(1))
-                mask[low < doc] = whole[low < doc]
+                covered = (code[of] == _COVERED) | (least[of] < doc)
+                mask[covered] = whole[covered]
                 keys: dict[bool, list] = {False: [np.zeros(0, _U)], True: [np.zeros(0, _U)]}
                 what: dict[bool, list] = {False: [np.zeros(0, np.int64)], True: [np.zeros(0, np.int64)]}
                 for reply in batch.column("replies")[r].as_py() or []:
                     keys[reply["hot"]].append(_unpack(reply["keys"], _U))
                     what[reply["hot"]].append(_unpack(reply["what"], np.int64))
-                # to all samples of a digest, those of all replies at once: the bits mean windows, which are the same in each
-                bits = np.zeros(len(first) + 1, _U)
-                bits[np.searchsorted(found.c[order[first]], np.concatenate(keys[False]))] = np.concatenate(what[False]).view(_U)
-                mask[order] |= np.repeat(bits[:-1], many) & whole[order]
+                key, told = np.concatenate(keys[False]), np.concatenate(what[False]).view(_U)
+                if len(key):
+                    # to all samples of a digest, those of all replies at once: the bits mean windows, which are the same in each
+                    by = np.argsort(key)
+                    key, told = key[by], told[by]
+                    on = np.flatnonzero(code == _ON)
+                    c = found.c[order[first[on]]]
+                    place = np.minimum(np.searchsorted(key, c), len(key) - 1)
+                    bits = np.zeros(len(first), _U)
+                    bits[on] = np.where(key[place] == c, told[place], _U(0))
+                    mask |= bits[of] & whole
                 some = np.flatnonzero(mask)
                 for t in range(window - GRAM + 1):
                     begins[found.at[some[(mask[some] >> _U(t) & _U(1)).astype(bool)]] - t] = 1
@@ -617,9 +658,7 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                 if len(key):
                     by = np.argsort(key)
                     key, limit = key[by], limit[by]
-                    # equal windows have equal anchors, so all windows of a sample are among the keys or none
-                    lo = found.digests(found.lo)
-                    often = np.flatnonzero(key[np.minimum(np.searchsorted(key, lo), len(key) - 1)] == lo)
+                    often = np.flatnonzero(code[of] == _OFTEN)
                     for i in range(0, len(often), 1 << 16):
                         sample, at, digest = found.singles(often[i : i + (1 << 16)])
                         place = np.minimum(np.searchsorted(key, digest), len(key) - 1)
@@ -640,7 +679,7 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(listed, pa.int32()), inner), pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    return joined.select("ids", "sizes", "packed", "replies").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
+    return joined.select("ids", "sizes", "packed", "told", "replies").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, range_anchors: int = RANGE_ANCHORS, range_suffixes: int = RANGE_SUFFIXES, hot: int = HOT) -> DataFrame:
@@ -662,12 +701,12 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_
     ranges = max(least, -(-2 * total // (window - GRAM + 2) // range_anchors))
     # dealt by number, as these tasks' work is far more than their bytes say
     codes = keep(_recurring(_sent_anchors(blocks, window, ranges).repartitionById(ranges, "range"), hot), "recurring")
-    recurring = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    replies = codes.groupBy("blk").agg(F.collect_list(F.struct("range", "codes")).alias("replies"))  # a row for each range
-    parts = max(least, -(-recurring // range_suffixes))
+    going = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    replies = codes.groupBy("blk").agg(F.collect_list(F.struct("range", "codes")).alias("told"))  # a row for each range
+    parts = max(least, -(-going // range_suffixes))
     runs = _sorted_runs(blocks.join(replies, "blk"), window, ranges, parts)
     found = _covered(runs.repartitionById(parts, "part"), window).groupBy("blk").agg(F.collect_list(F.struct("hot", "keys", "what")).alias("replies"))
-    return _cut(blocks.join(found, "blk", "left"), window)
+    return _cut(blocks.join(replies, "blk", "left").join(found, "blk", "left"), window, ranges)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

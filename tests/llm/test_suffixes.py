@@ -104,12 +104,17 @@ def block(texts):
 REPLIES = pa.list_(pa.struct([("hot", pa.bool_()), ("keys", pa.binary()), ("what", pa.binary())]))
 
 
-def cut(texts, replies):
+def told(samples, code):
+    """The first exchange's reply that has this code of all samples, which are distinct."""
+    return {"range": 0, "codes": S._pack(np.full(len(samples.c), code, np.uint8))}
+
+
+def cut(texts, first, replies):
     """The step's rows and its CPU seconds."""
-    row = {k: v for k, v in block(texts).items() if k != "blk"} | {"replies": replies}
+    row = {k: v for k, v in block(texts).items() if k != "blk"} | {"told": [first], "replies": replies}
     batch = pa.table({k: pa.array([v], REPLIES if k == "replies" else None) for k, v in row.items()}).to_batches()[0]
     began = time.process_time()
-    found = [x for out in S._cut(Task(), S.WINDOW)(iter([batch])) for x in out.to_pylist()]
+    found = [x for out in S._cut(Task(), S.WINDOW, 1)(iter([batch])) for x in out.to_pylist()]
     return found, time.process_time() - began
 
 
@@ -123,8 +128,8 @@ def test_a_block_is_cut_once_for_all_replies():
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     samples = S.Samples(raw, np.arange(0, len(raw) + 1, 4000), S.WINDOW)
     keys, bits = samples.c[::20].copy(), (np.uint64(1) << (samples.at - samples.lo).astype(np.uint64)).view(np.int64)[::20].copy()
-    one, quick = cut(texts, [{"hot": False, "keys": S._pack(keys), "what": S._pack(bits)}])
-    many, slow = cut(texts, [{"hot": False, "keys": S._pack(keys[i : i + 1]), "what": S._pack(bits[i : i + 1])} for i in range(len(keys))])
+    one, quick = cut(texts, told(samples, 1), [{"hot": False, "keys": S._pack(keys), "what": S._pack(bits)}])
+    many, slow = cut(texts, told(samples, 1), [{"hot": False, "keys": S._pack(keys[i : i + 1]), "what": S._pack(bits[i : i + 1])} for i in range(len(keys))])
     assert one == many and len(keys) > 3000 and sum(len(r["removed"]) for r in one) > 300
     assert slow < 4 * quick + 1  # a pass over the block for each reply takes many times that
 
@@ -133,30 +138,42 @@ def test_windows_of_frequent_anchors_only_are_looked_at(monkeypatch):
     texts = random_texts(2, 20, 4000)
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     samples = S.Samples(raw, np.arange(0, len(raw) + 1, 4000), S.WINDOW)
-    chosen = np.array([7])
-    _, _, keys = samples.singles(chosen)
+    _, _, keys = samples.singles(np.array([7]))
+    code = np.zeros(len(samples.c), np.uint8)
+    order, begins, *_ = samples.distinct(samples.doc)
+    code[np.flatnonzero(order[begins] == 7)] = 2
     seen, whole = [], S.Samples.singles
     monkeypatch.setattr(S.Samples, "singles", lambda self, which: seen.append(len(which)) or whole(self, which))
-    found, _ = cut(texts, [{"hot": True, "keys": S._pack(keys), "what": S._pack(np.full(len(keys), -1))}])
+    found, _ = cut(texts, {"range": 0, "codes": S._pack(code)}, [{"hot": True, "keys": S._pack(keys), "what": S._pack(np.full(len(keys), -1))}])
     assert sum(seen) == 1
     assert [(r["doc_id"], r["removed"]) for r in found if r["removed"]] == [(0, [[int(samples.lo[7]), int(samples.hi[7]) + S.WINDOW]])]
 
 
-def test_only_suffixes_that_may_share_a_window_are_merged(monkeypatch):
-    common, runs = random_texts(3, 40, 400), []
+def step(run, rows, by):
+    """What a step makes of each group."""
+    groups = {}
+    for r in rows.to_pylist():
+        groups.setdefault(r[by], []).append(r)
+    return pa.concat_tables([run(pa.Table.from_pylist(g, rows.schema)) for g in groups.values()])
+
+
+def test_only_one_of_equal_samples_goes_on_and_merged_are_those_that_may_share_a_window(monkeypatch):
+    common, blocks = random_texts(3, 40, 400), []
     for blk in range(12):
         own = random_texts(100 + blk, 20, 400)
-        texts = common + own + [own[0][:200] + "x" + common[0][150:]]
-        row = {**block(texts), "blk": blk}
-        raw = np.frombuffer("".join(texts).encode(), np.uint8)
-        keys = np.unique(S.Samples(raw, np.concatenate(([0], np.cumsum(row["sizes"]))), S.WINDOW).h >> np.uint64(64 - S._BITS))
-        row["replies"] = [{"range": 0, "codes": S._pack(np.ones(len(keys), np.uint8))}]
-        batch = pa.Table.from_pylist([row], pa.schema([("blk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary()), ("replies", pa.list_(pa.struct([("range", pa.int32()), ("codes", pa.binary())])))])).to_batches()[0]
-        runs += S._sorted_runs(Task(), S.WINDOW, 1, 1)(iter([batch]))
+        blocks.append({**block(common + own + [own[0][:200] + "x" + common[0][150:]]), "blk": blk})
+        blocks[-1]["ids"] = [100 * blk + k for k in blocks[-1]["ids"]]
+    schema = pa.schema([("blk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())])
+    sent = pa.Table.from_batches(S._sent_anchors(Task(), S.WINDOW, 3)(iter(pa.Table.from_pylist(blocks, schema).to_batches())))
+    codes = step(S._recurring(Task(), 1000), sent, "range").to_pylist()
+    for b in blocks:
+        b["told"] = [{"range": c["range"], "codes": c["codes"]} for c in codes if c["blk"] == b["blk"]]
+    schema = schema.append(pa.field("told", pa.list_(pa.struct([("range", pa.int32()), ("codes", pa.binary())]))))
+    rows = pa.Table.from_batches(S._sorted_runs(Task(), S.WINDOW, 3, 1)(iter(pa.Table.from_pylist(blocks, schema).to_batches())))
     seen, whole = [], S.merged
     monkeypatch.setattr(S, "merged", lambda heads, shared: seen.append(sum(map(len, heads))) or whole(heads, shared))
-    rows = pa.Table.from_batches(runs)
     found = S._covered(Task(), S.WINDOW)((pa.scalar(0), pa.scalar(False)), rows)
-    told = {r["blk"]: len(S._unpack(r["keys"], np.uint64)) for r in found.to_pylist()}
-    # the texts that all blocks have and those of one block alone have no unequal neighbours, but the joint of each last text has
-    assert 12 <= sum(seen) < 60 * 12 and set(told) == set(range(12))
+    # all blocks have 40 equal texts of some 20 samples, which the first loses to none; the joint of each last text has unequal neighbours
+    going = sum(len(zstandard.decompress(x)) // 11 for x in rows["numbers"].to_pylist())
+    assert going == sum(c["n"] for c in codes) < 60 * 12 and 12 <= sum(seen) <= going
+    assert set(found["blk"].to_pylist()) == set(range(12))
